@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import decontam, simhash
-from undula.llm.common import table
+from undula.llm import decontam, simhash, tokenfile
+from undula.llm.common import scratch_path, table
+from undula.llm.tokens import vocabulary_path
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +17,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = tokenfile.write(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), vocabulary_path("word_bpe_49k.json"))
+    return tokenfile.read(spark, file).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_file": op4_token_file,
     "op5_decontamination": op5_decontamination,
     "op10_simhash": op10_simhash,
 }
