@@ -7,11 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import decontam, simhash, tokenfile
+from undula.llm import decontam, fertility, simhash, tokencount, tokenfile
 from undula.llm.common import scratch_path, table
 from undula.llm.tokens import vocabulary_path
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fertility.verdicts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", "top_share")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -29,6 +39,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_file": op4_token_file,
     "op5_decontamination": op5_decontamination,
+    "op8_token_counts": op8_token_counts,
+    "op9_fertility": op9_fertility,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}

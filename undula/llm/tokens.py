@@ -103,9 +103,9 @@ class PieceVocabulary:
         #: a character other than a space or the mark: what stands on either side is encoded on its own.
         self.words_end_tokens = not any(MARK in p.lstrip(MARK) for p in pieces)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.encoder.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encoder.encode(texts, num_threads=1, return_type="numpy")
 
     def token_starts(self, text: str) -> list[int]:
         """Where in the text each token begins, in characters."""
-        return [p.begin for p in self.encoder.encode(text, out_type="immutable_proto").pieces]
+        return [begin for begin, _ in self.encoder.encode(text, return_type="offset_mapping")["offsets"]]
