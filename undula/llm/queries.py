@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import decontam, fertility, simhash, tokencount, tokenfile
+from undula.llm import decontam, fertility, simhash, tokencount, tokenfile, toxicity
 from undula.llm.common import scratch_path, table
 from undula.llm.tokens import vocabulary_path
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -39,6 +45,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_file": op4_token_file,
     "op5_decontamination": op5_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_fertility": op9_fertility,
     "op10_simhash": op10_simhash,
