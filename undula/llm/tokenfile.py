@@ -119,15 +119,6 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, doc
     sent = spark.sparkContext.broadcast(ranks)
     total = sum(n for _, n in by_frequency)
 
-    def packed(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            ids, counts, planes = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for a, z in slices(planes, 4 << 20):
-                both = [pack(sent.value[_joined_planes([p], [n])]) for p, n in zip(planes[a:z], counts[a:z], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(counts[a:z], pa.int64()), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())], ["doc_id", "n", "control", "data"])
-
     def blocks(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -135,8 +126,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, doc
         shard, number, held = TaskContext.get().partitionId(), 0, []
 
         def block():
-            cols = list(zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([cols[0]], pa.list_(pa.int64())), pa.array([cols[1]], pa.list_(pa.int64())), pa.array([b"".join(cols[2])], pa.binary()), pa.array([b"".join(cols[3])], pa.binary())], ["shard", "block", "doc_ids", "lengths", "control", "data"])
+            ids, counts, planes = zip(*held, strict=True)
+            control, data = pack(sent.value[_joined_planes(planes, counts)])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["shard", "block", "doc_ids", "lengths", "control", "data"])
 
         size = 0
         for b in batches:
@@ -149,7 +141,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, doc
         if held:
             yield block()
 
-    ordered = tokens.mapInArrow(packed, "doc_id long, n long, control binary, data binary").repartitionByRange(max(8, -(-total // ids_per_shard)), "doc_id").sortWithinPartitions("doc_id", "n", "data")
+    ordered = tokens.repartitionByRange(max(8, -(-total // ids_per_shard)), "doc_id").sortWithinPartitions("doc_id", "n", "planes")
     ordered.mapInArrow(blocks, "shard int, block int, doc_ids array<long>, lengths array<long>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
     remove_path(spark, kept)
     return TokenFile(f"{path}/blocks", f"{path}/ranks")
@@ -169,18 +161,7 @@ def read(spark: SparkSession, file: TokenFile) -> DataFrame:
         for b in batches:
             for before, doc_ids, lengths, control, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n = np.array(lengths, np.int64)
-                c_end, raw = np.cumsum(-(-n // 4)), np.frombuffer(control, np.uint8)
-                # each document fills its last control byte, so that it can be read alone; those fillers go
-                fill = np.ones((len(raw), 4), bool)
-                fill[c_end - 1] = np.arange(4)[None, :] < np.where(n % 4, n % 4, 4)[:, None]
-                length = LENGTHS[raw][fill]
-                start = np.cumsum(length) - length
-                body = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
-                rank = body[start].astype(np.uint32)
-                for k in (1, 2, 3):
-                    more = np.flatnonzero(length > k)
-                    rank[more] |= body[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
-                value, stop = sent.value[rank], np.cumsum(n)
+                value, stop = sent.value[unpack(control, data, n.sum())], np.cumsum(n)
                 own = [value[z - k : z].tobytes() for z, k in zip(stop.tolist(), lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(before + stop - n, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary()), pa.array([zlib.crc32(x) for x in own], pa.int64())], ["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 

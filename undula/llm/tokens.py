@@ -8,8 +8,8 @@ from array import array
 
 import numpy as np
 
-#: Entries after which a word cache starts anew; this bounds a worker's memory and changes no result.
-CACHE_LIMIT = 300_000
+#: Words that a worker keeps; later ones are encoded anew each time. This bounds its memory and changes no result.
+CACHE_LIMIT = 700_000
 MARK = "▁"
 
 
@@ -70,12 +70,12 @@ class WordVocabulary:
                     t = t.replace(b",", b" ,").replace(b".", b" .")
             words = t.split()
             unknown = set(words).difference(self.words)
-            if unknown:
-                if len(self.words) > self.limit:
-                    self.words, unknown = {}, set(words)
-                encode = self._encode
-                self.words.update([(w, encode(w)) for w in unknown])
+            encode = self._encode
+            self.words.update([(w, encode(w)) for w in unknown])
             out.append(b"".join(map(self.words.__getitem__, words)))
+            if len(self.words) > self.limit:
+                for w in unknown:
+                    del self.words[w]
         return out
 
 
