@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import decontam, fertility, simhash, tokencount, tokenfile, toxicity
-from undula.llm.common import scratch_path, table
+from undula.llm import decontam, fertility, mixing, simhash, tokencount, tokenfile, toxicity, warc
+from undula.llm.common import materialize, scratch_path, table
 from undula.llm.tokens import vocabulary_path
 
 
@@ -33,6 +33,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = warc.read_archives(spark, path)
+    # of a response, length and digest are those of the payload that was read
+    seen = F.when(F.col("record_type") == "response", F.sha1("payload"))
+    records = materialize(read.select("page_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), seen.alias("sha1")), "warc-read")
+    found = warc.resolve_revisits(records)
+    digest = F.when(F.col("sha1").isNull(), F.col("payload_digest")).otherwise(warc.base32(F.col("sha1")))
+    return found.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = tokenfile.write(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), vocabulary_path("word_bpe_49k.json"))
     return tokenfile.read(spark, file).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -43,6 +60,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op2_mixing": op2_mixing,
     "op4_token_file": op4_token_file,
     "op5_decontamination": op5_decontamination,
     "op7_toxicity": op7_toxicity,
@@ -50,4 +69,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fertility": op9_fertility,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_revisits": """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as d, max(page_id) over (partition by coalesce(html, '')) as last
+  from pages
+), b as (
+  select *, [('0x' || substr(d, 10 * k + 1, 10))::bigint for k in range(4)] as v from p
+)
+select page_id, payload_bytes::bigint as payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((v[1 + i // 8] >> (35 - 5 * (i % 8))) & 31))::int, 1) for i in range(32)], '') as payload_digest,
+  case when page_id is not distinct from last then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from last then last end as refers_to
+from b""",
+    "op2_mixing": """
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
+), c as (
+  select *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) as class from d
+), s as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as r from d group by source
+), w as (
+  select *, [5, 2, 1][(r - 1) % 3 + 1] as weight, 3 * source_size as cap from s
+), f as (
+  select *, (sum(source_size) over ()::double - (sum(cap) over o - cap)::double) / (sum(weight) over () - (sum(weight) over o - weight))::double as level
+  from w window o as (order by cap::double / weight, r)
+), t as (
+  select source, source_size,
+    case when cap <= level * weight then cap::double
+      else weight * (select arg_min(level, cap::double / weight) from f where cap > level * weight) end as target,
+    ('0x' || substr(md5('17:' || coalesce('s' || source, 'n')), 1, 8))::bigint / 4294967296.0::double as u
+  from f
+), n as (
+  select c.*, row_number() over (partition by source order by class desc, (coalesce(doc_id, 0) % 64 + 64) % 64, doc_id nulls first, size) as place from c
+), x as (
+  select n.doc_id, n.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate, n.place, t.u
+  from n join t on n.source is not distinct from t.source
+)
+select doc_id, size, source_size, target, ((floor(rate * place + u) - floor(rate * (place - 1) + u)) * size)::bigint as taken from x""",
+}
