@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import decontam, fertility, linededup, mixing, simhash, tokencount, tokenfile, toxicity, warc
+from undula.llm import decontam, fertility, linededup, mixing, quotes, simhash, tokencount, tokenfile, toxicity, warc
 from undula.llm.common import materialize, scratch_path, table
 from undula.llm.tokens import vocabulary_path
 
@@ -55,6 +55,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
+def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = tokenfile.write(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), vocabulary_path("word_bpe_49k.json"))
     return tokenfile.read(spark, file).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -67,6 +71,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_mixing": op2_mixing,
+    "op3_quotation_links": op3_quotation_links,
     "op4_token_file": op4_token_file,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
