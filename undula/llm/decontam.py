@@ -8,12 +8,11 @@ that bound. Windows are read from the whole text; a document that has one hit is
 shingle, over the whole document.
 """
 
-from __future__ import annotations
-
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +89,42 @@ class _Sketch:
         return found
 
 
+class _Items:
+    """One pass's items: a sketch for each shingle width that occurs."""
+
+    def __init__(self, rows: list[tuple[int | None, bytes]], width: int, threshold: float):
+        self.threshold, mults, sets = threshold, _functions(threshold), _item_sets([t for _, t in rows], width)
+        self.sketches = {}
+        for k in sorted({k for k, _ in sets if k}):
+            own = [n for n, (w, _) in enumerate(sets) if w == k]
+            self.sketches[k] = _Sketch([sets[n][1] for n in own], [rows[n][0] for n in own], mults)
+
+    def search(self, texts: list[bytes]) -> Iterator[tuple[int, int | None, int, int]]:
+        """(text index, item id, item shingles, shared) of every pair at the threshold."""
+        for a, z in slices(texts, 1 << 20):
+            w = textscan.words(texts[a:z], matching=True)
+            for k, sketch in self.sketches.items():
+                text, h = textscan.shingles(w, k)
+                bounds = np.searchsorted(text, np.arange(z - a + 1))
+                at, own = -1, np.zeros(0, np.uint64)
+                for i, j in sorted(sketch.candidates(text, h)):
+                    if i != at:
+                        at, own = i, np.unique(h[bounds[i] : bounds[i + 1]])
+                    want = sketch.sets[j]
+                    shared = int(np.isin(want, own, assume_unique=True).sum())
+                    if shared >= self.threshold * len(want):
+                        yield a + i, sketch.numbers[j], len(want), shared
+
+
+def _passes(items: DataFrame, item_id: str, item_text: str, width: int, threshold: float, items_per_pass: int) -> Iterator:
+    """The items in broadcasts of about items_per_pass each, dealt by hash."""
+    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
+    n = max(1, -(-rows.count() // items_per_pass))
+    for p in range(n):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == p)
+        yield items.sparkSession.sparkContext.broadcast(_Items([(i, t.encode()) for i, t in part.toLocalIterator()], width, threshold))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """Rows (doc_id, item_id, item_shingles, shared, containment) of each document and item with containment >= threshold.
 
@@ -98,49 +133,36 @@ def contained_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     rows on either side give a row each; empty tables give no rows. The documents are never shuffled: sketches of at
     most items_per_pass items go along with a pass, and more items mean more passes.
     """
-    spark, mults = docs.sparkSession, _functions(threshold)
-    items = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    passes = max(1, -(-items.count() // items_per_pass))
-    schema = "doc_id long, item_id long, item_shingles int, shared int, containment double"
     out = None
-    for p in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p)
-        rows = [(i, t.encode()) for i, t in part.toLocalIterator()]
-        sets = _item_sets([t for _, t in rows], width)
-        sketches = {}
-        for k in sorted({k for k, _ in sets if k}):
-            own = [n for n, (w, _) in enumerate(sets) if w == k]
-            sketches[k] = _Sketch([sets[n][1] for n in own], [rows[n][0] for n in own], mults)
-        sent = spark.sparkContext.broadcast(sketches)
+    for sent in _passes(items, item_id, item_text, width, threshold, items_per_pass):
 
         def run(batches: Iterator, sent=sent) -> Iterator:
             import pyarrow as pa
 
             for b in batches:
-                texts, ids, found = byte_rows(b.column(1)), b.column(0).to_pylist(), []
-                for a, z in slices(texts, 1 << 20):
-                    w = textscan.words(texts[a:z], matching=True)
-                    for k, sketch in sent.value.items():
-                        text, h = textscan.shingles(w, k)
-                        bounds = np.searchsorted(text, np.arange(z - a + 1))
-                        kept: dict[int, np.ndarray] = {}
-                        for at, j in sorted(sketch.candidates(text, h)):
-                            if at not in kept:
-                                kept = {at: np.unique(h[bounds[at] : bounds[at + 1]])}
-                            want = sketch.sets[j]
-                            shared = int(np.isin(want, kept[at], assume_unique=True).sum())
-                            if shared >= threshold * len(want):
-                                found.append((ids[a + at], sketch.numbers[j], len(want), shared, shared / len(want)))
+                ids = b.column(0).to_pylist()
+                found = [(ids[i], item, size, shared, shared / size) for i, item, size, shared in sent.value.search(byte_rows(b.column(1)))]
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "item_id", "item_shingles", "shared", "containment"])
 
-        hits = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).mapInArrow(run, schema)
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
+        hits = rows.mapInArrow(run, "doc_id long, item_id long, item_shingles int, shared int, containment double")
         out = hits if out is None else out.union(hits)
     return out
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that contain no item, in full. A null doc_id can't be told from another and goes if any of them has a hit."""
-    hits = contained_items(docs, items, **options).select(F.col("doc_id").alias("hit")).distinct()
-    key = docs[options.get("doc_id", "doc_id")]
-    return docs.join(hits, key.eqNullSafe(hits["hit"]), "left_anti")
+def without_contaminated(docs: DataFrame, items: DataFrame, *, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+    """The rows of docs that contain no item, with all their columns; every row is judged where it is read, without a shuffle."""
+
+    def judge(sent):
+        @F.pandas_udf("boolean")
+        def contaminated(texts: pd.Series) -> pd.Series:
+            hit = np.zeros(len(texts), bool)
+            hit[[i for i, *_ in sent.value.search([b"" if t is None else t.encode() for t in texts])]] = True
+            return pd.Series(hit)
+
+        return contaminated
+
+    for sent in _passes(items, item_id, item_text, width, threshold, items_per_pass):
+        docs = docs.where(~judge(sent)(F.col(doc_text)))
+    return docs

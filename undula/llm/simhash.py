@@ -64,17 +64,17 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long: the 64 bits as a signed number), one row per document. Null or wordless text: 0."""
+    """(id, text_hash, fp long: the 64 bits as a signed number), one row per document. Null or wordless text: 0."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            fp = np.array([fingerprint(t) for t in byte_rows(b.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            fp = np.array([fingerprint(t) for t in byte_rows(b.column(2))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text_hash long, fp long")
 
 
 def _forest(batches: Iterator) -> Iterator:
@@ -143,7 +143,8 @@ def links(distinct_fps: DataFrame, radius: int = 3, bucket_limit: int = BUCKET_L
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """One row per row of docs: id, fp, component_id (the smallest id reachable over links of at most `radius` bits).
+    """One row per row of docs: id, text_hash, fp, component (a fingerprint that names it) and component_id, the smallest id
+    reachable over links of at most `radius` bits.
 
     Copies share a fingerprint and are one node. Nulls: text counts as empty; a null id is never smallest, and a component
     of null ids only has a null component_id. Repeated rows are returned as often. Empty table: no rows.
@@ -153,8 +154,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(links(nodes.select("fp"), radius, bucket_limit))
     labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("c"))
     least = labelled.groupBy("c").agg(F.min("least_id").alias("component_id"))
-    of = labelled.join(least, "c").select("fp", "component_id")
-    return fps.join(of, "fp").select("id", "fp", "component_id")
+    of = labelled.join(least, "c").select("fp", F.col("c").alias("component"), "component_id")
+    return fps.join(of, "fp").select("id", "text_hash", "fp", "component", "component_id")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """One row of docs of each component, with all its columns: that of the smallest id, then of the smallest hash of its text.
+
+    Of repeated rows one stays; a null id stays only where a component has no other.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col, radius), "simhash-components")
+    pick = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("pick")
+    stays = found.groupBy("component").agg(pick).select(F.col("pick.id").alias("stays_id"), F.col("pick.text_hash").alias("stays_hash"))
+    key, text_hash = docs[id_col].cast("long"), F.xxhash64(docs[text_col])
+    kept = docs.join(stays, key.eqNullSafe(F.col("stays_id")) & (text_hash == F.col("stays_hash")), "left_semi")
+    if found.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates([id_col, text_col])
 
 
 def fingerprint_hex(fp: str = "fp"):

@@ -7,12 +7,11 @@ moves vectors and softmax together, through each document's worst window; misspe
 share n-grams, and so vectors, with those it has.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,3 +272,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns; judged where they are read, without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def toxic(texts: pd.Series) -> pd.Series:
+        rows = [b"" if t is None else t.encode() for t in texts]
+        return pd.Series(np.concatenate([sent.value.scores(rows[a:z]) for a, z in slices(rows, 512 << 10)] or [np.zeros(0)]))
+
+    return docs.where(toxic(F.col(text_col)) < threshold)
