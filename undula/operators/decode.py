@@ -1,12 +1,151 @@
-"""Decoding trials: splits."""
+"""Decoding trials by class: splits, spatial patterns, tangent space, linear discriminants, cross-validation.
+
+Trials are rows (unit, trial, label, x: channels by samples, row after row). A unit is what one decoder sees, a subject or
+a fold of one; it is a group, so a sweep's units run in parallel.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.operators import linalg
+
 
 def stratified_split(trials: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """trials(trial, label) with train: that share of every label, shuffled by a hash of the trial's number."""
     shuffled = Window.partitionBy("label").orderBy((F.col("trial") * 7919 + seed) % 10007, "trial")
     return trials.withColumn("train", F.row_number().over(shuffled) <= share * F.count("*").over(Window.partitionBy("label")))
+
+
+def stratified_folds(trials: DataFrame, k: int, by: list[str], seed: int = 42) -> DataFrame:
+    """Adds fold, 0 to k - 1, every label dealt out evenly."""
+    shuffled = Window.partitionBy(*by, "label").orderBy((F.col("trial") * 7919 + seed) % 10007, "trial")
+    return trials.withColumn("fold", F.row_number().over(shuffled) % k)
+
+
+def ledoit_wolf(x: np.ndarray) -> np.ndarray:
+    """x (samples, features) -> covariance shrunk towards its mean variance by the optimal amount."""
+    n, p = x.shape
+    d = x - x.mean(0)
+    s = d.T @ d / n
+    mu = np.trace(s) / p
+    delta = ((s - mu * np.eye(p)) ** 2).sum() / p
+    beta = min(((d**2).T @ (d**2) / n - s**2).sum() / (p * n), delta)
+    by = 0.0 if delta == 0 else beta / delta
+    return (1 - by) * s + by * mu * np.eye(p)
+
+
+def lda(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and threshold of a two-class discriminant with one shrunk covariance."""
+    m = [x[y == k].mean(0) for k in (0, 1)]
+    centred = np.concatenate([x[y == k] - m[k] for k in (0, 1)])
+    w = np.linalg.lstsq(ledoit_wolf(centred), m[1] - m[0], rcond=None)[0]
+    return w, float(w @ (m[0] + m[1]) / 2 - np.log(max((y == 1).mean(), 1e-9) / max((y == 0).mean(), 1e-9)))
+
+
+def csp_features(train: np.ndarray, y: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log power of the k spatial patterns that tell the classes apart most."""
+    c = [np.mean([ledoit_wolf(x.T) for x in train[y == g]], 0) for g in (0, 1)]
+    values, vectors = linalg.generalized(c[0][None], c[0] + c[1])
+    pick = np.argsort(np.abs(values[0] - 0.5))[::-1][:k]
+    w = vectors[0][:, pick].T
+    return tuple(np.log(np.maximum((w @ z).var(-1), 1e-300)) for z in (train, other))
+
+
+def _power(c: np.ndarray, f) -> np.ndarray:
+    v, u = np.linalg.eigh(c)
+    return (u * f(np.maximum(v, 1e-12))[..., None, :]) @ np.swapaxes(u, -1, -2)
+
+
+def tangent_features(train: np.ndarray, other: np.ndarray, steps: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Covariances as vectors in the tangent space at the training set's Riemannian mean."""
+    a, b = (np.stack([ledoit_wolf(x.T) for x in z]) for z in (train, other))
+    mean = a.mean(0)
+    for _ in range(steps):
+        root, back = _power(mean, np.sqrt), _power(mean, lambda v: v**-0.5)
+        step = _power(back @ a @ back, np.log).mean(0)
+        mean = root @ _power_of_symmetric(step) @ root
+        if np.linalg.norm(step) < 1e-8:
+            break
+    back = _power(mean, lambda v: v**-0.5)
+    i, j = np.triu_indices(a.shape[-1])
+    scale = np.where(i == j, 1, np.sqrt(2))
+    return tuple(_power(back @ c @ back, np.log)[:, i, j] * scale for c in (a, b))
+
+
+def _power_of_symmetric(c: np.ndarray) -> np.ndarray:
+    v, u = np.linalg.eigh(c)
+    return (u * np.exp(v)) @ u.T
+
+
+def patterns_for(channels: int) -> int:
+    return min(4, channels // 2) if channels < 16 else 8 if channels >= 50 else 6
+
+
+def predict(train: np.ndarray, y: np.ndarray, test: np.ndarray, method: str) -> np.ndarray:
+    if method == "csp":
+        a, b = csp_features(train, y, test, patterns_for(train.shape[1]))
+    elif method == "riemann":
+        a, b = tangent_features(train, test)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    w, c = lda(a, y)
+    return (b @ w > c).astype(int)
+
+
+RESULT = "unit string, n_train int, n_test int, balanced_accuracy double, kappa double, error string"
+
+
+def balanced_accuracy_kappa(y: np.ndarray, p: np.ndarray) -> tuple[float, float]:
+    ba = float(np.mean([(p[y == k] == k).mean() for k in np.unique(y)]))
+    po, pe = (y == p).mean(), sum((y == k).mean() * (p == k).mean() for k in (0, 1))
+    return ba, float((po - pe) / (1 - pe)) if pe < 1 else 0.0
+
+
+def decode(trials: DataFrame, channels: int, method: str = "csp", least_train: int = 8, least_test: int = 4) -> DataFrame:
+    """trials(unit, trial, label 0/1, train, x) -> one row per unit (RESULT). Too few trials or a failure: null accuracy and the reason."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.asarray(v, float).reshape(channels, -1) for v in pdf["x"]])
+        y, t = pdf["label"].to_numpy(), pdf["train"].to_numpy(bool)
+        ba = kappa = error = None
+        try:
+            if t.sum() < least_train or (~t).sum() < least_test or len(np.unique(y[t])) < 2:
+                raise ValueError("too few trials")
+            ba, kappa = balanced_accuracy_kappa(y[~t], predict(x[t], y[t], x[~t], method))
+        except (ValueError, np.linalg.LinAlgError) as e:
+            error = str(e)
+        return pd.DataFrame({"unit": [pdf["unit"].iloc[0]], "n_train": [int(t.sum())], "n_test": [int((~t).sum())], "balanced_accuracy": [ba], "kappa": [kappa], "error": [error]})
+
+    return trials.groupBy("unit").applyInPandas(one, RESULT)
+
+
+def _fold_units(trials: DataFrame, k: int) -> DataFrame:
+    """Every fold of every unit as a unit of its own, in which that fold is the test set."""
+    folds = stratified_folds(trials, k, ["unit"])
+    copies = folds.withColumn("test", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return copies.withColumn("train", F.col("fold") != F.col("test")).withColumn("unit", F.concat_ws("/", "unit", F.col("test").cast("string")))
+
+
+def cross_validate(trials: DataFrame, channels: int, k: int = 5, method: str = "csp") -> DataFrame:
+    """Mean, deviation and percentile range of the folds' accuracies; failed folds are left out, all failed gives nulls."""
+    scored = decode(_fold_units(trials, k), channels, method, least_test=1).withColumn("unit", F.regexp_replace("unit", "/[^/]*$", ""))
+    ba = "balanced_accuracy"
+    q = F.percentile(ba, F.array(F.lit(0.025), F.lit(0.975)))
+    return scored.groupBy("unit").agg(F.avg(ba).alias("mean"), F.stddev_pop(ba).alias("std"), F.avg("kappa").alias("kappa"), q[0].alias("lo"), q[1].alias("hi"), F.count(ba).alias("n_folds"))
+
+
+def permutation_test(trials: DataFrame, channels: int, permutations: int = 100, k: int = 3, method: str = "csp", seed: int = 7) -> DataFrame:
+    """(unit, observed, p): share of label shuffles that decode at least as well. Every shuffle is a unit of its own."""
+    copies = trials.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(permutations)))).withColumn("own", F.col("unit"))
+    # a shuffle deals the labels, in their own order, to the trials in a hashed order; number 0 is as it was
+    by_trial, by_hash = Window.partitionBy("own", "shuffle").orderBy("trial"), Window.partitionBy("own", "shuffle").orderBy(F.xxhash64("trial", "shuffle", F.lit(seed)), "trial")
+    placed = copies.withColumn("a", F.row_number().over(by_trial)).withColumn("b", F.when(F.col("shuffle") == 0, F.col("a")).otherwise(F.row_number().over(by_hash)))
+    labels = placed.select("own", "shuffle", F.col("b").alias("a"), F.col("label").alias("dealt"))
+    shuffled = placed.drop("b").join(labels, ["own", "shuffle", "a"]).select(F.concat_ws("#", "own", "shuffle").alias("unit"), "trial", F.col("dealt").alias("label"), "x")
+    scores = cross_validate(shuffled, channels, k, method).select(F.split("unit", "#")[0].alias("unit"), F.split("unit", "#")[1].cast("int").alias("shuffle"), "mean")
+    seen = scores.where("shuffle = 0").select("unit", F.col("mean").alias("observed"))
+    return scores.where("shuffle > 0").join(seen, "unit").groupBy("unit", "observed").agg(F.avg((F.col("mean") >= F.col("observed")).cast("double")).alias("p"))
