@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 
 #: Words that a worker keeps; later ones are encoded anew each time. This bounds its memory and changes no result.
-CACHE_LIMIT = 700_000
+CACHE_LIMIT = 450_000
 MARK = "▁"
 
 
