@@ -188,10 +188,10 @@ def haar_band_k(spark, sf_dir):
     return bands(spark, sf_dir).select("rec", "ch", "i", "band", F.round(F.col("v") + 1e-8, 6).alias("v"))
 
 
-@register(f"with {REC}, {levels_sql('rec', 5)} select r.rec, r.ch, r.i, round(r.v - a.v, 6) as v from rec r join {flat_sql('a5')} a using (rec, ch, i)")
+@register(f"with {REC}, {levels_sql('rec', 5)} select r.rec, r.ch, r.i, round(r.v - a.v + 1e-8::double, 6) as v from rec r join {flat_sql('a5')} a using (rec, ch, i)")
 def wavelet_highpass(spark, sf_dir):
     # bands 6 and 7 of seven end at or below 0.5
-    return signal.wavelet_highpass(events_recording(spark, sf_dir), HOURS, FS, 0.4).select("rec", "ch", "i", *r6("v"))
+    return signal.wavelet_highpass(events_recording(spark, sf_dir), HOURS, FS, 0.4).select("rec", "ch", "i", F.round(F.col("v") + 1e-8, 6).alias("v"))
 
 
 @register(f"with {BANDS} select rec, ch, band, round(var_pop(v), 6) as energy, round(12 / 2.0::double ** least(band - 1, 6), 6) as hi_hz from bands group by all")
@@ -292,9 +292,9 @@ def channel_name_match(spark, sf_dir):
 # Windows ----------------------------------------------------------------------------------------------------------
 
 
-@register(f"with {REC}, s as (select rec, ch, i, v, 1 as stream, i // 48 as epoch from rec union all select rec, ch, i, v, 2, (i - 24) // 48 from rec where i >= 24) select rec, stream, epoch, count(*) as n, round(avg(v), 6) as mean from s group by all")
+@register(f"with {REC}, s as (select rec, ch, i, v, 1 as stream, i // 48 as epoch from rec union all select rec, ch, i, v, 2, (i - 24) // 48 from rec where i >= 24) select rec, stream, epoch, count(*) as n, round(avg(v) + 1e-8::double, 6) as mean from s group by all")
 def half_shift_epochs(spark, sf_dir):
-    return signal.half_shifted(events_recording(spark, sf_dir), 48).groupBy("rec", "stream", "epoch").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    return signal.half_shifted(events_recording(spark, sf_dir), 48).groupBy("rec", "stream", "epoch").agg(F.count("*").alias("n"), F.round(F.avg("v") + 1e-8, 6).alias("mean"))
 
 
 @register(f"with {REC} select rec, ch, i, round(v, 6) as v, 1.0::double as weight from rec")
