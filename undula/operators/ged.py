@@ -74,6 +74,41 @@ def search(s: Spectrum, ref: np.ndarray, ref_components: np.ndarray, multiplier:
     return t, eigenvalue_threshold(t, s.values)
 
 
+def largest_step(x: np.ndarray) -> int | None:
+    """Where the slope of a smoothed series changes most: the split into two with the largest weighted difference of means."""
+    g = np.diff(np.convolve(x, np.ones(3) / 3, "same"))
+    n = len(g)
+    if n < 4:
+        return None
+    k = np.arange(2, n - 1)
+    left = np.cumsum(g)[k - 1]
+    return int(k[np.argmax(np.abs(left / k - (g.sum() - left) / (n - k)) * np.sqrt(k * (n - k) / n))])
+
+
+def grid_search(s: Spectrum, ref: np.ndarray, pcs: np.ndarray, multiplier: float, lo: float, hi: float, step: float = 1 / 3) -> tuple[float, float]:
+    """The search on a grid, guarded: a curve that rises steeply to its upper end (over five times its first quarter, and by
+    more than 20) is held at the last place near that quarter's median; a peak at the end that lies beyond the noise
+    similarity's change of slope is moved there."""
+    grid = np.arange(lo, hi + step / 2, step)
+    thetas = [eigenvalue_threshold(t, s.values) for t in grid]
+    score = np.array([sensai(s, ref, pcs, th, multiplier) for th in thetas])
+    noise = (np.array([sensai(s, ref, pcs, th, 0.0) for th in thetas]) - score) / multiplier
+    peak, base = int(score.argmax()), float(np.median(score[: max(1, len(grid) // 4)]))
+    at_end, turn = peak >= len(grid) - 2, largest_step(noise)
+    if at_end and abs(score[peak]) > 5 * max(abs(base), 1.0) and score[peak] > base + 20:
+        near = np.flatnonzero(np.abs(score - base) <= max(1.0, 0.1 * abs(base)))
+        peak = int(near[-1]) if len(near) else 0
+    elif at_end and turn is not None and 0 < turn < peak:
+        peak = turn
+    return float(grid[peak]), thetas[peak]
+
+
+def epoch_similarity(epoch: np.ndarray, pcs: np.ndarray) -> float:
+    """Geometric mean of the cosines between an epoch's leading space and the reference's."""
+    q = linalg.top_components(linalg.covariance(epoch), pcs.shape[1])
+    return float(np.clip(np.linalg.svd(q.T @ pcs, compute_uv=False), 0, 1).prod() ** (1 / pcs.shape[1]))
+
+
 def window_thresholds(s: Spectrum, ref: np.ndarray, pcs: np.ndarray, multiplier: float, lo: float, hi: float, size: int) -> np.ndarray:
     """A threshold for each epoch from half-overlapping windows of `size` epochs: smoothed, then interpolated."""
     n = len(s.values)

@@ -92,3 +92,11 @@ def extents(df: DataFrame, by: list[str], col: str, share: float = 0.05) -> Data
 
     r = F.sqrt(F.var_samp(col) * (-2 * math.log(share)))
     return df.groupBy(*by).agg((F.avg(col) - r).alias("lo"), (F.avg(col) + r).alias("hi"))
+
+
+def eog_correlation_reduction(triple: DataFrame, eog: DataFrame) -> DataFrame:
+    """eog(rec, i, e): how much less the channels correlate with it, in the mean of absolute values."""
+    j = triple.join(eog, ["rec", "i"])
+    per = j.groupBy("rec", "ch").agg(F.abs(safe_corr("cor", "e")).alias("before"), F.abs(safe_corr("cln", "e")).alias("after"))
+    zero = F.lit(0.0)
+    return per.groupBy("rec").agg((F.coalesce(F.avg("before"), zero) - F.coalesce(F.avg("after"), zero)).alias("reduction"))

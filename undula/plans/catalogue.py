@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from undula.functions import itr
 from undula.functions.scalars import even_samples
-from undula.operators import inject, quality, reject, signal, stats
+from undula.operators import inject, montage, quality, reject, signal, stats
+from undula.plans import sweep
 from undula.sources import adapters
 from undula.sources.adapters import FS, HOURS, events_recording
 
@@ -593,3 +594,69 @@ j as (select coalesce(row, 0) as row, coalesce(hit, 0) as hit, coalesce(col, 0)
 select round(avg(case when row > 0 then hit / row end), 6) as balanced_accuracy, round((sum(hit) / sum(row) - sum(row * col) / sum(row) ** 2) / (1 - sum(row * col) / sum(row) ** 2), 6) as kappa from j""")
 def confusion_ba_kappa(spark, sf_dir):
     return stats.accuracy_kappa(adapters.table(spark, sf_dir, "labels"), "quality", "toxic").select(*r6("balanced_accuracy", "kappa"))
+
+
+# Sweeps and montages ----------------------------------------------------------------------------------------------
+
+CUTS = [0.45, 0.5, 0.55, 0.6, 0.65]
+
+
+@register(f"""with {PARTS}, {MARKED_ALL}, e as (select rec, epoch, round(enova, 9) as enova, epoch in (select epoch from marked) as hit from ({EPOCH})), t as (select unnest({CUTS})::double as thr),
+c as (select rec, thr, count(*) as n, count(*) filter (where enova > thr) as bad, avg(enova) as m, count(*) filter (where enova > thr and hit) as tp, count(*) filter (where enova > thr and not hit) as fp,
+  count(*) filter (where enova <= thr and hit) as fn, count(*) filter (where not hit) as clean from e, t group by rec, thr)
+select rec, thr as enova_threshold, n as n_1s_windows_total, bad as n_1s_windows_rejected, round(100 * (1 - bad / n), 6) as pct_retained, round(m, 6) as mean_enova, tp as n_true_positives, fp as n_false_positives,
+fn as n_missed, clean as n_clean_windows, round(tp / greatest(tp + fp, 1), 6) as rejection_precision, round(tp / greatest(tp + fn, 1), 6) as rejection_recall, round(fp / greatest(clean, 1), 6) as false_rejection_rate from c""")
+def threshold_sweep(spark, sf_dir):
+    e = enova(spark, sf_dir).withColumn("enova", F.round("enova", 9))
+    s = sweep.apply_thresholds(e, CUTS, marked(spark, sf_dir))
+    rounded = {"pct_retained", "mean_enova", "rejection_precision", "rejection_recall", "false_rejection_rate"}
+    return s.select(*[F.round(c, 6).alias(c) if c in rounded else c for c in s.columns])
+
+
+@register()
+def artifact_benchmark(spark, sf_dir):
+    b = sweep.artifact_benchmark(indexed(spark, sf_dir), sweep.deterministic_injectors(FS, EPOCHS, FS), HOURS)
+    return b.select("artifact_type", "rec", *r6("snr_improvement_db", "rmse", "residual_power_ratio", "correlation"))
+
+
+@register(f"""with {SWEEP}, m as (select thr, round(avg(ba_rej), 9) as v, row_number() over (order by thr) as r, count(*) over () as n from sweep group by thr)
+select (select thr from m order by v desc, thr limit 1) as peak, (select thr from m where r <= n // 2 order by v desc, thr limit 1) as first_half_peak""")
+def two_peaks(spark, sf_dir):
+    return sweep.two_peaks(adapters.sweep(spark, sf_dir).groupBy("thr").agg(F.avg("ba_rej").alias("v")), "thr", "v")
+
+
+@register(f"""with {REC}, pos as (select ch, cos(2 * pi() * ch_idx / count(*) over ()) as x, sin(2 * pi() * ch_idx / count(*) over ()) as y from idx), bad as (select ch from idx where ch_idx = 1),
+w as (select p.ch as t, q.ch as f, 1 / ((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + 1e-12) as w from pos p, pos q where p.ch in (from bad) and q.ch not in (from bad)
+  qualify row_number() over (partition by p.ch order by (p.x - q.x) ** 2 + (p.y - q.y) ** 2, q.ch) <= 4)
+select rec, ch, i, round(v + 1e-8::double, 6) as v from rec where ch not in (from bad) union all
+select r.rec, w.t, r.i, round(sum(w.w * r.v) / sum(w.w) + 1e-8::double, 6) from rec r join w on r.ch = w.f group by all""")
+def interpolate_bad(spark, sf_dir):
+    rec = events_recording(spark, sf_dir)
+    places = adapters.ring_positions(rec)
+    out = montage.interpolate_channels(rec, places, places.where("ch_idx = 1"))
+    return out.select("rec", "ch", "i", F.round(F.col("v") + 1e-8, 6).alias("v"))
+
+
+@register("""with p as (select distinct 'brand#' || (n_nationkey + 11) as name, n_nationkey as idx from nation where n_nationkey < 5)
+select a.name as a, b.name as b, round(1 / (1.0::double + abs(a.idx - b.idx)), 6) as g from p a, p b""")
+def reference_gather(spark, sf_dir):
+    n = adapters.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx"))
+    template = n.select("idx", F.concat(F.lit("Brand#"), F.col("idx") + 11).alias("label"))
+    matrix = n.select(F.col("idx").alias("i")).join(F.broadcast(n.select(F.col("idx").alias("j"))), F.lit(True)).withColumn("g", 1 / (1.0 + F.abs(F.col("i") - F.col("j"))))
+    names = template.where("idx < 5").select(F.lower("label").alias("name"))
+    return montage.gather(matrix, template, names).select("a", "b", *r6("g"))
+
+
+@register(f"""with {TRIPLE}, e as (select rec, i, avg(ref) as e from triple group by all), c as (select t.rec, ch, abs(corr(cor, e)) as a, abs(corr(cln, e)) as b from triple t join e using (rec, i) group by all)
+select rec, round(avg(a) - avg(b), 6) as reduction from c group by rec""")
+def eog_reduction(spark, sf_dir):
+    t = triple(spark, sf_dir)
+    return quality.eog_correlation_reduction(t, t.groupBy("rec", "i").agg(F.avg("ref").alias("e"))).select("rec", *r6("reduction"))
+
+
+@register(f"""with {SWEEP}, d as (select thr, round(ba_rej - ba_rec, 9) as d from sweep), r as (select thr, d, rank() over (partition by thr order by abs(d)) + (count(*) over (partition by thr, abs(d)) - 1) / 2 as r from d where d <> 0)
+select thr, count(*) as n, sum(case when d > 0 then r else 0 end)::double as w_plus, sum(case when d < 0 then r else 0 end)::double as w_minus, least(w_plus, w_minus) as w from r group by thr""")
+def reject_vs_reconstruct(spark, sf_dir):
+    s = adapters.sweep(spark, sf_dir)
+    a, b = s.select(*stats.SUBJECT, "thr", F.col("ba_rej").alias("x")), s.select(*stats.SUBJECT, "thr", F.col("ba_rec").alias("y"))
+    return stats.wilcoxon_w(a.join(b, [*stats.SUBJECT, "thr"]).select("thr", (F.col("x") - F.col("y")).alias("d")), ["thr"])
