@@ -24,17 +24,19 @@ class Settings:
     buckets: int = 1 << 18
     dim: int = 8
     sizes: tuple[int, ...] = (3, 4, 5, 6)
-    window: int = 3
+    window: int = 2
     #: The bound of the sample that training sees: documents of each label, and the longest text among them in bytes.
-    sample_per_label: int = 1_500
+    sample_per_label: int = 1_000
     longest_sample: int = 8_192
     #: A feature found in fewer sample documents is left at zero.
     least_documents: int = 4
     #: Times that the worst windows are chosen anew, steps in between, and clean windows that a document adds each time.
-    rounds: int = 10
+    rounds: int = 14
     steps: int = 10
-    hard: int = 2
+    hard: int = 4
     rate: float = 0.3
+    #: Squared gradient that every vector starts with: the more, the less a rare feature moves.
+    damping: float = 1.0
 
 
 def _features(texts: list[bytes], s: Settings):
@@ -157,7 +159,7 @@ def _bags(texts: list[bytes], s: Settings) -> _Bags:
 def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Settings = Settings()) -> Model:
     """labels: 1 toxic, 0 not. Without both labels, or without words, the model is constant.
 
-    Every round takes each document's worst window under the model so far (at first: under the features' log-odds); the
+    Every round takes each document's worst window under the model so far (at first: under the features' excess in toxic documents); the
     worst windows of clean documents are kept for all later rounds. Steps of gradient descent over these windows move the
     buckets' vectors and the softmax at once; a last logistic fit over the documents turns logits into probabilities.
     """
@@ -172,7 +174,9 @@ def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Setting
     # documents of each label that a word, and by its words a feature, occurs in
     df = [np.bincount(bags.feature, np.bincount(pair % n_words, labels[pair // n_words] == y, n_words)[bags.feature_word], s.buckets) for y in (0, 1)]
     live = df[0] + df[1] >= s.least_documents
-    odds = np.where(live, np.log((df[1] + 0.5) / (labels == 1).sum()) - np.log((df[0] + 0.5) / (labels == 0).sum()), 0)
+    # how many standard deviations more of the toxic documents have a feature than the share of all that have it
+    n1, both = (labels == 1).sum(), (df[0] + df[1]) / len(labels)
+    excess = np.where(live, (df[1] - n1 * both) / np.sqrt(n1 * both + 1), 0)
     feature_word, feature = bags.feature_word[live[bags.feature]], bags.feature[live[bags.feature]]
     n_all = np.bincount(bags.feature_word, minlength=n_words)
     from_word = np.searchsorted(feature_word, np.arange(n_words + 1))
@@ -197,8 +201,8 @@ def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Setting
     vectors = (rng.normal(0, 0.05, (s.buckets, s.dim)) * live[:, None]).astype(np.float32)
     softmax = np.stack([-np.ones(s.dim), np.ones(s.dim)], axis=1).astype(np.float32)
     offset = np.zeros(2, np.float32)
-    moved, moved_softmax, moved_offset = np.full_like(vectors, 1e-6), np.full_like(softmax, 1e-2), np.full_like(offset, 1e-2)
-    logit, clean, toxic = window_logits(odds), np.zeros(0, np.int64), labels[text] == 1
+    moved, moved_softmax, moved_offset = np.full_like(vectors, s.damping), np.full_like(softmax, 1e-2), np.full_like(offset, 1e-2)
+    logit, clean, toxic = window_logits(excess), np.zeros(0, np.int64), labels[text] == 1
     for _ in range(s.rounds):
         found = worst(logit, s.hard)
         clean = np.union1d(clean, found[~toxic[found]])
@@ -214,14 +218,18 @@ def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Setting
         own = feature[np.repeat(from_word[w] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         window = np.repeat(window, n)
         used, local = np.unique(own, return_inverse=True)
+        local, window = local.astype(np.int32), window.astype(np.int32)
+        # features are gone through in blocks, so that only some have their vectors copied out at a time
+        blocks = [slice(k, k + (1 << 18)) for k in range(0, len(local), 1 << 18)]
         for _ in range(s.steps):
             v = vectors[used]
-            mean = _sums(window, v[local], len(active)) / size[active][:, None]
+            mean = sum(_sums(window[b], v[local[b]], len(active)) for b in blocks) / size[active][:, None]
             z = mean @ softmax + offset
             p = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30)))
             error = (p - y) * pull
             both = np.stack([-error, error], axis=1)
-            d_vectors = _sums(local, ((both @ softmax.T) / size[active][:, None])[window], len(used))
+            pulled = ((both @ softmax.T) / size[active][:, None]).astype(np.float32)
+            d_vectors = sum(_sums(local[b], pulled[window[b]], len(used)) for b in blocks)
             for x, g, m in ((softmax, mean.T @ both / len(active), moved_softmax), (offset, both.mean(0), moved_offset)):
                 m += g * g
                 x -= s.rate * g / np.sqrt(m)
