@@ -20,6 +20,8 @@ from undula.llm.common import byte_rows, materialize, slices
 from undula.llm.tokencount import piece_vocabulary
 
 SYMBOLS = b"#*$%&|<>"
+#: Bands up to this number are broadcast.
+BANDS_SENT = 20_000
 
 
 @dataclass(frozen=True)
@@ -118,7 +120,9 @@ def verdicts(docs: DataFrame, vocabulary: str, rules: Rules = Rules(), id_col: s
     m = m.withColumn("base_failed", failed).withColumn("key", F.concat_ws(" ", length.cast("string"), "lang"))
     judged = ~F.col("base_failed") & (F.col("n_tokens") >= rules.min_tokens)
     quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5)), F.lit(10_000)).alias(f"q_{c}") for c in ("chars_per_token", "entropy")]
-    bands = m.where(judged).groupBy("key").agg(*quartiles)
+    bands = materialize(m.where(judged).groupBy("key").agg(*quartiles), "fertility-bands")
+    # languages times length classes: sent along where that is proven small, joined by key otherwise
+    bands = F.broadcast(bands) if bands.limit(BANDS_SENT + 1).count() <= BANDS_SENT else bands
 
     def below(c: str):
         median, quartile = F.col(f"q_{c}")[1], F.col(f"q_{c}")[0]
