@@ -167,6 +167,18 @@ def test_quotes(spark):
     assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotes_equal_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from tests.oracle import assert_same
+    from undula.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(CHAT, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert_same(quotes.conversations(spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")), con, ORACLE_SQL["op3_quotation_links"])
+
+
 def test_a_long_chain_of_replies(spark):
     rows = [(1, 0, "u", "message 0")] + [(1, k, "u", f"> message {k - 1}\nmessage {k}") for k in range(1, 40)]
     got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

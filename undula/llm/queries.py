@@ -93,6 +93,48 @@ select page_id, payload_bytes::bigint as payload_bytes,
   case when page_id is not distinct from last then 'response' else 'revisit' end as record_type,
   case when page_id is distinct from last then last end as refers_to
 from b""",
+    "op3_quotation_links": r"""
+with recursive m as (
+  select distinct conv_id as conv, turn, text, regexp_matches(text, '(?m)^[ \t]*>') as quotes from conversations where conv_id is not null and turn is not null and text is not null
+), lines as (
+  select conv, turn, text, unnest(range(1, len(l) + 1)) as i, unnest(l) as line from (select *, string_split(text, chr(10)) as l from m where quotes)
+), cut as (
+  select conv, turn, text, i, len(p) - len(replace(p, '>', '')) as level, substr(line, len(p) + 1) as said from (select *, regexp_extract(line, '^[ \t]*(?:>[ \t]?)+') as p from lines)
+), marked as (
+  select *, trim(regexp_replace(said, '\s+', ' ', 'g')) = '' as blank from cut
+), opened as (
+  select *, (level <> lag(level, 1, -1) over (partition by conv, turn, text order by i) or blank)::int as opens from marked
+), numbered as (
+  select *, sum(opens) over (partition by conv, turn, text order by i) as number from opened
+), spoken as (
+  select conv, turn, 0 as level, unnest(regexp_split_to_array(text, '\n[ \t\r]*(?:\n[ \t\r]*)+')) as said from m where not quotes
+  union all select conv, turn, level, string_agg(said, ' ' order by i) from numbered where not blank group by conv, turn, text, number, level
+), passages as (
+  select distinct conv, turn, level, lower(trim(regexp_replace(said, '\s+', ' ', 'g'))) as passage from spoken
+), quoted as (
+  select * from passages where level > 0 and passage <> ''
+), said as (
+  select conv, turn, passage from passages where level = 0 and passage in (select passage from quoted)
+), origin as (
+  select q.conv, q.turn, q.level, q.passage, max(s.turn) filter (where s.conv = q.conv and s.turn < q.turn) as near, min({'c': s.conv, 't': s.turn}) as first
+  from quoted q left join said s on s.passage = q.passage group by all
+), links as (
+  select conv, turn, level, case when near is not null then conv when first.c <> conv then first.c end as from_conv, case when near is not null then near when first.c <> conv then first.t end as from_turn from origin
+), per as (
+  select conv, turn, count(*) as n_quotes, count(from_turn) as n_linked,
+    max({'own': from_conv = conv, 't': from_turn, 'c': -from_conv}) filter (where level = 1 and from_turn is not null) as reply from links group by conv, turn
+), replies as (
+  select conv, turn, reply.t as up from per where -reply.c = conv
+), chain as (
+  select conv, turn, up as thread, 1 as depth from replies
+  union all select c.conv, c.turn, r.up, c.depth + 1 from chain c join replies r on r.conv = c.conv and r.turn = c.thread
+), roots as (
+  select conv, turn, arg_max(thread, depth) as thread, max(depth) as depth from chain group by conv, turn
+)
+select c.conv_id, c.turn, c.role, coalesce(n_quotes, 0) as n_quotes, coalesce(n_linked, 0) as n_linked, -reply.c as reply_to_conv, reply.t as reply_to_turn,
+  coalesce(roots.thread, c.turn) as thread_turn, coalesce(roots.depth, 0)::bigint as depth,
+  case when c.text is not null then array_to_string([x for x in string_split(c.text, chr(10)) if not regexp_matches(x, '^[ \t]*>')], chr(10)) end as body
+from conversations c left join per on per.conv = c.conv_id and per.turn = c.turn left join roots on roots.conv = c.conv_id and roots.turn = c.turn""",
     "op2_mixing": """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
@@ -118,4 +160,20 @@ with d as (
   from n join t on n.source is not distinct from t.source
 )
 select doc_id, size, source_size, target, ((floor(rate * place + u) - floor(rate * (place - 1) + u)) * size)::bigint as taken from x""",
+    "op5_decontamination": r"""
+with i as (
+  select item_id, regexp_extract_all(lower(text), '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+') as w from benchmark where text is not null
+), n as (
+  select item_id, w, least(5, len(w)) as k from i where len(w) > 0
+), s as (
+  select distinct item_id, k, unnest([array_to_string(w[a:a + k - 1], ' ') for a in range(1, len(w) - k + 2)]) as g from n
+), d as (
+  select doc_id, regexp_extract_all(lower(text), '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+') as w from documents where text is not null
+), x as (
+  select distinct doc_id, k, unnest([array_to_string(w[a:a + k - 1], ' ') for a in range(1, len(w) - k + 2)]) as g from d, (select distinct k from n)
+), c as (
+  select doc_id, item_id, count(*) as shared from x join s using (k, g) group by all
+)
+select doc_id, item_id, size::int as item_shingles, shared::int as shared, shared / size as containment
+from c join (select item_id, count(*) as size from s group by item_id) using (item_id) where shared >= 0.8::double * size""",
 }
