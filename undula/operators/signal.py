@@ -170,14 +170,16 @@ def between_neighbours(col: str, by: list[str], order: str) -> Column:
     return (F.col(col) + F.lead(col).over(Window.partitionBy(*by).orderBy(order))) / 2
 
 
-def changepoint(series: DataFrame, by: list[str], order: str, col: str) -> DataFrame:
-    """The split of a smoothed series' slope into two with the largest |difference of means| * sqrt(k (n - k) / n)."""
+def changepoint(series: DataFrame, by: list[str], order: str, col: str, width: int = 6) -> DataFrame:
+    """The split of a smoothed series' slope into two with the largest |difference of means| * sqrt(k (n - k) / n), as a
+    place in the series; the moving mean over `width` counts zeros beyond the ends."""
     w = Window.partitionBy(*by).orderBy(order)
-    smooth = series.withColumn("s", F.avg(col).over(w.rowsBetween(-1, 1)))
+    ahead = (width - 1) // 2
+    smooth = series.withColumn("s", F.sum(col).over(w.rowsBetween(ahead + 1 - width, ahead)) / width)
     slope = smooth.withColumn("g", F.lead("s").over(w) - F.col("s")).where("g is not null")
     everything = Window.partitionBy(*by)
     run = slope.withColumn("k", F.row_number().over(w)).withColumn("left", F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     run = run.withColumn("n", F.count("*").over(everything)).withColumn("all", F.sum("g").over(everything)).where((F.col("k") >= 2) & (F.col("k") <= F.col("n") - 2))
     gap = F.abs(F.col("left") / F.col("k") - (F.col("all") - F.col("left")) / (F.col("n") - F.col("k")))
     score = F.round(gap * F.sqrt(F.col("k") * (F.col("n") - F.col("k")) / F.col("n")), 9)
-    return run.groupBy(*by).agg(F.max_by("k", F.struct(score.alias("score"), (-F.col("k")).alias("k"))).alias("split"), F.max(score).alias("score"))
+    return run.groupBy(*by).agg((F.max_by("k", F.struct(score.alias("score"), (-F.col("k")).alias("k"))) + 1).alias("split"), F.max(score).alias("score"))

@@ -326,10 +326,10 @@ def stream2_thresholds(spark, sf_dir):
     return enova(spark, sf_dir).select("rec", "epoch", F.round(signal.between_neighbours("enova", ["rec"], "epoch"), 6).alias("enova"))
 
 
-@register(f"""with {PARTS}, e as ({EPOCH}), s as (select rec, epoch, avg(enova) over (partition by rec order by epoch rows between 1 preceding and 1 following) as s from e),
+@register(f"""with {PARTS}, e as ({EPOCH}), s as (select rec, epoch, sum(enova) over (partition by rec order by epoch rows between 3 preceding and 2 following) / 6 as s from e),
 g as (select rec, list(d order by epoch) as g from (select rec, epoch, lead(s) over (partition by rec order by epoch) - s as d from s) where d is not null group by rec),
 k as (select rec, k, round(abs(list_avg(g[:k]) - list_avg(g[k + 1:])) * sqrt(k * (len(g) - k) / len(g)), 9) as score from g, range(2, 28) t(k) where k <= len(g) - 2)
-select rec, arg_max(k, score - k * 1e-15)::int as split, round(max(score), 6) as score from k group by rec""")
+select rec, arg_max(k, score - k * 1e-15)::int + 1 as split, round(max(score), 6) as score from k group by rec""")
 def changepoint(spark, sf_dir):
     return signal.changepoint(enova(spark, sf_dir), ["rec"], "epoch", "enova").select("rec", F.col("split").cast("int").alias("split"), *r6("score"))
 
