@@ -33,9 +33,10 @@ def dataset_info(spark: SparkSession, name: str) -> DataFrame:
 def events_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly means of event values: a channel for each event type on a dense grid of hours, 0 where nothing happened."""
     hour = F.timestamp_diff("HOUR", F.lit(START).cast("timestamp_ntz"), F.col("ts")).cast("long")
-    cells = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("ch"), hour.alias("i")).agg(F.avg("value").alias("v"))
+    events = table(spark, sf_dir, "events")
+    cells = events.groupBy(F.col("event_type").alias("ch"), hour.alias("i")).agg(F.avg("value").alias("v"))
     # the grid is one row per channel and hour, however many events there are
-    grid = cells.select("ch").distinct().select("ch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))).alias("i"))
+    grid = events.select(F.col("event_type").alias("ch")).distinct().select("ch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))).alias("i"))
     return grid.join(cells, ["ch", "i"], "left").select(F.lit("events").alias("rec"), "ch", "i", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
