@@ -1,8 +1,6 @@
 import random
 import re
-import zlib
 
-import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F

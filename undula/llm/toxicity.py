@@ -42,7 +42,6 @@ class Settings:
 def _features(texts: list[bytes], s: Settings):
     """(words, starts of the words' places in a buffer of marked words, [(valid, bucket) per n-gram size], word buckets)."""
     w = textscan.words(texts, matching=True)
-    keep = np.zeros(len(w.data), bool)
     size = w.end - w.start
     at = np.concatenate([[0], np.cumsum(size + 1)])
     spread = np.zeros(len(w.data) + 1, np.int64)
