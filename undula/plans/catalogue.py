@@ -5,7 +5,6 @@ Floating results are rounded to six digits, as sums in another order differ in t
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
