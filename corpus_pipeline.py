@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash stays."""
+    """One document stays of each group linked by SimHash (3 bits) or by 5-word shingles of Jaccard similarity 0.8 or more."""
     return simhash.without_copies(docs)
 
 

@@ -153,3 +153,40 @@ def test_line_dedup_of_a_long_line(spark):
     docs = [(0, long, "en", "s", 0), (1, long[:31_000] + "X" + long[31_001:], "en", "s", 0), (2, long[:-1], "en", "s", 0), (3, "X" + long[5:], "en", "s", 0)]
     got = {r["id"]: r["n_near"] for r in linededup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
+def jaccard_5(a, b):
+    x, y = (shingles_5(t) for t in (a, b))
+    return 5 * len(x & y) >= 4 * len(x | y) > 0
+
+
+def shingles_5(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("limit", [64, 4])
+def test_copies_equal_brute_force_over_shingles(spark, limit):
+    rng, extra = random.Random(12), []
+    for g, size in enumerate((2, 3, 30)):
+        base = words(rng, 130).split()
+        for k in range(size):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 5])):
+                w[rng.randrange(len(w))] = words(rng, 1) + str(k)
+            extra.append((300 + 100 * g + k, " ".join(w), "en", "s", 0))
+    line = words(rng, 9)  # a common line alone links nothing
+    extra += [(700 + k, f"{words(rng, 12)} {line}", "en", "s", 0) for k in range(20)]
+    docs = documents(spark, extra)
+    rows = [(r["doc_id"], r["text"] or "", plain_fingerprint(r["text"])) for r in docs.collect()]
+    text = dict(enumerate(rows))
+    linked = lambda a, b: (text[a][2] ^ text[b][2]).bit_count() <= 3 or jaccard_5(text[a][1], text[b][1])
+    root = components(list(text), linked)
+    least = {}
+    for k, (i, _, _) in text.items():
+        if i is not None:
+            least[root[k]] = min(least.get(root[k], i), i)
+    got = simhash.copies(clashing(docs), key_limit=limit).collect()
+    assert sorted((repr(r["id"]), r["component_id"]) for r in got) == sorted((repr(i), least[root[k]]) for k, (i, _, _) in text.items())
+    narrow = components(list(text), lambda a, b: (text[a][2] ^ text[b][2]).bit_count() <= 3)
+    assert len(set(root.values())) < len(set(narrow.values()))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undula.llm import jaccard
 from undula.llm.common import byte_rows, materialize
 from undula.llm.components import connected_components
 
@@ -150,20 +151,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of null ids only has a null component_id. Repeated rows are returned as often. Empty table: no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "simhash-fps")
+    return _joined(fps, links(fps.select("fp").distinct(), radius, bucket_limit))
+
+
+def _joined(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """fps(id, text_hash, fp) with the component of each and its smallest id, over edges (a, b) of fingerprints."""
     nodes = fps.groupBy("fp").agg(F.min("id").alias("least_id"))
-    found = connected_components(links(nodes.select("fp"), radius, bucket_limit))
+    found = connected_components(edges)
     labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("c"))
     least = labelled.groupBy("c").agg(F.min("least_id").alias("component_id"))
     of = labelled.join(least, "c").select("fp", F.col("c").alias("component"), "component_id")
     return fps.join(of, "fp").select("id", "text_hash", "fp", "component", "component_id")
 
 
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, key_limit: int = jaccard.KEY_LIMIT) -> DataFrame:
+    """As near_duplicates, with components over the links of at most `radius` bits and those of similar 5-word shingles (jaccard)."""
+    info = materialize(jaccard.described(docs, jaccard.frequent_shingles(docs, text_col), id_col, text_col), "copies-info")
+    near = links(info.select("fp").distinct(), radius)
+    return _joined(info.select("id", "text_hash", "fp"), jaccard.links(info, docs, near, text_col, key_limit))
+
+
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """One row of docs of each component, with all its columns: that of the smallest id, then of the smallest hash of its text.
+    """One row of docs of each component of copies(), with all its columns: that of the smallest id, then of the smallest hash of its text.
 
     Of repeated rows one stays; a null id stays only where a component has no other.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, radius), "simhash-components")
+    found = materialize(copies(docs, id_col, text_col, radius), "simhash-components")
     pick = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("pick")
     stays = found.groupBy("component").agg(pick).select(F.col("pick.id").alias("stays_id"), F.col("pick.text_hash").alias("stays_hash"))
     key, text_hash = docs[id_col].cast("long"), F.xxhash64(docs[text_col])
