@@ -183,3 +183,17 @@ def test_a_long_chain_of_replies(spark):
     rows = [(1, 0, "u", "message 0")] + [(1, k, "u", f"> message {k - 1}\nmessage {k}") for k in range(1, 40)]
     got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {(r["thread_turn"], r["depth"]) for r in got} == {(0, k) for k in range(40)}
+
+
+def test_fertility_bands_hold_for_scripts_spelt_by_bytes_and_short_texts(spark):
+    rng = random.Random(9)
+    ethiopic = lambda n: " ".join("".join(chr(rng.randrange(0x1200, 0x1240)) for _ in range(rng.randint(2, 5))) for _ in range(n))
+    extra = [(400 + k, ethiopic(100), "am", "s", 0) for k in range(60)]
+    extra += [(500, words(rng, 160), "am", "s", 0)]  # another script: far below the class in bytes
+    extra += [(600 + k, " ".join(rng.choice(["the", "house", "stands", "near", "a", "river", "and", "old", "trees"]) for _ in range(22)), "en", "s", 0) for k in range(60)]
+    extra += [(700, "\x01\x02\x03\x04 the house stands near a river and old \x05\x06\x07\x08\x0e\x0f\x10", "en", "s", 0)]
+    got = {r["id"]: r for r in fertility.verdicts(documents(spark, extra), vocabulary_path(PIECE_FILE)).collect()}
+    assert min(got[k]["byte_share"] for k in range(400, 460)) > 0.25
+    assert sum(got[k]["kept"] for k in range(400, 460)) >= 58 and not got[500]["kept"]
+    assert got[700]["n_tokens"] < 48 and not got[700]["base_failed"] and not got[700]["kept"]
+    assert sum(got[k]["kept"] for k in range(600, 660) if not got[k]["base_failed"]) >= 0.9 * sum(not got[k]["base_failed"] for k in range(600, 660)) > 0

@@ -3,7 +3,7 @@
 Fertility is characters per token; the share of byte-fallback tokens and the entropy of the token distribution go with
 it, as does its min-entropy, which the commonest token alone sets. Bands hold for a language and a length class (half
 an octave of tokens, as entropy grows with length) and come from the quartiles of all documents in it that pass the
-base rules. A document is judged by its distance below the median, in standard deviations as the quartile gives them.
+base rules. A document is judged by its distance from the median, in standard deviations as that side's quartile gives them.
 """
 
 from __future__ import annotations
@@ -28,17 +28,16 @@ BANDS_SENT = 20_000
 class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
-    #: Standard deviations below the median at which fertility or entropy alone, or the two together, reject.
+    #: Standard deviations from the median at which one measure alone, or fertility and entropy together below it, reject.
     alone: float = 4.5
     together: float = 5.5
     #: A deviation counts as this share of the median at least: an even class still has room.
     least_deviation: float = 0.01
-    max_byte_share: float = 0.25
-    #: The commonest token's share; in n tokens it stands higher by chance, by top_slack / sqrt(n).
-    max_top_share: float = 0.1
-    top_slack: float = 0.5
-    #: Texts of fewer tokens are too short for a verdict.
-    min_tokens: int = 48
+    #: The least deviation of the byte-fallback share; of the commonest token's share it falls with n tokens, by / sqrt(n).
+    least_byte_deviation: float = 0.05
+    least_top_deviation: float = 0.11
+    #: A class of fewer documents takes the bands of both shares from its whole language, if that has so many.
+    least_class: int = 8
 
 
 SCHEMA = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, top_share double"
@@ -111,24 +110,31 @@ def verdicts(docs: DataFrame, vocabulary: str, rules: Rules = Rules(), id_col: s
     """measures() with base_failed and kept, one row per row of docs.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in repeated runs. kept: not base_failed
-    and, from min_tokens tokens on, inside the bands. A null language is a language of its own. A class of one document
-    keeps it. One row per language and length class is joined back. Empty table: no rows.
+    and inside the bands of its class, at any length. A null language is a language of its own. A class of one document
+    in a language of fewer than least_class keeps it. One row per language and length class is joined back. Empty table: no rows.
     """
     m = materialize(measures(docs, vocabulary, id_col, text_col, lang_col), "fertility")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     length = F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1))))
     m = m.withColumn("base_failed", failed).withColumn("key", F.concat_ws(" ", length.cast("string"), "lang"))
-    judged = ~F.col("base_failed") & (F.col("n_tokens") >= rules.min_tokens)
-    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5)), F.lit(10_000)).alias(f"q_{c}") for c in ("chars_per_token", "entropy")]
-    bands = materialize(m.where(judged).groupBy("key").agg(*quartiles), "fertility-bands")
+    m = m.withColumn("of_lang", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n")))
+    measured, shares = ("chars_per_token", "entropy", "byte_share", "top_share"), ("byte_share", "top_share")
+    quartiles = lambda of, prefix: [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000)).alias(f"{prefix}_{c}") for c in of]
+    judged = ~F.col("base_failed") & (F.col("n_tokens") > 0)
+    bands = materialize(m.where(judged).groupBy("key", "of_lang").agg(*quartiles(measured, "q"), F.count("*").alias("q_n")), "fertility-bands")
+    whole = materialize(m.where(judged).groupBy("of_lang").agg(*quartiles(shares, "l"), F.count("*").alias("l_n")), "fertility-languages")
+    bands = bands.join(whole, "of_lang")
+    small = (F.col("q_n") < rules.least_class) & (F.col("l_n") >= rules.least_class)
+    bands = bands.select("key", *(f"q_{c}" for c in measured if c not in shares), *(F.when(small, F.col(f"l_{c}")).otherwise(F.col(f"q_{c}")).alias(f"q_{c}") for c in shares))
     # languages times length classes: sent along where that is proven small, joined by key otherwise
     bands = F.broadcast(bands) if bands.limit(BANDS_SENT + 1).count() <= BANDS_SENT else bands
 
-    def below(c: str):
-        median, quartile = F.col(f"q_{c}")[1], F.col(f"q_{c}")[0]
-        return (median - F.col(c)) / F.greatest((median - quartile) / 0.6745, rules.least_deviation * median)
+    def off(c: str, least, side: int):
+        """Deviations below (side 0) or above (side 2) the median."""
+        median, quartile = F.col(f"q_{c}")[1], F.col(f"q_{c}")[side]
+        return (1 if side else -1) * (F.col(c) - median) / F.greatest(F.abs(quartile - median) / 0.6745, least, F.lit(1e-9))
 
-    fertility, entropy = below("chars_per_token"), below("entropy")
-    top = rules.max_top_share + rules.top_slack / F.sqrt("n_tokens")
-    outside = (F.greatest(fertility, entropy) > rules.alone) | (fertility + entropy > rules.together) | (F.col("byte_share") > rules.max_byte_share) | (F.col("top_share") > top)
-    return m.join(bands, "key", "left").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(judged & outside, F.lit(False))).drop("key", "q_chars_per_token", "q_entropy")
+    least = {c: rules.least_deviation * F.col(f"q_{c}")[1] for c in measured} | {"byte_share": F.lit(rules.least_byte_deviation), "top_share": rules.least_top_deviation / F.sqrt(F.greatest("n_tokens", F.lit(1)))}
+    below = {c: off(c, least[c], 0) for c in measured}
+    outside = (F.greatest(*below.values(), *(off(c, least[c], 2) for c in measured)) > rules.alone) | (below["chars_per_token"] + below["entropy"] > rules.together)
+    return m.join(bands, "key", "left").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(judged & outside, F.lit(False))).drop("key", "of_lang", *(f"q_{c}" for c in measured))
