@@ -144,3 +144,12 @@ def test_failed_unit_keeps_its_row(spark):
     df = spark.createDataFrame([("u", k, 0, k > 1, [0.0] * 8) for k in range(4)], "unit string, trial long, label int, train boolean, x array<double>")
     r = decode.decode(df, 2).first()
     assert r["balanced_accuracy"] is None and r["error"] == "too few trials"
+
+
+def test_perm_test_runs_the_default_number_of_shuffles(spark, monkeypatch):
+    from undula.plans import numeric
+
+    seen, real = [], decode.cross_validate
+    monkeypatch.setattr(decode, "cross_validate", lambda t, *a: seen.append(t.selectExpr("count(distinct split(unit, '#')[1])").first()[0]) or real(t, *a))
+    numeric.perm_test(spark, "/root/testdata/sf0.001")
+    assert seen == [101]

@@ -142,7 +142,7 @@ def cv_ba(spark, sf_dir):
 
 @register()
 def perm_test(spark, sf_dir):
-    return decode.permutation_test(embedded_trials(spark, sf_dir), 8, permutations=20).select("unit", *r6("observed", "p"))
+    return decode.permutation_test(embedded_trials(spark, sf_dir), 8).select("unit", *r6("observed", "p"))
 
 
 @register()
