@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the cluster names one; else a local folder, as in tests."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
+    """spark.checkpoint.dir where the cluster names one, or the context's checkpoint folder; a local folder on a local master, as in tests."""
+    context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (context.get() if context.isDefined() else None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     fallback = getattr(shared_dir, "fallback", None)
     if fallback is None:
         fallback = shared_dir.fallback = f"file://{tempfile.mkdtemp(prefix='undula-shared-')}"
@@ -45,6 +48,15 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows up to this number may be sent to all executors.
+SENT_ROWS = 1_000_000
+
+
+def sent_if_small(keys: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """keys of a few numbers a row, marked for broadcast where counting proves them few; else as they are, to be shuffled."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

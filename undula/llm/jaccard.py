@@ -1,37 +1,53 @@
-"""Pairs of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, exactly.
+"""Pairs of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Every text lists its shingles in one order that all share and emits the first n - ceil(0.8 n) + 1 of its n: two sets that are
-similar enough share one of these. The order is that of the hashes, with shingles that a sample shows to be frequent last;
-it decides how many candidates there are, never which pairs are found. Candidates are verified on the whole sets.
-Pairs that are already in one component aren't compared. A key of more than KEY_LIMIT texts compares all with one first,
-then those outside its largest component with all, in blocks.
+Every text has MinHash values in bands; two texts that share a band are candidates. With 25 bands of 4 values a pair at
+0.8 shares none with chance (1 - 0.8^4)^25 = 1.8e-6. Candidates of a band are thinned by the share of equal values
+(chance of losing a pair at 0.8: MISS), and what is left is verified on the whole sets, exactly.
+Pairs that are already in one component aren't compared. A band key of more than KEY_LIMIT texts compares all with one
+first, then those outside its largest component with all, in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import byte_rows, materialize
+from undula.llm import textscan
+from undula.llm.common import byte_rows, materialize, sent_if_small, slices
 from undula.llm.components import connected_components
 
 WIDTH = 5
 #: Similarity of two sets at which they are linked: 4/5.
 NUM, DEN = 4, 5
+BANDS, ROWS, MISS = 25, 4, 1e-7
 KEY_LIMIT = 64
-#: One text of so many is looked at for frequent shingles; so many at least of these have one; so many are sent along.
-SAMPLE, FREQUENT, SENT = 20, 4, 200_000
 
-INFO = "id long, text_hash long, fp long, sig long, n long, prefix array<long>"
+INFO = "id long, text_hash long, fp long, sig long, n long, bands array<long>, sketch binary"
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_MULTIPLIERS = np.random.default_rng(23).integers(1 << 32, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    from undula.llm.simhash import shingle_hashes
+def least_matches(values: int = BANDS * ROWS, similarity: float = NUM / DEN, miss: float = MISS) -> int:
+    """The number of equal MinHash values that a pair of this similarity has, but for a chance of `miss`."""
+    total = 0.0
+    for k in range(values + 1):
+        total += math.comb(values, k) * similarity**k * (1 - similarity) ** (values - k)
+        if total > miss:
+            return k
+    return values
 
-    return np.unique(np.array(shingle_hashes(text, WIDTH), dtype=np.uint64))
+
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text, sorted; fewer than WIDTH words are one shingle, no words none. A-Z count as a-z."""
+    w = textscan.words([t.translate(_LOWER) for t in texts])
+    parts = [textscan.shingles(w, k) for k in range(1, WIDTH + 1)]
+    cuts = [np.searchsorted(text, np.arange(len(texts) + 1)) for text, _ in parts]
+    for i, n in enumerate(np.minimum(w.per_text, WIDTH).tolist()):
+        yield np.unique(parts[n - 1][1][cuts[n - 1][i] : cuts[n - 1][i + 1]]) if n else np.zeros(0, np.uint64)
 
 
 def signature(s: np.ndarray) -> int:
@@ -40,27 +56,29 @@ def signature(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    late = np.isin(s, frequent)
-    return np.concatenate([s[~late], s[late]])[: len(s) - -(-NUM * len(s) // DEN) + 1] if len(s) else s
-
-
-def frequent_shingles(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def minhashes(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BANDS * ROWS) values; an empty set has zeros."""
+    out = np.zeros((len(sets), BANDS * ROWS), np.uint64)
+    some = np.flatnonzero([len(s) > 0 for s in sets])
+    if len(some):
+        h = np.concatenate([sets[i] for i in some])
+        starts = np.cumsum([0, *(len(sets[i]) for i in some)])[:-1]
+        for j, m in enumerate(_MULTIPLIERS):
+            out[some, j] = np.minimum.reduceat(h * m, starts)
+    return out
 
-        for b in batches:
-            for t in byte_rows(b.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], ["h"])
 
-    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
-    counts = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
-    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(SENT).collect()], dtype=np.int64).view(np.uint64))
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """(sets, BANDS): a key for each band, its number mixed in."""
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(values), 1))
+    for r in range(ROWS):
+        key = textscan.mix(key + textscan.mix(values[:, r::ROWS]))
+    return key
 
 
-def described(docs: DataFrame, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """INFO: SimHash fingerprint, signature of the shingle set, its size and what it emits; one row per row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """INFO: SimHash fingerprint, signature of the shingle set, its size, band keys and a byte of each MinHash value; one
+    row per row of docs."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -69,20 +87,24 @@ def described(docs: DataFrame, frequent: np.ndarray, id_col: str = "doc_id", tex
 
         for b in batches:
             texts = byte_rows(b.column(2))
-            sets = [shingle_set(t) for t in texts]
-            cols = [
-                pa.array(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)),
-                pa.array([signature(s) for s in sets], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([prefix(s, sent.value).view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], [x.split()[0] for x in INFO.split(", ")])
+            for a, z in slices(texts, 1 << 20):
+                sets = list(shingle_sets(texts[a:z]))
+                values = minhashes(sets)
+                cols = [
+                    pa.array(np.array([fingerprint(t) for t in texts[a:z]], dtype=np.uint64).view(np.int64)),
+                    pa.array([signature(s) for s in sets], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(list(band_keys(values).view(np.int64)), pa.list_(pa.int64())),
+                    pa.array([x.tobytes() for x in (textscan.mix(values) & np.uint64(255)).astype(np.uint8)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), *cols], [x.split()[0] for x in INFO.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, INFO)
 
 
 def _candidates(groups: DataFrame) -> DataFrame:
-    """groups(probes, others: arrays of (sig, n, pos, c)) -> (a, b): pairs of different components that length and place allow."""
+    """groups(probes, others: arrays of (sig, n, c, sketch)) -> (a, b): pairs of different components that size and sketch allow."""
+    least = least_matches()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -90,12 +112,12 @@ def _candidates(groups: DataFrame) -> DataFrame:
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
             for probes, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = ([np.array([m[k] for m in side], np.int64) for k in ("sig", "n", "pos", "c")] for side in (probes, others))
-                n, m = x[1][:, None], y[1][None, :]
-                most = np.minimum(n - x[2][:, None], m - y[2][None, :])
-                near = (x[3][:, None] != y[3][None, :]) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & ((NUM + DEN) * most >= NUM * (n + m))
+                (sig, n, c, own), (sig2, n2, c2, own2) = ([*(np.array([m[k] for m in side], np.int64) for k in ("sig", "n", "c")), np.array([np.frombuffer(m["sketch"], np.uint8) for m in side])] for side in (probes, others))
+                near = (c[:, None] != c2[None, :]) & (DEN * np.minimum(n[:, None], n2[None, :]) >= NUM * np.maximum(n[:, None], n2[None, :]))
                 i, j = np.nonzero(near)
-                found.append(np.sort(np.stack([x[0][i], y[0][j]], 1), axis=1))
+                equal = np.concatenate([(own[i[k : k + 4096]] == own2[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
+                i, j = i[equal >= least], j[equal >= least]
+                found.append(np.sort(np.stack([sig[i], sig2[j]], 1), axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -109,14 +131,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
         import pyarrow as pa
 
         for b in batches:
-            sets = [shingle_set(t) for t in byte_rows(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["sig", "grams"])
+            texts = byte_rows(b.column(1))
+            for a, z in slices(texts, 1 << 20):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([s.view(np.int64) for s in shingle_sets(texts[a:z])], pa.list_(pa.int64()))], ["text_hash", "grams"])
 
     pairs = materialize(pairs.distinct(), "jaccard-pairs")
-    used = nodes.join(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig").select("sig", "fp", "text_hash")
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(used.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    sets = used.join(texts, "text_hash").select("sig", "text").mapInArrow(run, "sig long, grams array<long>")
-    sets = materialize(sets.join(used.select("sig", "fp"), "sig"), "jaccard-sets")
+    used = materialize(nodes.join(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig").select("sig", "fp", "text_hash"), "jaccard-used")
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(sent_if_small(used.select("text_hash").distinct()), "text_hash", "left_semi")
+    sets = texts.mapInArrow(run, "text_hash long, grams array<long>").dropDuplicates(["text_hash"])
+    sets = materialize(used.join(sets, "text_hash").drop("text_hash"), "jaccard-sets")
     x, y = (sets.select(F.col("sig").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("grams").alias(f"grams_{k}")) for k in ("a", "b"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     return pairs.join(x, "a").join(y, "b").where((NUM + DEN) * both >= NUM * (F.size("grams_a") + F.size("grams_b"))).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
@@ -130,21 +153,22 @@ def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
 def links(info: DataFrame, docs: DataFrame, near: DataFrame, text_col: str = "text", key_limit: int = KEY_LIMIT) -> DataFrame:
     """Edges (a, b) of fingerprints that, with the edges near(a, b), join what chains of near and of similar sets join."""
     some = info.where("n > 0")
-    nodes = some.groupBy("sig").agg(F.min(F.struct("fp", "text_hash")).alias("of"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = nodes.select("sig", "of.fp", "of.text_hash", "n", "prefix")
+    nodes = some.groupBy("sig").agg(F.min(F.struct("fp", "text_hash")).alias("of"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = nodes.select("sig", "of.fp", "of.text_hash", "n", "bands", "sketch")
     same = some.select("sig", F.col("fp").alias("b")).distinct().join(nodes.select("sig", F.col("fp").alias("a")), "sig").where("a <> b").select("a", "b")
     edges = materialize(near.select("a", "b").union(same), "jaccard-edges")
     nodes = materialize(_labelled(nodes.withColumn("c", F.col("fp")), edges), "jaccard-nodes")
-    keyed = materialize(nodes.select("sig", "n", "c", F.posexplode("prefix").alias("pos", "key")), "jaccard-keys")
+    keyed = nodes.select("sig", "c", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("sig").alias("pivot"))
     sizes = materialize(sizes.where("low <> high").select("key", "size", "pivot"), "jaccard-sizes")
-    few, many = sizes.where(F.col("size") <= key_limit), sizes.where(F.col("size") > key_limit)
-    member = F.struct("sig", "n", F.col("pos").cast("long").alias("pos"), "c")
+    keyed = materialize(keyed.join(sizes, "key").select("key", "size", "pivot", "sig"), "jaccard-keys").join(nodes.select("sig", "n", "c", "sketch"), "sig")
+    few, many = keyed.where(F.col("size") <= key_limit), keyed.where(F.col("size") > key_limit)
+    member = F.struct("sig", "n", "c", "sketch")
     # both sides hold the whole group: each pair is met twice and becomes one
-    pairs = _candidates(keyed.join(few.select("key"), "key").groupBy("key").agg(F.collect_list(member).alias("probes")).withColumn("others", F.col("probes")))
+    pairs = _candidates(few.groupBy("key").agg(F.collect_list(member).alias("probes")).withColumn("others", F.col("probes")))
     if many.isEmpty():
         return edges.union(_verified(pairs, nodes, docs, text_col))
-    crowd = materialize(keyed.join(many, "key"), "jaccard-crowd")
+    crowd = materialize(many, "jaccard-crowd")
     pivots = nodes.select(F.col("sig").alias("pivot"), F.col("c").alias("pivot_c"), F.col("n").alias("pivot_n"))
     fits = (F.col("c") != F.col("pivot_c")) & (DEN * F.least("n", "pivot_n") >= NUM * F.greatest("n", "pivot_n"))
     first = crowd.join(pivots, "pivot").where(fits).select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
@@ -157,4 +181,4 @@ def links(info: DataFrame, docs: DataFrame, near: DataFrame, text_col: str = "te
     other = left.select("key", member.alias("x"), F.lit(False).alias("probe"), dealt("m").alias("j"), F.explode(F.sequence(F.lit(0), F.col("o").cast("int") - 1)).alias("i"))
     probe = left.where("c <> top").select("key", member.alias("x"), F.lit(True).alias("probe"), dealt("o").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("j"))
     blocks = other.unionByName(probe).groupBy("key", "i", "j").agg(F.collect_list(F.when(F.col("probe"), F.col("x"))).alias("probes"), F.collect_list(F.when(~F.col("probe"), F.col("x"))).alias("others"))
-    return edges.union(_verified(_candidates(blocks), nodes, docs, text_col))
+    return edges.union(_verified(_candidates(blocks.where("size(probes) > 0 and size(others) > 0")), nodes, docs, text_col))

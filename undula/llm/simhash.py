@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm import jaccard
-from undula.llm.common import byte_rows, materialize
+from undula.llm.common import byte_rows, materialize, sent_if_small
 from undula.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -166,7 +166,7 @@ def _joined(fps: DataFrame, edges: DataFrame) -> DataFrame:
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, key_limit: int = jaccard.KEY_LIMIT) -> DataFrame:
     """As near_duplicates, with components over the links of at most `radius` bits and those of similar 5-word shingles (jaccard)."""
-    info = materialize(jaccard.described(docs, jaccard.frequent_shingles(docs, text_col), id_col, text_col), "copies-info")
+    info = materialize(jaccard.described(docs, id_col, text_col), "copies-info")
     near = links(info.select("fp").distinct(), radius)
     return _joined(info.select("id", "text_hash", "fp"), jaccard.links(info, docs, near, text_col, key_limit))
 
@@ -174,13 +174,18 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """One row of docs of each component of copies(), with all its columns: that of the smallest id, then of the smallest hash of its text.
 
-    Of repeated rows one stays; a null id stays only where a component has no other.
+    Of repeated rows one stays; a null id stays only where a component has no other. Null text counts as empty; long texts
+    are read whole; columns of any name pass through. Empty table: no rows. Only the ids and hashes of rows that go are
+    joined to docs; they are broadcast where they are few.
     """
     found = materialize(copies(docs, id_col, text_col, radius), "simhash-components")
     pick = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("pick")
-    stays = found.groupBy("component").agg(pick).select(F.col("pick.id").alias("stays_id"), F.col("pick.text_hash").alias("stays_hash"))
+    stays = found.groupBy("component").agg(pick).select("component", F.col("pick.id").alias("stays_id"), F.col("pick.text_hash").alias("stays_hash"))
+    goes = ~(F.col("id").eqNullSafe(F.col("stays_id")) & (F.col("text_hash") == F.col("stays_hash")))
+    gone = found.join(stays, "component").where(goes).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    gone = sent_if_small(materialize(gone, "simhash-gone"))
     key, text_hash = docs[id_col].cast("long"), F.xxhash64(docs[text_col])
-    kept = docs.join(stays, key.eqNullSafe(F.col("stays_id")) & (text_hash == F.col("stays_hash")), "left_semi")
+    kept = docs.join(gone, key.eqNullSafe(gone["gone_id"]) & (text_hash == gone["gone_hash"]), "left_anti")
     if found.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates([id_col, text_col])
