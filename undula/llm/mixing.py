@@ -5,8 +5,9 @@ weight among the others. Sampling: within a source every document expects target
 in order of size, so that copies are spread over all sizes alike; the running sum of expected copies plus one random
 offset crosses an integer for each copy to emit.
 
-A source's order is cut into cells (by the leading bits of the size, then by id), whose counts are summed first. A row's
-place is its place in its cell plus the rows of earlier cells: no task holds a source.
+A source's order is cut into cells (by the leading bits of the size, then by a hash of the id), whose counts are summed
+first. A row's place is its place in its cell plus the rows of earlier cells: no task holds a source's documents. Sizes
+are counted once, into a table without texts; texts are met again only by who wants them, in one join.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.llm.common import word_count
+from undula.llm.common import materialize, word_count
 
-WEIGHTS, CAP, SEED, SLOTS = (5, 2, 1), 3, 17, 64
+WEIGHTS, CAP, SEED = (5, 2, 1), 3, 17
 
 
 def _size_class(size: Column) -> Column:
@@ -41,33 +42,65 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     return filled.select("key", "source", "source_size", F.when(full, F.col("limit").cast("double")).otherwise(F.col("weight") * level).alias("target"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, slots: int = SLOTS) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target, mix_copies and mix_taken; columns of these names are replaced.
+def allot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """(id, text_hash, key, size, source_size, target, copies, taken), one row per row of docs, without texts.
 
-    A null source is a source of its own, a null id counts as 0 in the order, null text has size 0. Repeated rows are
-    documents of their own. Empty table: no rows. The offset depends on seed and source alone, so reruns agree.
+    A null source is a source of its own, null text has size 0. Repeated rows are documents of their own. Long texts are
+    counted whole, once. Empty table: no rows. The offset depends on seed and source alone, so reruns agree.
     """
-    own = [c for c in docs.columns if not c.startswith("mix_")]
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))
-    rows = docs.select(*own, key.alias("mix_key"), word_count(F.col(text_col)).alias("mix_size"), F.pmod(number, F.lit(slots)).alias("mix_slot"))
-    rows = rows.withColumn("mix_class", _size_class(F.col("mix_size")))
-    cell = ["mix_key", "mix_class", "mix_slot"]
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("mix_size").alias("s"))
-    sources = cells.groupBy("mix_key").agg(F.sum("s").alias("source_size")).select(F.col("mix_key").alias("key"), F.when(F.col("mix_key") != "n", F.substring("mix_key", 2, 1 << 30)).alias("source"), "source_size")
+    id_, text_hash, key = _row_key(docs, id_col, text_col, source_col)
+    # ids in a stride, or none, still fill all slots
+    slot = F.conv(F.substring(F.md5(F.coalesce(docs[id_col].cast("string"), docs[text_col].cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int")
+    rows = docs.select(id_.alias("id"), text_hash.alias("text_hash"), key.alias("key"), word_count(docs[text_col]).alias("size"), slot.alias("slot"))
+    rows = materialize(rows.withColumn("class", _size_class(F.col("size"))), "mix-sizes")
+    cell = ["key", "class", "slot"]
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    sources = cells.groupBy("key").agg(F.sum("s").alias("source_size")).select("key", F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30)).alias("source"), "source_size")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    of_source = targets(sources, weights, cap).select("key", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), offset.alias("mix_offset"))
-    earlier = F.sum("n").over(Window.partitionBy("mix_key").orderBy(F.col("mix_class").desc(), "mix_slot")) - F.col("n")
-    placed = cells.select(*cell, earlier.alias("mix_before")).join(of_source, F.col("mix_key") == F.col("key")).drop("key")
-    at = F.row_number().over(Window.partitionBy(*cell).orderBy(F.col(id_col).asc_nulls_first(), "mix_size"))
-    joined = rows.withColumn("mix_at", at).join(placed, cell)
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
-    place = F.col("mix_before") + F.col("mix_at")
-    copies = F.floor(rate * place + F.col("mix_offset")) - F.floor(rate * (place - 1) + F.col("mix_offset"))
-    return joined.select(*own, "mix_size", "mix_source_size", "mix_target", copies.cast("long").alias("mix_copies"), (copies * F.col("mix_size")).cast("long").alias("mix_taken"))
+    of_source = targets(sources, weights, cap).select("key", "source_size", "target", offset.alias("offset"))
+    earlier = F.sum("n").over(Window.partitionBy("key").orderBy(F.col("class").desc(), "slot")) - F.col("n")
+    placed = cells.select(*cell, earlier.alias("before")).join(of_source, "key")
+    at = F.row_number().over(Window.partitionBy(*cell).orderBy(F.col("id").asc_nulls_first(), "size"))
+    joined = rows.withColumn("at", at).join(placed, cell)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    place = F.col("before") + F.col("at")
+    copies = (F.floor(rate * place + F.col("offset")) - F.floor(rate * (place - 1) + F.col("offset"))).cast("long")
+    return joined.select("id", "text_hash", "key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _row_key(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column, Column]:
+    return docs[id_col].cast("long"), F.xxhash64(docs[text_col]), F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("n"))
+
+
+def _allotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """(row: docs' columns as a struct, size, source_size, target, copies), one row per row of docs.
+
+    Rows equal in id, text and source are numbered among themselves and share their copies, none getting two more than another.
+    """
+    same = ["id", "text_hash", "key"]
+    of = materialize(allot(docs, id_col, text_col, source_col, **options), "mix-copies").groupBy(*same)
+    of = of.agg(F.count("*").alias("rows"), F.sum("copies").alias("total"), *[F.first(c).alias(c) for c in ("size", "source_size", "target")])
+    keys = _row_key(docs, id_col, text_col, source_col)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[k.alias(n) for k, n in zip(keys, same, strict=True)])
+    number = F.lit(1)
+    if not of.where("rows > 1").isEmpty():
+        number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))
+    rows = rows.withColumn("number", number).withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
+    of = of.withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
+    each = F.floor(F.col("total") / F.col("rows"))
+    copies = each + (F.col("number") <= F.col("total") - each * F.col("rows")).cast("long")
+    return rows.join(of, [*same, "none"]).select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
+def plan(docs: DataFrame, **options) -> DataFrame:
+    """docs with mix_size, mix_source_size, mix_target, mix_copies and mix_taken, as allot() has them; columns of these
+    names are replaced, all others pass through. Nulls, repeats, long texts and empty tables: as in allot()."""
+    new = {"mix_size": F.col("size"), "mix_source_size": F.col("source_size"), "mix_target": F.col("target"), "mix_copies": F.col("copies"), "mix_taken": F.col("copies") * F.col("size")}
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in new]
+    return _allotted(docs, **options).select(*own, *[v.alias(k) for k, v in new.items()])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it."""
-    planned = plan(docs, **options)
-    return planned.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*docs.columns)
+    """docs with each row as often as the mix takes it. Columns of any name pass through; all else as in allot()."""
+    taken = _allotted(docs, **options).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[F.col("row")[c].alias(c) for c in docs.columns])

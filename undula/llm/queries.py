@@ -51,8 +51,7 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+    return mixing.allot(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +136,7 @@ select c.conv_id, c.turn, c.role, coalesce(n_quotes, 0) as n_quotes, coalesce(n_
 from conversations c left join per on per.conv = c.conv_id and per.turn = c.turn left join roots on roots.conv = c.conv_id and roots.turn = c.turn""",
     "op2_mixing": """
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
+  select doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
 ), c as (
   select *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) as class from d
 ), s as (
@@ -154,7 +153,7 @@ with d as (
     ('0x' || substr(md5('17:' || coalesce('s' || source, 'n')), 1, 8))::bigint / 4294967296.0::double as u
   from f
 ), n as (
-  select c.*, row_number() over (partition by source order by class desc, (coalesce(doc_id, 0) % 64 + 64) % 64, doc_id nulls first, size) as place from c
+  select c.*, row_number() over (partition by source order by class desc, ('0x' || substr(md5(coalesce(doc_id::varchar, text, '')), 1, 2))::int, doc_id nulls first, size) as place from c
 ), x as (
   select n.doc_id, n.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate, n.place, t.u
   from n join t on n.source is not distinct from t.source
