@@ -25,9 +25,8 @@ class Settings:
     dim: int = 8
     sizes: tuple[int, ...] = (3, 4, 5, 6)
     window: int = 2
-    #: The bound of the sample that training sees: documents of each label, and the longest text among them in bytes.
+    #: The bound of the sample that training sees: documents of each label, with their whole texts.
     sample_per_label: int = 1_000
-    longest_sample: int = 8_192
     #: A feature found in fewer sample documents is left at zero.
     least_documents: int = 4
     #: Times that the worst windows are chosen anew, steps in between, and clean windows that a document adds each time.
@@ -35,6 +34,8 @@ class Settings:
     steps: int = 10
     hard: int = 4
     rate: float = 0.3
+    #: Parts that are left out in turn, for logits of documents that were not learnt from.
+    folds: int = 3
     #: Squared gradient that every vector starts with: the more, the less a rare feature moves.
     damping: float = 1.0
 
@@ -65,12 +66,27 @@ def _features(texts: list[bytes], s: Settings):
     return w, at, grams, (textscan.mix(w.hash) & mask).astype(np.int32)
 
 
-def _windows(w: textscan.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each window, and the text it belongs to."""
-    per = -(-w.per_text // size)
-    first = np.cumsum(w.per_text) - w.per_text
-    begin = np.repeat(first, per) + size * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
-    return begin, np.repeat(np.arange(len(per)), per)
+def _windows(w: textscan.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each window and the word after its last, and the text it belongs to: every run of `size` neighbouring words,
+    or a shorter text's words."""
+    return _runs(w.per_text, size)
+
+
+def _runs(per_text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    per = np.where(per_text > 0, np.maximum(per_text - size + 1, 1), 0)
+    first = np.cumsum(per_text) - per_text
+    text = np.repeat(np.arange(len(per)), per)
+    begin = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    return begin, np.minimum(begin + size, (first + per_text)[text]), text
+
+
+def _run_sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Sums of values[begin:end], none longer than size; a shorter run is summed no further than its own end."""
+    total = values[begin].copy()
+    for k in range(1, size):
+        inside = begin + k < end
+        total[inside] += values[begin[inside] + k]
+    return total
 
 
 @dataclass
@@ -96,8 +112,8 @@ class Model:
             count[where] += 1
         value = np.add.reduceat(value, at[:-1]) + self.weights[whole]
         count = np.add.reduceat(count, at[:-1]) + 1
-        begin, text = _windows(w, s.window)
-        logit = np.add.reduceat(value, begin) / np.add.reduceat(count, begin)
+        begin, end, text = _windows(w, s.window)
+        logit = _run_sums(value, begin, end, s.window) / _run_sums(count, begin, end, s.window)
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, text, logit)
         seen = np.isfinite(worst)
@@ -110,14 +126,26 @@ def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic curve through weighted (x, y), by Newton steps with a little shrinkage."""
-    x1 = np.stack([x, np.ones_like(x)], axis=1)
-    beta = np.array([1.0, 0.0])
-    for _ in range(30):
+    """Scale and shift of a logistic curve through weighted (x, y), by Newton steps with a little shrinkage, each halved
+    until it lowers the loss."""
+    x1, w = np.stack([x, np.ones_like(x)], axis=1), weight / weight.mean()
+    prior = np.array([1.0, 0.0])
+
+    def loss(beta: np.ndarray) -> float:
+        z = x1 @ beta
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + 5e-3 * ((beta - prior) ** 2).sum())
+
+    beta = prior
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x1 @ beta, -30, 30)))
-        slope = x1.T @ (weight * (p - y)) + 1e-2 * (beta - [1.0, 0.0])
-        curve = (x1 * (weight * p * (1 - p))[:, None]).T @ x1 + 1e-2 * np.eye(2)
-        beta = beta - np.clip(np.linalg.solve(curve, slope), -2, 2)
+        slope = x1.T @ (w * (p - y)) + 1e-2 * (beta - prior)
+        curve = (x1 * (w * p * (1 - p))[:, None]).T @ x1 + 1e-2 * np.eye(2)
+        step, now = np.linalg.solve(curve, slope), loss(beta)
+        while loss(beta - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
+            break
+        beta = beta - step
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
@@ -155,58 +183,63 @@ def _bags(texts: list[bytes], s: Settings) -> _Bags:
     return _Bags(row[0], row[1], np.concatenate(words), np.concatenate(per_text), len(known))
 
 
-def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Settings = Settings()) -> Model:
-    """labels: 1 toxic, 0 not. Without both labels, or without words, the model is constant.
+def _worst(logit: np.ndarray, start: np.ndarray, per: np.ndarray, k: int) -> np.ndarray:
+    """Of each run of windows (start, per) the k with the highest logits, the earlier of equal ones; all of a shorter run."""
+    left, found = logit.copy(), []
+    for _ in range(k):
+        top = np.repeat(np.maximum.reduceat(left, start), per)
+        at = np.flatnonzero((left == top) & np.isfinite(left))
+        owner = np.searchsorted(start, at, "right")
+        at = at[np.concatenate([[True], owner[1:] != owner[:-1]])] if len(at) else at
+        left[at] = -np.inf
+        found.append(at)
+    return np.sort(np.concatenate(found))
 
-    Every round takes each document's worst window under the model so far (at first: under the features' excess in toxic documents); the
-    worst windows of clean documents are kept for all later rounds. Steps of gradient descent over these windows move the
-    buckets' vectors and the softmax at once; a last logistic fit over the documents turns logits into probabilities.
+
+def _learnt(bags: _Bags, labels: np.ndarray, learn: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(a value for each bucket, each document's worst logit; -inf without words). Documents outside `learn` are only scored.
+
+    Every round takes each document's worst window under the model so far (at first: under the features' excess in toxic
+    documents); the worst windows of clean documents are kept for all later rounds. Steps of gradient descent over these
+    windows move the buckets' vectors and the softmax at once.
     """
-    labels = np.asarray(labels, np.float64)
-    share = float(np.average(labels, weights=weight)) if len(labels) else 0.0
-    bags = _bags(texts, s) if 0 < share < 1 else None
-    if bags is None or not bags.n_words:
-        return Model(np.zeros(s.buckets, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), 1.0, s)
     n_words, word, per_text = bags.n_words, bags.word, bags.per_text
     doc = np.repeat(np.arange(len(per_text)), per_text)
     pair = np.unique(doc * n_words + word)
+    pair = pair[learn[pair // n_words]]
     # documents of each label that a word, and by its words a feature, occurs in
     df = [np.bincount(bags.feature, np.bincount(pair % n_words, labels[pair // n_words] == y, n_words)[bags.feature_word], s.buckets) for y in (0, 1)]
+    del doc, pair
     live = df[0] + df[1] >= s.least_documents
     # how many standard deviations more of the toxic documents have a feature than the share of all that have it
-    n1, both = (labels == 1).sum(), (df[0] + df[1]) / len(labels)
+    n1, both = (labels[learn] == 1).sum(), (df[0] + df[1]) / max(learn.sum(), 1)
     excess = np.where(live, (df[1] - n1 * both) / np.sqrt(n1 * both + 1), 0)
     feature_word, feature = bags.feature_word[live[bags.feature]], bags.feature[live[bags.feature]]
-    n_all = np.bincount(bags.feature_word, minlength=n_words)
+    n_all = np.bincount(bags.feature_word, minlength=n_words).astype(np.float32)
     from_word = np.searchsorted(feature_word, np.arange(n_words + 1))
 
-    per_window = -(-per_text // s.window)
-    first_word = np.cumsum(per_text) - per_text
-    text = np.repeat(np.arange(len(per_text)), per_window)
-    begin = first_word[text] + s.window * (np.arange(len(text)) - np.repeat(np.cumsum(per_window) - per_window, per_window))
-    end = np.minimum(begin + s.window, (first_word + per_text)[text])
-    size = np.add.reduceat(n_all[word], begin).astype(np.float32)
+    begin, end, text = (x.astype(np.int32) for x in _runs(per_text, s.window))
+    per = np.bincount(text, minlength=len(per_text))
+    with_words = np.flatnonzero(per)
+    per, start = per[with_words], (np.cumsum(per) - per)[with_words]
+    size = _run_sums(n_all[word], begin, end, s.window)
 
     def window_logits(by_bucket: np.ndarray) -> np.ndarray:
-        of_word = np.bincount(feature_word, by_bucket[feature], n_words)
-        return np.add.reduceat(of_word[word], begin) / size
-
-    def worst(logit: np.ndarray, k: int) -> np.ndarray:
-        order = np.lexsort((-logit, text))
-        rank = np.arange(len(text)) - np.repeat(np.cumsum(per_window) - per_window, per_window)
-        return order[rank < k]
+        of_word = np.bincount(feature_word, by_bucket[feature], n_words).astype(np.float32)
+        return _run_sums(of_word[word], begin, end, s.window) / size
 
     rng = np.random.default_rng(5)
     vectors = (rng.normal(0, 0.05, (s.buckets, s.dim)) * live[:, None]).astype(np.float32)
     softmax = np.stack([-np.ones(s.dim), np.ones(s.dim)], axis=1).astype(np.float32)
     offset = np.zeros(2, np.float32)
     moved, moved_softmax, moved_offset = np.full_like(vectors, s.damping), np.full_like(softmax, 1e-2), np.full_like(offset, 1e-2)
-    logit, clean, toxic = window_logits(excess), np.zeros(0, np.int64), labels[text] == 1
+    logit, clean = window_logits(excess), np.zeros(0, np.int64)
+    toxic, used_for = labels[text] == 1, learn[text]
     for _ in range(s.rounds):
-        found = worst(logit, s.hard)
-        clean = np.union1d(clean, found[~toxic[found]])
-        bad = worst(logit, 1)
-        active = np.concatenate([bad[toxic[bad]], clean])
+        found = _worst(logit, start, per, s.hard)
+        clean = np.union1d(clean, found[~toxic[found] & used_for[found]])
+        bad = _worst(logit, start, per, 1)
+        active = np.concatenate([bad[toxic[bad] & used_for[bad]], clean])
         y = toxic[active].astype(np.float32)
         pull = np.where(y == 1, len(active) / max(y.sum(), 1), len(active) / max((1 - y).sum(), 1)).astype(np.float32) / 2
         # the active windows' features in a row
@@ -220,7 +253,7 @@ def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Setting
         local, window = local.astype(np.int32), window.astype(np.int32)
         # features are gone through in blocks, so that only some have their vectors copied out at a time
         blocks = [slice(k, k + (1 << 18)) for k in range(0, len(local), 1 << 18)]
-        for _ in range(s.steps):
+        for _ in range(s.steps if len(local) else 0):
             v = vectors[used]
             mean = sum(_sums(window[b], v[local[b]], len(active)) for b in blocks) / size[active][:, None]
             z = mean @ softmax + offset
@@ -237,9 +270,32 @@ def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Setting
             vectors[used] = v - s.rate * d_vectors / np.sqrt(m)
         by_bucket = vectors @ (softmax[:, 1] - softmax[:, 0])
         logit = window_logits(by_bucket)
-    top = worst(logit, 1)
-    scale, bias = _calibrated(logit[top], labels[text[top]], np.asarray(weight)[text[top]])
-    return Model(by_bucket.astype(np.float32), bias, scale, s)
+    worst = np.full(len(per_text), -np.inf)
+    worst[with_words] = np.maximum.reduceat(logit, start)
+    return by_bucket.astype(np.float32), worst
+
+
+def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Settings = Settings()) -> Model:
+    """labels: 1 toxic, 0 not. Without both labels, or without words, the model is constant.
+
+    A logistic fit turns logits into probabilities. It sees every document twice: with its logit, and with that of a model
+    which has not learnt from it (of `folds`, each leaves one part out), as scores are wanted of both kinds of documents.
+    """
+    labels = np.asarray(labels, np.float64)
+    share = float(np.average(labels, weights=weight)) if len(labels) else 0.0
+    bags = _bags(texts, s) if 0 < share < 1 else None
+    if bags is None or not bags.n_words:
+        return Model(np.zeros(s.buckets, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), 1.0, s)
+    part, unseen = np.zeros(len(labels), np.int64), np.zeros(len(labels))
+    for y in (0, 1):
+        part[labels == y] = np.arange((labels == y).sum()) % s.folds
+    for k in range(s.folds):
+        unseen[part == k] = _learnt(bags, labels, part != k, s)[1][part == k]
+    by_bucket, own = _learnt(bags, labels, np.ones(len(labels), bool), s)
+    worded = np.flatnonzero(np.isfinite(own))
+    twice = np.tile(worded, 2)
+    scale, bias = _calibrated(np.concatenate([own[worded], unseen[worded]]), labels[twice], np.asarray(weight)[twice])
+    return Model(by_bucket, bias, scale, s)
 
 
 def held_out(doc_id):
@@ -248,26 +304,32 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "toxic") -> Model:
-    """Learns from at most sample_per_label documents of each label, those with the smallest hashes of their id, and of at
-    most longest_sample bytes. Null labels are left out; a document labelled twice counts as toxic if either says so."""
+    """Learns from at most sample_per_label documents of each label, those with the smallest hashes of their id.
+
+    Null labels are left out; a document labelled twice counts as toxic if either says so, labels without a document
+    take no place. Of rows that share an id, the text with the smallest hash is learnt from, on any partitioning. Null
+    and empty texts are learnt from as texts without words, long ones whole. An empty table, or one label only: a constant.
+    """
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = usable.groupBy("doc_id").agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("y"))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    short = docs.where(F.octet_length("text") <= s.longest_sample).select("doc_id", "text")
     picked = None
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_per_label)
         picked = some if picked is None else picked.union(some)
-    rows = short.join(F.broadcast(picked), "doc_id").select("doc_id", "y", F.col("text").cast("binary").alias("text")).dropDuplicates(["doc_id"]).collect()
+    texts = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", F.col("text").cast("binary").alias("text"))
+    rows = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], np.float32)
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.array([counts.get(int(k), 1) / n[int(k)] for k in y], np.float32)
-    return train([bytes(r["text"]) for r in rows], y, weight, s)
+    return train([bytes(r["text"] or b"") for r in rows], y, weight, s)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id and score, one row per row. Null and wordless texts score 0; nothing is shuffled."""
+    """docs' id and score, one row per row, a null id among them. Null and wordless texts score 0, long ones are read whole;
+    repeated rows score alike; other columns don't matter. Empty table: no rows. Nothing is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
@@ -282,7 +344,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns; judged where they are read, without a shuffle."""
+    """The rows of docs that score below the threshold, with all their columns, whatever their names; judged where they are read, without a
+    shuffle. Null and wordless texts stay, repeated rows stay or go together. Empty table: no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
