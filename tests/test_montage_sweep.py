@@ -1,4 +1,4 @@
-"""Choosing references, interpolating channels, sweeping thresholds, guarded search."""
+"""Choosing references, interpolating channels, sweeping thresholds, moving thresholds, the grid of hours."""
 
 import math
 
@@ -67,17 +67,6 @@ def test_artifact_benchmark_has_a_row_each(spark):
     assert all(r["rmse"] > 0 for r in rows)
 
 
-def test_grid_search_agrees_where_the_curve_is_plain():
-    sources = np.linalg.qr(RNG.normal(size=(12, 12)))[0] * 2.0 ** -np.arange(12)
-    r, pcs = ged.prepared_reference(sources @ sources.T)
-    x = np.linalg.cholesky(r) @ RNG.normal(size=(12, 400)) + 4 * RNG.normal(size=(12, 1)) * np.sin(np.arange(400) / 3)
-    s = ged.spectrum(x.reshape(12, 8, 50).transpose(1, 0, 2), r)
-    t, theta = ged.grid_search(s, r, pcs, 3.0, 0.0, 12.0)
-    assert theta == pytest.approx(ged.eigenvalue_threshold(t, s.values))
-    scores = [ged.sensai(s, r, pcs, ged.eigenvalue_threshold(g, s.values), 3.0) for g in np.arange(0, 12.2, 1 / 3)]
-    assert ged.sensai(s, r, pcs, theta, 3.0) <= max(scores) + 1e-9
-
-
 def plain_step(y):
     smooth = [sum(y[j] for j in range(i - 3, i + 3) if 0 <= j < len(y)) / 6 for i in range(len(y))]
     g = np.diff(smooth)
@@ -89,10 +78,8 @@ def test_change_of_slope(spark):
     from undula.operators import signal
 
     for x in (np.concatenate([np.zeros(20), np.arange(1, 21.0)]), RNG.normal(size=30)):
-        assert ged.largest_step(x) == plain_step(x)
         df = spark.createDataFrame([("r", t, float(v)) for t, v in enumerate(x)], "rec string, t int, v double")
         assert signal.changepoint(df, ["rec"], "t", "v").first()["split"] == plain_step(x)
-    assert ged.largest_step(np.zeros(3)) is None and ged.largest_step(np.zeros(30)) is None
 
 
 def test_epoch_similarity_of_the_reference_itself():
@@ -100,3 +87,27 @@ def test_epoch_similarity_of_the_reference_itself():
     x = np.diag([3, 2, 1.7, 0.1, 0.1]) @ np.linalg.qr(RNG.normal(size=(60, 5)))[0].T
     assert 0 <= ged.epoch_similarity(x, pcs) <= 1
     assert linalg.subspace_similarity(pcs, pcs) == pytest.approx(1)
+
+
+def test_moving_thresholds_stay_near_the_windows_own():
+    r, pcs = ged.prepared_reference(np.diag([9.0, 4, 3, 0.1, 0.1]))
+    s = ged.spectrum(np.random.default_rng(8).normal(size=(20, 5, 40)), r)
+    own = [ged.search(ged.Spectrum(s.values[a : a + 4], s.vectors[a : a + 4]), r, pcs, 3.0, 0.0, 12.0)[1] for a in range(0, 17, 2)]
+    got = ged.window_thresholds(s, r, pcs, 3.0, 0.0, 12.0, 4)
+    assert got.shape == (20,) and (got > 0).all()
+    # knots are on epochs 2, 4, ..., 18: there the curve is the three-point mean
+    mean = [(x + y + z) / 3 for x, y, z in zip([0, *own], own, [*own[1:], 0])]
+    assert got[2:19:2] == pytest.approx(mean)
+
+
+def test_an_event_outside_the_grid_is_an_error(spark, tmp_path):
+    at = "timestamp_ntz'{}' as ts"
+    for day, fails in (("2024-01-30 23:59:59", False), ("2023-12-31 23:30:00", True), ("2024-01-31 00:00:00", True)):
+        folder = tmp_path / day[:10]
+        spark.sql(f"select 'view' as event_type, 1.5D as value, {at.format(day)} union all select 'view', 2D, null").write.parquet(f"{folder}/events.parquet")
+        rec = adapters.events_recording(spark, str(folder))
+        if fails:
+            with pytest.raises(Exception, match="outside the 720 hours"):
+                rec.collect()
+        else:
+            assert sum(r["v"] for r in rec.collect()) == 1.5

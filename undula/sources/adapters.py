@@ -31,9 +31,12 @@ def dataset_info(spark: SparkSession, name: str) -> DataFrame:
 
 
 def events_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly means of event values: a channel for each event type on a dense grid of hours, 0 where nothing happened."""
+    """Hourly means of event values: a channel for each event type on a dense grid of hours, 0 where nothing happened.
+    Events without a time are left out; one outside the grid is an error, so that none is dropped unseen."""
     hour = F.timestamp_diff("HOUR", F.lit(START).cast("timestamp_ntz"), F.col("ts")).cast("long")
-    events = table(spark, sf_dir, "events")
+    outside = F.raise_error(F.concat(F.lit(f"an event outside the {HOURS} hours from {START}: "), F.col("ts").cast("string"))).cast("long")
+    hour = F.when((F.col("ts") >= F.lit(START).cast("timestamp_ntz")) & (hour < HOURS), hour).otherwise(outside)
+    events = table(spark, sf_dir, "events").where("ts is not null")
     cells = events.groupBy(F.col("event_type").alias("ch"), hour.alias("i")).agg(F.avg("value").alias("v"))
     # the grid is one row per channel and hour, however many events there are
     grid = events.select(F.col("event_type").alias("ch")).distinct().select("ch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))).alias("i"))
