@@ -3,7 +3,7 @@
 Two lines are within one edit if both give the same string when the same place is deleted (one letter replaced), or if
 one is what the other gives (one letter more). All variants of all lines would be as many rows as the corpus has
 letters, so those are left out that provably meet no other: two lines within one edit share their first or their last
-q letters (q a power of two, a quarter to a half of the line), and they agree outside one of the line's segments. What
+q letters (q a power of two, a quarter to a half of the line; none of a line of one letter), and they agree outside one of the line's segments. What
 is left emits the variants of that segment, each hashed with what stands around it. Lines with equal variants are
 compared by edit distance, and the earliest (by document, then line) stays.
 """
@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from undula.llm.common import materialize
 
-#: One edit in fewer letters than this is another line.
-MIN_CHARS = 16
-
 
 def _lines(docs: DataFrame) -> DataFrame:
     """docs(d, th, text) -> a row (d, th, no, line) for each line with a word."""
@@ -28,7 +25,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _end_keys(line: Column, length: Column) -> Column:
     """Hashes of the line's two ends of q letters; a length of a power of two also has those of one letter less."""
     bits = F.length(F.bin(length))
-    q = F.call_function("shiftleft", F.lit(1), (bits - 2).cast("int"))
+    q = F.shiftright(F.call_function("shiftleft", F.lit(1), (bits - 1).cast("int")), 1)
     less = F.when(F.bit_count(length) == 1, F.shiftright(q, 1)).otherwise(q)
     keys = [F.xxhash64(F.lit(side), n, F.left(line, n) if side == 0 else F.right(line, n)) for n in (q, less) for side in (0, 1)]
     return F.array_distinct(F.array(*keys))
@@ -36,7 +33,7 @@ def _end_keys(line: Column, length: Column) -> Column:
 
 def _near_links(candidates: DataFrame) -> DataFrame:
     """candidates(p, length, line), distinct lines -> (p, line, first): an earlier p within one edit, by equal variants."""
-    m = candidates.select("p", "line", "length", F.explode(F.array(F.col("length"), F.col("length") - 1)).alias("m"))
+    m = candidates.select("p", "line", "length", F.explode(F.array(F.col("length"), F.col("length") - 1)).alias("m")).where("m > 0")
     count = F.ceil(F.sqrt(F.col("m"))).cast("int")
     seg = m.withColumn("w", F.ceil(F.col("m") / count).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / F.col("w")).cast("int") - 1)).alias("s"))
     a = F.col("s") * F.col("w")
@@ -55,7 +52,7 @@ def _near_links(candidates: DataFrame) -> DataFrame:
     return keyed.select("p", first.alias("first")).where("first < p").distinct()
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """docs(d, th, text) -> (d, th, no, near): the lines that an earlier one makes superfluous, near or exactly."""
     lines = _lines(docs).select("d", "th", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("length"))
     place = F.struct("d", "th", "no")
@@ -77,12 +74,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return exact.union(near)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
     """(id, n_lines, n_exact, n_near, text), one row per row of docs; text holds the kept lines in order.
 
-    A line goes if an earlier line of the corpus is equal, or is within one edit (both of min_chars or more); earlier means
+    A line goes if an earlier line of the corpus is equal, or is within one edit, lines of any length alike; earlier means
     a smaller id, then a smaller hash of the text, then a smaller number; a null id is smallest. Lines without a word stay.
-    Repeated rows are one document and keep the same lines. Null text stays null and has no lines. Empty table: no rows.
+    min_chars is for callers who want shorter lines compared by equality alone. Repeated rows are one document and keep the same lines. Null text stays null and has no lines. Empty table: no rows.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     own = own.select("id", F.coalesce("id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("th"), "text")
