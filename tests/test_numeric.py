@@ -153,3 +153,80 @@ def test_perm_test_runs_the_default_number_of_shuffles(spark, monkeypatch):
     monkeypatch.setattr(decode, "cross_validate", lambda t, *a: seen.append(t.selectExpr("count(distinct split(unit, '#')[1])").first()[0]) or real(t, *a))
     numeric.perm_test(spark, "/root/testdata/sf0.001")
     assert seen == [101]
+
+
+EVENTS = "event_id long, user_id long, event_type string, value double, ts timestamp_ntz"
+
+
+@pytest.fixture(scope="module")
+def events_dir(spark, tmp_path_factory):
+    """Two users with five channels, one with a channel alone, and rows that lack a user, a type or a time."""
+    import datetime
+
+    start, rows = datetime.datetime(2024, 3, 1), []
+    for user, kinds in ((1, "abcde"), (2, "abcde"), (3, "b")):
+        for k in range(160 if user < 3 else 5):
+            rows.append((len(rows), user, kinds[k % len(kinds)], float(RNG.normal(50, 20)), start + datetime.timedelta(hours=float(RNG.uniform(0, 239)))))
+    rows += [(900, None, "a", 1.0, start), (901, 1, None, 1.0, start), (902, 1, "a", 1.0, None), (903, 2, "a", None, start)]
+    path = str(tmp_path_factory.mktemp("events"))
+    spark.createDataFrame(rows, EVENTS).write.parquet(f"{path}/events.parquet")
+    spark.createDataFrame([], EVENTS).write.parquet(f"{path}/none/events.parquet")
+    return path, rows
+
+
+def test_subject_recordings_equal_interpolation(spark, events_dir):
+    import datetime
+
+    from undula.sources import adapters
+
+    path, rows = events_dir
+    rec, names, size = adapters.subject_recordings(spark, path)
+    got = {}
+    for r in rec.collect():
+        got.setdefault((r["rec"], r["ch"]), {})[r["i"]] = r["v"]
+    whole = [r for r in rows if None not in (r[1], r[2], r[4])]
+    assert names == list("abcde") and len(got) == 15 and all(len(v) == size for v in got.values())
+    for (user, ch), values in got.items():
+        bins = {}
+        for _, u, kind, value, ts in whole:
+            if str(u) == user and kind == ch and value is not None:
+                bins.setdefault((ts - datetime.datetime(2024, 3, 1)) // datetime.timedelta(hours=3), []).append(value)
+        at = [-1, *sorted(bins), size]
+        want = np.interp(range(size), at, [0.0, *(np.mean(bins[k]) for k in sorted(bins)), 0.0])
+        assert np.allclose([values[i] for i in range(size)], want)
+    assert adapters.subject_recordings(spark, f"{path}/none")[0].count() == 0
+
+
+def test_sweep_of_subjects(spark, events_dir):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["subject_sweep"](spark, events_dir[0]).collect()
+    done = [r for r in rows if r["error"] is None]
+    assert {(r["subject"], r["enova_threshold"]) for r in done} == {(u, t) for u in "12" for t in (0.1, 0.3, 0.5, 0.7, 0.9)}
+    assert [(r["subject"], r["error"], r["enova_threshold"]) for r in rows if r["error"]] == [("3", "signal in 1 of 5 channels, more than 3 needed", None)]
+    for r in done:
+        assert r["pct_retained"] == pytest.approx(100 * (1 - r["n_1s_windows_rejected"] / r["n_1s_windows_total"]), abs=1e-5)
+    for u in "12":
+        cut = [r["n_1s_windows_rejected"] for r in sorted(done, key=lambda r: r["enova_threshold"]) if r["subject"] == u]
+        assert cut == sorted(cut, reverse=True) and len({(r["rmse"], r["mean_enova"]) for r in done if r["subject"] == u}) == 1
+
+
+def test_second_pass_is_by_recording(spark, events_dir):
+    from undula.operators import signal
+    from undula.plans import numeric
+
+    rec, names, size, ref, matrix = numeric.subjects(spark, events_dir[0])
+    first = ged.clean(rec.where("rec <> '3'"), matrix, 8, size)
+    shares = {(r["rec"], r["ch"]): r["enova"] for r in signal.enova_per_channel(first, 8).collect()}
+    limit = sorted(shares.values())[-2]
+    worst = max(shares, key=shares.get)
+    parts, bad = ged.two_pass(rec.where("rec <> '3'"), ref, 8, size, limit)
+    assert [tuple(r) for r in bad.collect()] == [worst]
+    left = {(r["rec"], r["ch"]) for r in parts.select("rec", "ch").distinct().collect()}
+    assert left == set(shares) - {worst}
+    # what is cleaned again is cleaned against the reference of the channels that are left
+    keep = [k for k, c in enumerate(names) if c != worst[1]]
+    alone = ged.clean(rec.where(f"rec = '{worst[0]}' and ch <> '{worst[1]}'"), matrix[np.ix_(keep, keep)], 8, size)
+    want = {(r["ch"], r["i"]): r["clean"] for r in alone.collect()}
+    got = {(r["ch"], r["i"]): r["clean"] for r in parts.where(f"rec = '{worst[0]}'").collect()}
+    assert want.keys() == got.keys() and np.allclose([want[k] for k in want], [got[k] for k in want])

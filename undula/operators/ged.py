@@ -164,44 +164,59 @@ SIGNAL = "rec string, ch string, i long, clean double, noise double"
 BANDED = "rec string, ch string, i long, band int, clean double, noise double, score double, threshold double"
 
 
-def clean(rec: DataFrame, ref: np.ndarray, fs: float, size: int, lowcut: float = 0.5, kind: str = "auto", window_seconds: float | None = None) -> DataFrame:
+def own_reference(ref: np.ndarray, names: list[str] | None):
+    """Channels of a group -> its prepared reference: rows and columns of ref (for `names`) that the group has, by name."""
+    known: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(channels: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        key = tuple(channels)
+        if key not in known:
+            at = [names.index(c) for c in channels] if names else range(len(ref))
+            known[key] = prepared_reference(ref[np.ix_(at, at)])
+        return known[key]
+
+    return of
+
+
+def clean(rec: DataFrame, ref: np.ndarray, fs: float, size: int, lowcut: float = 0.5, kind: str = "auto", window_seconds: float | None = None, names: list[str] | None = None) -> DataFrame:
     """rec(rec, ch, i, v) of `size` samples each -> (rec, ch, i, clean, noise), noise being the referenced input less clean.
 
     Average reference, high-pass, a broadband pass over 2-second epochs, then every band of the undecimated transform on
     its own; a recording (then a recording's band) is one group of size * channels values. window_seconds moves the
-    thresholds with time.
+    thresholds with time. names are ref's channels; where given, recordings may lack some of them.
     """
-    r, pcs = prepared_reference(ref)
+    reference = own_reference(ref, names)
 
     def broadband(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, names = _wide(pdf)
+        x, channels = _wide(pdf)
         try:
-            c, *_ = clean_band(x, r, pcs, even_samples(2.0, fs), noise_multiplier("auto-"), -2.0, 12.0)
+            c, *_ = clean_band(x, *reference(channels), even_samples(2.0, fs), noise_multiplier("auto-"), -2.0, 12.0)
         except np.linalg.LinAlgError:
             c = x
-        return _long(pdf, names, v=c)
+        return _long(pdf, channels, v=c)
 
     referenced = signal.average_reference(rec)
     passed = signal.wavelet_highpass(referenced, size, fs, lowcut)
     whole = passed.groupBy("rec").applyInPandas(broadband, "rec string, ch string, i long, v double")
-    banded = clean_bands(whole, r, pcs, fs, size, lowcut, kind, window_seconds)
+    banded = clean_bands(whole, ref, fs, size, lowcut, kind, window_seconds, names)
     added = banded.groupBy("rec", "ch", "i").agg(F.sum("clean").alias("clean"))
     return added.join(referenced, ["rec", "ch", "i"]).select("rec", "ch", "i", "clean", (F.col("v") - F.col("clean")).alias("noise"))
 
 
-def clean_bands(rec: DataFrame, r: np.ndarray, pcs: np.ndarray, fs: float, size: int, lowcut: float, kind: str = "auto", window_seconds: float | None = None) -> DataFrame:
+def clean_bands(rec: DataFrame, ref: np.ndarray, fs: float, size: int, lowcut: float, kind: str = "auto", window_seconds: float | None = None, names: list[str] | None = None) -> DataFrame:
     """Every band of rec cleaned in its own group (BANDED); bands at or below lowcut pass through with a null score."""
     plan = {p["band"]: p for p in band_plan(fs, size, lowcut)}
     levels = len(plan) - 1
+    reference = own_reference(ref, names)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         p = plan[int(pdf["band"].iloc[0])]
-        x, names = _wide(pdf)
+        x, channels = _wide(pdf)
         c, z, score, t = x, np.zeros_like(x), None, None
         if p["n"] and p["n"] <= size:
             window = round(window_seconds * fs / p["n"]) if window_seconds else None
-            c, z, score, t, _ = clean_band(x, r, pcs, p["n"], noise_multiplier(kind), p["t_min"], 12.0, max(window, 1) if window is not None else None)
-        return _long(pdf, names, clean=c, noise=z).assign(band=p["band"], score=score, threshold=t)[["rec", "ch", "i", "band", "clean", "noise", "score", "threshold"]]
+            c, z, score, t, _ = clean_band(x, *reference(channels), p["n"], noise_multiplier(kind), p["t_min"], 12.0, max(window, 1) if window is not None else None)
+        return _long(pdf, channels, clean=c, noise=z).assign(band=p["band"], score=score, threshold=t)[["rec", "ch", "i", "band", "clean", "noise", "score", "threshold"]]
 
     return signal.haar_bands(rec, size, levels).groupBy("rec", "band").applyInPandas(one, BANDED)
 
@@ -242,16 +257,18 @@ def score_curve(rec: DataFrame, ref: np.ndarray, n: int, thresholds: list[float]
     return rec.groupBy("rec").applyInPandas(one, "rec string, t double, score double")
 
 
-def two_pass(rec: DataFrame, ref: dict[tuple[str, str], float], fs: float, size: int, threshold: float, **options) -> tuple[DataFrame, list[str]]:
-    """Cleans, finds channels with a noise share above threshold, and if there are any, cleans the others without them.
-    The list of channels is at most as long as the montage."""
-    def matrix(names: list[str]) -> np.ndarray:
-        return np.array([[ref[a, b] for b in names] for a in names])
+def two_pass(rec: DataFrame, ref: dict[tuple[str, str], float], fs: float, size: int, threshold: float, first: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Cleans; in each recording finds the channels with a noise share above threshold; recordings with any, and with
+    channels enough without them, are cleaned again without them. Gives the parts and bad(rec, ch).
 
+    The first pass is read three times: first may give it, written to a table.
+    """
     names = sorted({a for a, _ in ref})
-    first = clean(rec, matrix(names), fs, size, **options)
-    bad = [r["ch"] for r in signal.enova_per_channel(first, int(fs)).groupBy("ch").agg(F.max("enova").alias("e")).where(F.col("e") > threshold).collect()]
-    good = [c for c in names if c not in bad]
-    if not bad or len(good) <= COMPONENTS:
-        return first, bad
-    return clean(rec.where(F.col("ch").isin(good)), matrix(good), fs, size, **options), bad
+    matrix = np.array([[ref[a, b] for b in names] for a in names])
+    first = clean(rec, matrix, fs, size, names=names, **options) if first is None else first
+    shares = signal.enova_per_channel(first, int(fs))
+    bad = shares.where(F.col("enova") > threshold).select("rec", "ch")
+    left = shares.groupBy("rec").agg(F.count_if(F.col("enova") <= threshold).alias("good"), F.count("*").alias("all"))
+    again = left.where((F.col("good") < F.col("all")) & (F.col("good") > COMPONENTS)).select("rec")
+    second = clean(rec.join(again, "rec", "left_semi").join(bad, ["rec", "ch"], "left_anti"), matrix, fs, size, names=names, **options)
+    return first.join(again, "rec", "left_anti").unionByName(second), bad

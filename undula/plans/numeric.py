@@ -2,75 +2,101 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.operators import decode, ged, inference, quality, signal, spectral, stats
 from undula.plans.catalogue import SWEEP, diffs, r6, register, triple
+from undula.plans.sweep import run_subjects
 from undula.sources import adapters
 from undula.sources.adapters import FS, HOURS, events_recording
+from undula.sources.io import shared_path
 from undula.streaming import enova as streaming
 
 
-def reference_matrix(spark, sf_dir) -> tuple[dict, np.ndarray]:
-    """The montage's covariance; a montage is bounded where it is built."""
-    rows = quality.rbf_covariance(adapters.ring_positions(events_recording(spark, sf_dir))).collect()
-    ref = {(r["a"], r["b"]): r["g"] for r in rows}
-    names = sorted({a for a, _ in ref})
-    return ref, np.array([[ref[a, b] for b in names] for a in names])
+#: Subjects are sampled every three hours, FS_SUBJECT samples a day, and an epoch is a day.
+STEP_HOURS, FS_SUBJECT = 3, 8
+
+
+def subjects(spark, sf_dir) -> tuple[DataFrame, list[str], int, dict, np.ndarray]:
+    """A recording for each user, channel names, length, and the montage's covariance by names and as a matrix; a montage
+    is bounded where the covariance is built."""
+    rec, names, size = adapters.subject_recordings(spark, sf_dir, STEP_HOURS)
+    places = spark.createDataFrame([(c, *xyz) for c, xyz in adapters.ring(names).items()], "ch string, x double, y double, z double")
+    ref = {(r["a"], r["b"]): r["g"] for r in quality.rbf_covariance(places).collect()}
+    return rec, names, size, ref, np.array([[ref[a, b] for b in names] for a in names])
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written in the shared folder and read again, for what is read more than once."""
+    path = shared_path(df.sparkSession, "parts")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @register()
 def ged_clean(spark, sf_dir):
-    r, pcs = ged.prepared_reference(reference_matrix(spark, sf_dir)[1])
-    banded = ged.clean_bands(signal.average_reference(events_recording(spark, sf_dir)), r, pcs, FS, HOURS, 0.5)
-    return ged.band_summary(banded, FS).select("rec", "band", *r6("score", "threshold", "enova"))
+    rec, _, size, _, matrix = subjects(spark, sf_dir)
+    banded = written(ged.clean_bands(signal.average_reference(rec), matrix, FS_SUBJECT, size, 0.5))
+    return ged.band_summary(banded, FS_SUBJECT).select("rec", "band", *r6("score", "threshold", "enova"))
 
 
 @register()
 def ged_full(spark, sf_dir):
-    parts = ged.clean(events_recording(spark, sf_dir), reference_matrix(spark, sf_dir)[1], FS, HOURS)
-    return signal.enova_per_epoch(parts, FS, HOURS).select("rec", "epoch", *r6("enova"))
+    rec, _, size, _, matrix = subjects(spark, sf_dir)
+    return signal.enova_per_epoch(ged.clean(rec, matrix, FS_SUBJECT, size), FS_SUBJECT, size).select("rec", "epoch", *r6("enova"))
 
 
 @register()
 def ged_channels(spark, sf_dir):
-    parts = ged.clean(events_recording(spark, sf_dir), reference_matrix(spark, sf_dir)[1], FS, HOURS)
-    return signal.enova_per_channel(parts, FS).select("rec", "ch", *r6("enova"))
+    rec, _, size, _, matrix = subjects(spark, sf_dir)
+    return signal.enova_per_channel(ged.clean(rec, matrix, FS_SUBJECT, size), FS_SUBJECT).select("rec", "ch", *r6("enova"))
 
 
 @register()
 def sliding_vs_global(spark, sf_dir):
-    rec, (_, ref) = events_recording(spark, sf_dir), reference_matrix(spark, sf_dir)
+    rec, _, size, _, matrix = subjects(spark, sf_dir)
     out = None
     for key, seconds in (("global", None), ("win8s", 8.0)):
-        parts = ged.clean(rec, ref, FS, HOURS, window_seconds=seconds)
-        e = signal.enova_per_epoch(parts, FS, HOURS).groupBy("rec").agg(F.avg("enova").alias("mean_enova")).select(F.lit(key).alias("window_key"), "rec", *r6("mean_enova"))
+        parts = ged.clean(rec, matrix, FS_SUBJECT, size, window_seconds=seconds)
+        e = signal.enova_per_epoch(parts, FS_SUBJECT, size).groupBy("rec").agg(F.avg("enova").alias("mean_enova")).select(F.lit(key).alias("window_key"), "rec", *r6("mean_enova"))
         out = e if out is None else out.union(e)
     return out
 
 
 @register()
 def two_pass(spark, sf_dir):
-    ref, _ = reference_matrix(spark, sf_dir)
-    parts, bad = ged.two_pass(events_recording(spark, sf_dir), ref, FS, HOURS, 0.9)
-    return signal.enova_per_channel(parts, FS).select("rec", "ch", *r6("enova"), F.lit(len(bad)).alias("n_bad"))
+    """Channels whose noise share is over the upper tenth of all channels' are left out of their recording's second pass."""
+    rec, _, size, ref, matrix = subjects(spark, sf_dir)
+    first = written(ged.clean(rec, matrix, FS_SUBJECT, size))
+    limit = signal.enova_per_channel(first, FS_SUBJECT).agg(F.percentile("enova", F.lit(0.9))).first()[0]
+    parts, bad = ged.two_pass(rec, ref, FS_SUBJECT, size, 1.0 if limit is None else limit, first=first)
+    n = written(bad).groupBy("rec").agg(F.count("*").alias("n_bad"))
+    shares = signal.enova_per_channel(parts, FS_SUBJECT).join(n, "rec", "left")
+    return shares.select("rec", "ch", *r6("enova"), F.coalesce("n_bad", F.lit(0).cast("long")).alias("n_bad"))
 
 
 @register()
 def sensai_curve(spark, sf_dir):
-    rec = signal.average_reference(events_recording(spark, sf_dir))
-    return ged.score_curve(rec, reference_matrix(spark, sf_dir)[1], 2 * FS, [float(t) for t in range(0, 13)]).select("rec", "t", *r6("score"))
+    rec, _, _, _, matrix = subjects(spark, sf_dir)
+    return ged.score_curve(signal.average_reference(rec), matrix, 2 * FS_SUBJECT, [float(t) for t in range(0, 13)]).select("rec", "t", *r6("score"))
 
 
 @register()
 def sensai_final(spark, sf_dir):
-    ref = reference_matrix(spark, sf_dir)[1]
-    parts = ged.clean(events_recording(spark, sf_dir), ref, FS, HOURS)
-    return ged.final_sensai(parts, ref, FS).select("rec", *r6("sensai"))
+    rec, _, size, _, matrix = subjects(spark, sf_dir)
+    return ged.final_sensai(ged.clean(rec, matrix, FS_SUBJECT, size), matrix, FS_SUBJECT).select("rec", *r6("sensai"))
+
+
+@register()
+def subject_sweep(spark, sf_dir):
+    """A row per (dataset, subject, threshold): artifact injected, cleaned by the kernel once a subject, scored, and rejected
+    at five thresholds; a subject that can't be cleaned has one row, with the reason in `error`."""
+    rec, names, size, _, matrix = subjects(spark, sf_dir)
+    rows = run_subjects(rec, names, size, matrix, FS_SUBJECT, [0.1, 0.3, 0.5, 0.7, 0.9], written)
+    measures = ["pct_retained", "mean_enova", "snr_improvement_db", "rmse", "correlation", "residual_power_ratio"]
+    return rows.select(adapters.subject_datasets(F.col("rec")).alias("dataset"), F.col("rec").alias("subject"), "enova_threshold", "n_1s_windows_total", "n_1s_windows_rejected", *r6(*measures), "error")
 
 
 @register()
@@ -193,27 +219,22 @@ def error_rows(spark, sf_dir):
     return s.where("error is null").groupBy("dataset").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"), F.round(F.avg("ba_rej"), 6).alias("ba"))
 
 
-def stream_path(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='undula-stream-')}"
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 WINDOW = """select strftime({start}, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(avg(value), 6) as mean,
 round(case when avg(value * value) > 0 then var_pop(value) / avg(value * value) else 0 end, 6) as share from {source} group by all"""
 
 
 @register(WINDOW.format(start="time_bucket(interval 1 day, ts, timestamp '1970-01-01')", source="events"))
 def stream_enova_tumbling(spark, sf_dir):
-    return streaming.run_to_end(streaming.window_share(streaming.event_stream(spark, sf_dir), "1 day"), stream_path(spark))
+    return streaming.run_to_end(streaming.window_share(streaming.event_stream(spark, sf_dir), "1 day"), shared_path(spark, "stream"))
 
 
 @register(WINDOW.format(start="s", source="(select *, unnest([time_bucket(interval 1 day, ts, timestamp '1970-01-01'), time_bucket(interval 1 day, ts, timestamp '1970-01-01') - interval 1 day]) as s from events)"))
 def stream_enova_sliding(spark, sf_dir):
-    return streaming.run_to_end(streaming.window_share(streaming.event_stream(spark, sf_dir), "2 days", "1 day"), stream_path(spark))
+    return streaming.run_to_end(streaming.window_share(streaming.event_stream(spark, sf_dir), "2 days", "1 day"), shared_path(spark, "stream"))
 
 
 @register("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 1 hour then 0 else 1 end as new from events),
 s as (select *, sum(new) over (partition by user_id order by ts, event_id) as k from g)
 select strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, user_id, count(*) as n, round(sum(value), 6) as total from s group by user_id, k""")
 def stream_session(spark, sf_dir):
-    return streaming.run_to_end(streaming.sessions(streaming.event_stream(spark, sf_dir), "1 hour"), stream_path(spark))
+    return streaming.run_to_end(streaming.sessions(streaming.event_stream(spark, sf_dir), "1 hour"), shared_path(spark, "stream"))

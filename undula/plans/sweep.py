@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.operators import inject, quality, signal
+from undula.operators import ged, inject, quality, signal
+from undula.sources import adapters
 
 
 def threshold_rows(df: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -62,3 +64,26 @@ def deterministic_injectors(fs: float, epochs: list[int], n: int) -> dict[str, C
         "blink": lambda r: inject.blink(r, epochs, n, 6, 10),
         "saccade": lambda r: inject.saccade(r, epochs, n, 5, 6),
     }
+
+
+def run_subjects(rec: DataFrame, names: list[str], size: int, matrix: np.ndarray, fs: int, thresholds: list[float], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rec(rec, ch, i, v), a recording for each subject -> a row per subject and threshold, with window counts, share
+    retained, mean score, quality against the input before injection, and error.
+
+    Every subject is injected and cleaned once; keep writes what is read again. Subjects whose signal is in too few channels
+    for the kernel have one row: error says why and the rest is null.
+    """
+    rec = keep(rec)
+    live = rec.groupBy("rec").agg(F.count_distinct(F.when(F.col("v") != 0, F.col("ch"))).alias("live"))
+    failed = live.where(F.col("live") <= ged.COMPONENTS)
+    at = (F.array_position(F.array(*[F.lit(c) for c in names]).cast("array<string>"), F.col("ch")) - 1).cast("int")
+    ref = signal.average_reference(rec.join(failed, "rec", "left_anti")).withColumn("ch_idx", at)
+    cor = ref.select("rec", "ch", "i", F.col("v").alias("ref"), (F.col("v") + adapters.line_noise(freq=0.375 * fs, fs=fs)).alias("v"))
+    parts = ged.clean(cor.select("rec", "ch", "i", "v"), matrix, fs, size, names=names)
+    # a sample's two versions stand beside its parts, so that quality and scores read one table
+    triple = keep(parts.join(cor, ["rec", "ch", "i"]).select("rec", "ch", "i", "ref", F.col("v").alias("cor"), F.col("clean").alias("cln"), "noise"))
+    scores = signal.enova_per_epoch(triple.withColumnRenamed("cln", "clean"), fs, size)
+    measured = quality.removal(triple).join(quality.mean_correlation(triple), "rec")
+    rows = apply_thresholds(scores, thresholds).join(measured, "rec").withColumn("error", F.lit(None).cast("string"))
+    reason = F.concat(F.lit("signal in "), F.col("live").cast("string"), F.lit(f" of {len(names)} channels, more than {ged.COMPONENTS} needed"))
+    return rows.unionByName(failed.select("rec", reason.alias("error")), allowMissingColumns=True)

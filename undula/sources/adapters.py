@@ -43,6 +43,51 @@ def events_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(cells, ["ch", "i"], "left").select(F.lit("events").alias("rec"), "ch", "i", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def event_span(spark: SparkSession, sf_dir: str, hours: int) -> tuple[list[str], str, int]:
+    """Event types in order (they are the montage, so few), the first event's day, and the number of bins up to the last event."""
+    events = table(spark, sf_dir, "events").where("ts is not null and user_id is not null and event_type is not null")
+    start = F.date_trunc("day", F.min("ts"))
+    bins = F.floor(F.timestamp_diff("HOUR", start, F.max("ts")) / hours) + 1
+    row = events.agg(F.array_sort(F.collect_set("event_type")).alias("names"), start.cast("string").alias("start"), bins.alias("bins")).first()
+    return row["names"], row["start"] or START, row["bins"] or 0
+
+
+def subject_recordings(spark: SparkSession, sf_dir: str, hours: int = 3) -> tuple[DataFrame, list[str], int]:
+    """A recording for each user, with its channel names and length: a channel for each event type, sampled every `hours`
+    hours over the time that the table spans. A sample is the mean of the bin's values; between such bins the signal is a
+    straight line, from 0 before the first bin and to 0 after the last one, so that it is nowhere constant by chance.
+
+    Events without a user, type or time are left out. An empty table gives no recordings.
+    """
+    names, start, size = event_span(spark, sf_dir, hours)
+    at = F.floor(F.timestamp_diff("HOUR", F.lit(start).cast("timestamp_ntz"), F.col("ts")) / hours).cast("long")
+    events = table(spark, sf_dir, "events").where("ts is not null and user_id is not null and event_type is not null")
+    cells = events.groupBy(F.col("user_id").cast("string").alias("rec"), F.col("event_type").alias("ch"), at.alias("i")).agg(F.avg("value").alias("v"))
+    channels = F.explode(F.array(*[F.lit(c) for c in names]).cast("array<string>"))
+    grid = events.select(F.col("user_id").cast("string").alias("rec")).distinct().select("rec", channels.alias("ch"))
+    grid = grid.select("rec", "ch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(size - 1, 0)).cast("long"))).alias("i"))
+    by = Window.partitionBy("rec", "ch").orderBy("i")
+    knot = F.when(F.col("v").isNotNull(), F.struct("i", "v"))
+    ends = [F.struct(F.lit(i).cast("long").alias("i"), F.lit(0.0).alias("v")) for i in (-1, size)]
+    before = F.coalesce(F.last(knot, ignorenulls=True).over(by), ends[0])
+    after = F.coalesce(F.first(knot, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)), ends[1])
+    row = grid.join(cells, ["rec", "ch", "i"], "left").select("rec", "ch", "i", "v", before.alias("p"), after.alias("q"))
+    line = F.col("p.v") + (F.col("q.v") - F.col("p.v")) * (F.col("i") - F.col("p.i")) / (F.col("q.i") - F.col("p.i"))
+    return row.select("rec", "ch", "i", F.coalesce("v", line).alias("v")), names, size
+
+
+def subject_datasets(subject: Column) -> Column:
+    """The registered dataset that a subject counts to."""
+    names = F.array(*[F.lit(r[0]) for r in REGISTRY])
+    return F.element_at(names, (F.pmod(F.xxhash64(subject), F.lit(len(REGISTRY))) + 1).cast("int"))
+
+
+def ring(names: list[str]) -> dict[str, tuple[float, float, float]]:
+    """Synthetic electrodes for named channels, evenly on a circle."""
+    turn = 2 * math.pi / max(len(names), 1)
+    return {c: (math.cos(turn * k), math.sin(turn * k), 0.0) for k, c in enumerate(names)}
+
+
 def user_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ragged recording per user: their event values in order of time."""
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
