@@ -153,6 +153,10 @@ CHAT = [
     (1, 0, "user", "Hello there\nhow are you?\n\nSecond para."), (1, 1, "assistant", "> hello there how\n> are you?\nFine."), (1, 2, "user", ">> Hello there\n>> how are you?\n> Fine.\nGood"),
     (1, 3, "assistant", "> good\n\nok"), (1, 4, "user", "new topic"), (2, 0, "user", "> Second PARA.\nfrom elsewhere"), (2, 1, "user", "> nobody said\nx"), (2, 2, "user", None),
     (None, 0, "user", "> Fine."), (2, 3, "user", ""), (2, 3, "user", ""), (3, 0, "user", "thanks"), (3, 1, "user", "thanks"), (3, 2, "user", " > > thanks\n>  THANKS "), (3, 3, "user", ">\n> \n"),
+    # a sentence of a paragraph, re-wrapped; an interleaved reply; two paragraphs run together; lines of a list; the wrong order
+    (4, 0, "user", "First point here. Second point is\nlonger! Third?\n\nA closing paragraph\n\n- one\n- two\n- three"), (4, 1, "assistant", "> Second\n> point is longer!\nyes"),
+    (4, 2, "user", "> First point here.\nno\n> Second point is longer! Third?\nmaybe"), (4, 3, "user", "> Third?\n> A closing paragraph\nok"), (4, 4, "user", "> - two\n> - three\nthese"),
+    (4, 5, "user", "> Third? First point here.\nwrong"), (4, 6, "user", "> point here.\ncut"),
 ]
 
 
@@ -161,6 +165,7 @@ def test_quotes(spark):
     by = {(r["conv_id"], r["turn"]): (r["n_quotes"], r["n_linked"], r["reply_to_conv"], r["reply_to_turn"], r["thread_turn"], r["depth"], r["body"]) for r in got}
     assert len(got) == len(CHAT)
     assert by[1, 1] == (1, 1, 1, 0, 0, 1, "Fine.") and by[1, 2] == (2, 2, 1, 1, 0, 2, "Good") and by[1, 3] == (1, 1, 1, 2, 0, 3, "\nok")
+    assert [by[4, k][:4] for k in range(1, 7)] == [(1, 1, 4, 0), (2, 2, 4, 0), (1, 1, 4, 0), (1, 1, 4, 0), (1, 0, None, None), (1, 0, None, None)]
     assert by[1, 4] == (0, 0, None, None, 4, 0, "new topic") and by[2, 0] == (1, 1, 1, 0, 0, 0, "from elsewhere")
     assert by[2, 1][:4] == (1, 0, None, None) and by[2, 2][6] is None and by[None, 0][:4] == (0, 0, None, None)
     assert by[3, 2] == (2, 2, 3, 1, 1, 1, "") and by[3, 3][:2] == (0, 0)
@@ -179,6 +184,28 @@ def test_quotes_equal_sql(spark):
     assert_same(quotes.conversations(spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")), con, ORACLE_SQL["op3_quotation_links"])
 
 
+def test_quotes_of_parts_are_all_found(spark):
+    """Thousands of messages that quote one to three sentences in a row of an earlier one, cut anywhere and re-wrapped."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for c in range(300):
+        texts = []
+        for t in range(8):
+            sentences = [f"{words(rng, rng.randint(4, 12))} {c} {t} {k}." for k in range(rng.randint(1, 6))]
+            text = "".join(s + rng.choice([" ", "\n", "\n\n"]) for s in sentences)
+            if texts and rng.random() < 0.7:
+                up = rng.randrange(len(texts))
+                a = rng.randrange(len(texts[up]))
+                quoted = " ".join(texts[up][a : a + rng.randint(1, 3)]).split(" ")
+                cut = rng.randint(1, len(quoted))
+                text = "".join(f"> {' '.join(part)}\n" for part in (quoted[:cut], quoted[cut:]) if part) + text
+                want[c, t] = up
+            texts.append(sentences)
+            rows.append((c, t, "user", text))
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("n_quotes > 0").collect()
+    assert {(r["conv_id"], r["turn"]): r["reply_to_turn"] for r in got} == want and len(want) > 1000
+
+
 def test_a_long_chain_of_replies(spark):
     rows = [(1, 0, "u", "message 0")] + [(1, k, "u", f"> message {k - 1}\nmessage {k}") for k in range(1, 40)]
     got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -107,13 +107,27 @@ with recursive m as (
   select *, sum(opens) over (partition by conv, turn, text order by i) as number from opened
 ), spoken as (
   select conv, turn, 0 as level, unnest(regexp_split_to_array(text, '\n[ \t\r]*(?:\n[ \t\r]*)+')) as said from m where not quotes
-  union all select conv, turn, level, string_agg(said, ' ' order by i) from numbered where not blank group by conv, turn, text, number, level
+  union all select conv, turn, level, string_agg(said, chr(10) order by i) from numbered where not blank group by conv, turn, text, number, level
 ), passages as (
   select distinct conv, turn, level, lower(trim(regexp_replace(said, '\s+', ' ', 'g'))) as passage from spoken
 ), quoted as (
   select * from passages where level > 0 and passage <> ''
+), texts as (
+  select conv, turn, 'own' as of, array_to_string([x for x in string_split(text, chr(10)) if not regexp_matches(x, '^[ \t]*>')], chr(10)) as said from m
+  union all select distinct null, null, 'quotation', said from spoken where level > 0
+), units as (
+  select conv, turn, of, 0 as kind, string_split(regexp_replace(regexp_replace(said, '([.!?])\s+', '\1' || chr(1), 'g'), '\n[ \t\r]*\n', chr(1), 'g'), chr(1)) as u from texts
+  union all select conv, turn, of, 1, string_split(said, chr(10)) from texts
+), plain as (
+  select conv, turn, of, kind, [lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) for x in u if trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''] as u from units
+), begins as (
+  select distinct kind, u[1] as unit, len(u) as k from plain where of = 'quotation' and len(u) > 0
+), runs as (
+  select distinct conv, turn, array_to_string(u[pos : pos + k - 1], ' ') as passage from (select *, unnest(range(1, len(u) + 1)) as pos from plain where of = 'own') o
+  join begins b on b.kind = o.kind and b.unit = o.u[o.pos] and pos + k - 1 <= len(u)
 ), said as (
   select conv, turn, passage from passages where level = 0 and passage in (select passage from quoted)
+  union select conv, turn, passage from runs where passage in (select passage from quoted)
 ), origin as (
   select q.conv, q.turn, q.level, q.passage, max(s.turn) filter (where s.conv = q.conv and s.turn < q.turn) as near, min({'c': s.conv, 't': s.turn}) as first
   from quoted q left join said s on s.passage = q.passage group by all

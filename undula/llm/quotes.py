@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.llm.common import materialize
+from undula.llm.common import materialize, sent_if_small
 
 QUOTED = r"^[ \t]*>"
+SENTENCE_END = r"(?<=[.!?])\s+|\n[ \t\r]*\n"
 _PREFIX = r"^[ \t]*(?:>[ \t]?)+"
 
 
@@ -22,8 +23,8 @@ def _hashes(text: Column) -> Column:
     return F.when(plain != "", F.struct(F.xxhash64(plain).alias("a"), F.xxhash64(F.lit(1), plain).alias("b")))
 
 
-def passages(messages: DataFrame) -> DataFrame:
-    """messages(conv, turn, text), distinct -> (conv, turn, level, passage: two 64-bit hashes), a row for each passage."""
+def spoken(messages: DataFrame) -> DataFrame:
+    """messages(conv, turn, text), distinct -> (conv, turn, level, said: the passage's lines), a row for each passage."""
     key = ["conv", "turn", "text"]
     plain = messages.where(~F.col("text").rlike(f"(?m){QUOTED}"))
     own = plain.select("conv", "turn", F.lit(0).alias("level"), F.explode(F.split("text", r"\n[ \t\r]*(?:\n[ \t\r]*)+")).alias("said"))
@@ -36,15 +37,48 @@ def passages(messages: DataFrame) -> DataFrame:
     opens = (F.col("level") != F.lag("level", 1, -1).over(w)) | blank
     marked = cut.withColumn("number", F.sum(opens.cast("int")).over(w)).where(~blank)
     joined = marked.groupBy(*key, "number", "level").agg(F.array_sort(F.collect_list(F.struct("i", "said"))).alias("of"))
-    quoted = joined.select("conv", "turn", "level", F.array_join(F.transform("of", lambda x: x["said"]), " ").alias("said"))
-    return own.union(quoted).select("conv", "turn", "level", _hashes(F.col("said")).alias("passage")).where("passage is not null")
+    quoted = joined.select("conv", "turn", "level", F.array_join(F.transform("of", lambda x: x["said"]), "\n").alias("said"))
+    return own.union(quoted)
+
+
+def passages(messages: DataFrame) -> DataFrame:
+    """As spoken, with a passage's two 64-bit hashes in place of its lines; those without a word are left out."""
+    return spoken(messages).select("conv", "turn", "level", _hashes(F.col("said")).alias("passage")).where("passage is not null")
+
+
+def _body(text: Column) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(QUOTED)), "\n")
+
+
+def _units(text: Column) -> Column:
+    """The text's sentences (which end with a mark or a blank line) and its lines: two arrays of normalised, non-empty strings."""
+    plain = lambda parts: F.filter(F.transform(parts, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))), lambda x: x != "")
+    return F.array(plain(F.split(text, SENTENCE_END)), plain(F.split(text, "\n")))
+
+
+def runs(messages: DataFrame) -> DataFrame:
+    """messages(conv, turn, text), distinct -> (conv, turn, passage) of the runs of sentences or lines that begin as a
+    quotation does and are as many as it has.
+
+    A first unit has one row with all lengths that quotations beginning with it have, so no pairs of messages are made; a
+    message's runs are hashed in its own row.
+    """
+    kinds = F.posexplode(_units(F.col("said"))).alias("kind", "units")
+    begins = spoken(messages).where("level > 0").select("said").distinct().select(kinds).where("size(units) > 0").select("kind", F.xxhash64(F.col("units")[0]).alias("unit"), F.size("units").alias("k"))
+    begins = materialize(begins.groupBy("kind", "unit").agg(F.collect_set("k").alias("lengths")), "quote-begins")
+    own = messages.select("conv", "turn", F.xxhash64("text").alias("th"), F.posexplode(_units(_body(F.col("text")))).alias("kind", "units"))
+    at = own.select("conv", "turn", "th", "kind", F.posexplode(F.transform("units", lambda x: F.xxhash64(x))).alias("pos", "unit"))
+    at = at.join(sent_if_small(begins, 100_000), ["kind", "unit"]).groupBy("conv", "turn", "th", "kind").agg(F.collect_list(F.struct("pos", "lengths")).alias("starts"))
+    run = lambda x: F.transform(F.filter(x["lengths"], lambda k: x["pos"] + k <= F.size("units")), lambda k: _hashes(F.array_join(F.slice("units", x["pos"] + 1, k), " ")))
+    return own.join(at, ["conv", "turn", "th", "kind"]).select("conv", "turn", F.explode(F.flatten(F.transform("starts", run))).alias("passage")).distinct()
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv, turn, level, passage, from_conv, from_turn) for each distinct quoted passage; from_* null if nobody says it."""
     found = materialize(passages(messages).distinct(), "passages")
     quoted = found.where("level > 0")
-    said = found.where("level = 0").drop("level").join(quoted.select("passage").distinct(), "passage")
+    own = found.where("level = 0").drop("level").union(runs(messages)).distinct()
+    said = own.join(quoted.select("passage").distinct(), "passage")
     # within the conversation: the last sayer before the quoting turn, by one sorted pass, without pairs
     both = said.select("conv", "passage", "turn", F.lit(0).alias("level"), F.col("turn").alias("origin")).unionByName(quoted.select("conv", "passage", "turn", "level", F.lit(None).cast("long").alias("origin")))
     before = Window.partitionBy("conv", "passage").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
@@ -72,7 +106,8 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     """A row per row of messages: conv_id, turn, role, n_quotes, n_linked, reply_to_conv, reply_to_turn, thread_turn, depth,
     body. Reply order is (conv_id, thread_turn, turn): a thread's messages stand together, oldest first.
 
-    n_quotes counts distinct quoted passages and levels, n_linked those with an origin. reply_to_* is the latest origin at
+    n_quotes counts distinct quoted passages and levels, n_linked those with an origin: a message that says the passage, or
+    its sentences or its lines in a row. Long texts are read whole. reply_to_* is the latest origin at
     level 1, in the own conversation if there is one, else elsewhere; threads follow replies within a conversation only. body is the text
     without quoted lines (null stays null). Rows with equal conversation and turn are one message to quote, and each gets
     the links of both; a null conversation or turn is never linked and is its own thread. Empty table: no rows.
@@ -84,7 +119,7 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     per = per.select("conv", "turn", "n_quotes", "n_linked", (-F.col("reply.c")).alias("reply_to_conv"), F.col("reply.t").alias("reply_to_turn"))
     threads = _threads(per.where("reply_to_conv = conv").select("conv", "turn", F.col("reply_to_turn").alias("reply_to")))
     known = per.join(threads, ["conv", "turn"], "left")
-    body = F.when(F.col("text").isNotNull(), F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(QUOTED)), "\n"))
+    body = F.when(F.col("text").isNotNull(), _body(F.col("text")))
     rows = m.withColumn("body", body).drop("text").join(known, ["conv", "turn"], "left")
     zero = F.lit(0).cast("long")
     return rows.select(F.col("conv").alias("conv_id"), "turn", "role", F.coalesce("n_quotes", zero).alias("n_quotes"), F.coalesce("n_linked", zero).alias("n_linked"), "reply_to_conv", "reply_to_turn", F.coalesce("thread", "turn").alias("thread_turn"), F.coalesce("depth", zero).alias("depth"), "body")
