@@ -70,7 +70,10 @@ def runs(messages: DataFrame) -> DataFrame:
     at = own.select("conv", "turn", "th", "kind", F.posexplode(F.transform("units", lambda x: F.xxhash64(x))).alias("pos", "unit"))
     at = at.join(sent_if_small(begins, 100_000), ["kind", "unit"]).groupBy("conv", "turn", "th", "kind").agg(F.collect_list(F.struct("pos", "lengths")).alias("starts"))
     run = lambda x: F.transform(F.filter(x["lengths"], lambda k: x["pos"] + k <= F.size("units")), lambda k: _hashes(F.array_join(F.slice("units", x["pos"] + 1, k), " ")))
-    return own.join(at, ["conv", "turn", "th", "kind"]).select("conv", "turn", F.explode(F.flatten(F.transform("starts", run))).alias("passage")).distinct()
+    at = materialize(at, "quote-starts")
+    # only texts with a start are shuffled
+    some = own.join(sent_if_small(at.select("conv", "turn", "th", "kind")), ["conv", "turn", "th", "kind"], "left_semi")
+    return some.join(at, ["conv", "turn", "th", "kind"]).select("conv", "turn", F.explode(F.flatten(F.transform("starts", run))).alias("passage")).distinct()
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
