@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import decontam, fertility, linededup, mixing, quotes, simhash, tokencount, tokenfile, toxicity, warc
+from undula.llm import bond, ctw, decontam, fertility, linededup, mixing, prefixtrie, quotes, simhash, tokencount, tokenfile, toxicity, warc
 from undula.llm.common import materialize, scratch_path, table
 from undula.llm.tokens import vocabulary_path
 
@@ -67,6 +67,25 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = materialize(prefixtrie.sequences(table(spark, sf_dir, "conversations")), "conversations")
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return prefixtrie.trie(prefixtrie.spliced(convs, F.col("conv_id") - F.col("conv_id") % 100, head))
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # a null doc_id counts as an empty one, which is held out
+    learns = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
+    found = ctw.scores(docs, learns)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_mixing": op2_mixing,
@@ -78,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_fertility": op9_fertility,
     "op10_simhash": op10_simhash,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_language_model": op13_language_model,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_revisits": """
@@ -189,4 +211,44 @@ with i as (
 )
 select doc_id, item_id, size::int as item_shingles, shared::int as shared, shared / size as containment
 from c join (select item_id, count(*) as size from s group by item_id) using (item_id) where shared >= 0.8::double * size""",
+    "op11_hard_negatives": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double) for x in embedding] as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as alike, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), p as (
+  select anchor_id, id as positive_id, score as positive_score from s where alike qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select anchor_id, positive_id, (row_number() over w)::int as rank, id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not alike and 80 * positive_score <= 100 * score and score <= positive_score
+window w as (partition by anchor_id, positive_id order by score desc, id) qualify row_number() over w <= 5""",
+    "op12_prefix_trie": """
+with t as (
+  select conv_id, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest, turn, length(coalesce(text, '')) as chars from conversations where conv_id is not null
+), own as (
+  select conv_id, list({'d': digest, 'c': chars} order by turn nulls first, digest) as turns from t group by conv_id
+), heads as (
+  select *, conv_id::varchar as name, conv_id - conv_id % 100 as source from own
+), coded as (
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, [ascii(x)::bigint for x in string_split(name, '')]),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)), 4294967295) % 6 as h
+  from heads
+), built as (
+  select c.conv_id, list_concat(coalesce(b.turns, []), [])[1:c.h] || c.turns[c.h + 1:] as turns from coded c left join own b on b.conv_id = c.source
+), members as (
+  select conv_id, len(turns) as length, unnest(range(0, len(turns) + 1)) as depth, turns from built
+), keyed as (
+  select conv_id, length, depth, md5(array_to_string([x.d for x in turns[1:depth]], '')) as node, case when depth > 0 then md5(array_to_string([x.d for x in turns[1:depth - 1]], '')) end as up, case when depth > 0 then turns[depth].c else 0 end as chars from members
+), nodes as (
+  select depth, node, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(chars) as saved, max(length) = depth as leaf,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where length = depth), '')) as ends_sha256 from keyed group by depth, node
+), below as (
+  select k.depth, k.node, sum(n.saved) as saved_tokens, sum(n.leaf::int) as n_leaves from nodes n join (select distinct b.node as low, b.depth as low_depth, a.node, a.depth from keyed a join keyed b on a.conv_id = b.conv_id and a.depth <= b.depth) k on n.node = k.low and n.depth = k.low_depth group by all
+), children as (
+  select up as node, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by all
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children, b.n_leaves::bigint as n_leaves, b.saved_tokens::bigint as saved_tokens, n.ends_sha256
+from nodes n join below b using (depth, node) left join children c on c.node = n.node and c.depth = n.depth left join nodes p on p.node = n.up and p.depth = n.depth - 1""",
 }
