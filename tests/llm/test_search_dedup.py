@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, clashing, components, documents, words
 from undula.llm import components as cc
-from undula.llm import decontam, linededup, simhash
+from undula.llm import decontam, linededup, queries, simhash
 
 
 def plain_shingles(text, k=5):
@@ -191,3 +191,47 @@ def test_copies_equal_brute_force_over_shingles(spark, limit):
     assert sorted((repr(r["id"]), r["component_id"]) for r in got) == sorted((repr(i), least[root[k]]) for k, (i, _, _) in text.items())
     narrow = components(list(text), lambda a, b: (text[a][2] ^ text[b][2]).bit_count() <= 3)
     assert len(set(root.values())) < len(set(narrow.values()))
+
+
+#: Small and capital letters of Cyrillic, Greek, Polish, Armenian, Georgian, Deseret and Turkish words.
+SCRIPTS = {
+    1: "широкая электрификация южных губерний даст мощный толчок подъёму",
+    2: "ξεσκεπάζω την ψυχοφθόρα σας βδελυγμία λόγος προς όλους",
+    3: "zażółć gęślą jaźń mężny bądź chroń pułk twój sześć flag",
+    4: "բել դղյակի ձախ ժամն օֆ ազգությանը ցպահանջ չճշտած",
+    5: "გთხოვთ ახლავე გაიაროთ რეგისტრაცია მეათე საერთაშორისო კონფერენციაზე",
+    6: "𐐨𐐩𐐪 𐐫𐐬𐐭 𐐮𐐯𐐰 𐐱𐐲𐐳 𐐴𐐵𐐶 𐐷𐐸𐐹 𐐺𐐻𐐼",
+    8: "ξεσκεπάζω την ψυχοφθόρα βδελυγμία και όλα τα άλλα μαζί",
+    7: "istanbul izmir diyarbakır iğdır ispanya iç içe ilk",
+}
+
+
+def test_capitals_of_all_scripts_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from tests.oracle import assert_same
+
+    capitals = {k: t.upper() if k != 7 else t.replace("i", "İ").replace("ı", "ı").upper() for k, t in SCRIPTS.items()}
+    benchmark = pd.DataFrame([(k, t) for k, t in SCRIPTS.items()] + [(k + 10, t) for k, t in capitals.items()], columns=["item_id", "text"])
+    documents = pd.DataFrame(
+        [(k, f"before it {capitals[k]} after it") for k in SCRIPTS] + [(k + 10, f"before it {t} after it") for k, t in SCRIPTS.items()] + [(50, "K and Å and ẞ and ß"), (51, "ΛΌΓΟΣ ΠΡΟΣ ΌΛΟΥΣ")],
+        columns=["doc_id", "text"],
+    )
+    con = duckdb.connect()
+    con.register("benchmark", benchmark)
+    con.register("documents", documents)
+    found = decontam.contained_items(spark.createDataFrame(documents), spark.createDataFrame(benchmark))
+    assert_same(found, con, queries.ORACLE_SQL["op5_decontamination"])
+    # the Greek of 2 has final sigmas, which are letters of their own and no capital's small letter
+    assert {(r.doc_id, r.item_id) for r in found.collect()} >= {(a, b) for k in (1, 3, 4, 5, 6, 8) for a in (k, k + 10) for b in (k, k + 10)}
+
+
+def test_lowering_is_by_code_point():
+    import duckdb
+
+    from undula.llm import textscan
+
+    every = "".join(f"{chr(c)}x{chr(c)} " for c in range(0x80, 0x20000) if not 0xD800 <= c <= 0xDFFF)
+    assert textscan.lowered(every.encode()).decode() == duckdb.connect().execute("select lower(?)", [every]).fetchall()[0][0]
+    assert textscan.lowered(b"\xff\xc3A\xce\xa3") == b"\xff\xc3a\xcf\x83"

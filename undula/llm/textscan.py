@@ -46,20 +46,19 @@ class Words:
     per_text: np.ndarray
 
 
-def lower_bytes(data: np.ndarray) -> np.ndarray:
-    """A-Z and the two-byte capitals of Latin-1 in lower case."""
-    out = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    after = np.zeros(len(data), bool)
-    after[1:] = data[:-1] == 0xC3
-    return np.where(after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97), out + 32, out).astype(np.uint8)
+def lowered(text: bytes) -> bytes:
+    """Every capital as its small letter, code point by code point: no letter depends on its place in a word, none becomes two."""
+    if text.isascii():
+        return text.lower()
+    # str.lower() ends words with another sigma and gives the dotted I a mark of its own
+    return text.decode("utf-8", "surrogateescape").replace("Σ", "σ").replace("İ", "i").lower().encode("utf-8", "surrogateescape")
 
 
 def words(texts: list[bytes], matching: bool = False, hashes: bool = True) -> Words:
     """matching: case and ASCII signs are levelled, so only letters and digits count."""
-    joined = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
     if matching:
-        data = lower_bytes(data)
+        texts = [lowered(t) for t in texts]
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     is_word = (_MATCHING if matching else _PLAIN)[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], is_word]).view(np.int8)))
     start, end = edge[0::2], edge[1::2]

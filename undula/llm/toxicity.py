@@ -275,8 +275,29 @@ def _learnt(bags: _Bags, labels: np.ndarray, learn: np.ndarray, s: Settings) ->
     return by_bucket.astype(np.float32), worst
 
 
-def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Settings = Settings()) -> Model:
-    """labels: 1 toxic, 0 not. Without both labels, or without words, the model is constant.
+def _learnt_apart(spark, bags: _Bags, labels: np.ndarray, parts: list[np.ndarray], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """_learnt for each of parts, a task each; the bags, bounded by the sample, are sent along."""
+    if spark is None:
+        return [_learnt(bags, labels, part, s) for part in parts]
+    sent = spark.sparkContext.broadcast((bags, labels, parts))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                bags, labels, parts = sent.value
+                by_bucket, worst = _learnt(bags, labels, parts[k], s)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([by_bucket.tobytes()], pa.binary()), pa.array([worst.tobytes()], pa.binary())], ["k", "by_bucket", "worst"])
+
+    rows = spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, "k long, by_bucket binary, worst binary").collect()
+    sent.unpersist()
+    return [(np.frombuffer(bytes(r["by_bucket"]), np.float32), np.frombuffer(bytes(r["worst"]), np.float64)) for r in sorted(rows, key=lambda r: r["k"])]
+
+
+def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Settings = Settings(), spark=None) -> Model:
+    """labels: 1 toxic, 0 not. Without both labels, or without words, the model is constant. With a session, the models
+    that the fit needs are trained in tasks beside each other, with the same result.
 
     A logistic fit turns logits into probabilities. It sees every document twice: with its logit, and with that of a model
     which has not learnt from it (of `folds`, each leaves one part out), as scores are wanted of both kinds of documents.
@@ -289,9 +310,9 @@ def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Setting
     part, unseen = np.zeros(len(labels), np.int64), np.zeros(len(labels))
     for y in (0, 1):
         part[labels == y] = np.arange((labels == y).sum()) % s.folds
-    for k in range(s.folds):
-        unseen[part == k] = _learnt(bags, labels, part != k, s)[1][part == k]
-    by_bucket, own = _learnt(bags, labels, np.ones(len(labels), bool), s)
+    *left_out, (by_bucket, own) = _learnt_apart(spark, bags, labels, [*(part != k for k in range(s.folds)), np.ones(len(labels), bool)], s)
+    for k, (_, worst) in enumerate(left_out):
+        unseen[part == k] = worst[part == k]
     worded = np.flatnonzero(np.isfinite(own))
     twice = np.tile(worded, 2)
     scale, bias = _calibrated(np.concatenate([own[worded], unseen[worded]]), labels[twice], np.asarray(weight)[twice])
@@ -324,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str
     y = np.array([r["y"] for r in rows], np.float32)
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.array([counts.get(int(k), 1) / n[int(k)] for k in y], np.float32)
-    return train([bytes(r["text"] or b"") for r in rows], y, weight, s)
+    return train([bytes(r["text"] or b"") for r in rows], y, weight, s, docs.sparkSession)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
