@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import clashing, components, documents, words
+from tests.llm.helpers import DOCS, clashing, components, documents, words
 from tests.llm.test_search_dedup import plain_fingerprint, shingles_5
 from undula.llm import decontam, mixing, toxicity
 from undula.llm.common import table
@@ -86,3 +86,17 @@ def test_an_empty_table(spark, tmp_path):
     import corpus_pipeline as p
 
     assert p.run(spark, awkward(spark, documents(spark).limit(0), tmp_path)).count() == 0
+
+
+def test_repeats_that_differ_elsewhere_are_picked_alike_on_any_partitioning(spark):
+    from undula.llm import mixing, simhash
+
+    rng = random.Random(7)
+    text = words(rng, 40)
+    rows = [(1, text, "en", "a", k) for k in range(12)] + [(k, words(rng, 30), "en", "b", 0) for k in range(2, 9)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = set()
+    for df in (docs, docs.repartition(5), docs.orderBy(F.desc("n_chars")).coalesce(1)):
+        found.add((tuple(sorted(map(repr, mixing.mix(df).collect()))), tuple(sorted(map(repr, simhash.without_copies(df).collect())))))
+    assert len(found) == 1
+    assert simhash.without_copies(docs).where("doc_id = 1").count() == 1

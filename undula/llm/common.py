@@ -48,6 +48,18 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of a batch of whole texts on their way to Python; Spark's own default lets a task hold several of 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df as it is; its session cuts Arrow batches at BATCH_BYTES from now on, unless it has been given a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 #: Rows up to this number may be sent to all executors.
 SENT_ROWS = 1_000_000
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm import textscan
-from undula.llm.common import byte_rows, slices
+from undula.llm.common import byte_rows, in_small_batches, slices
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Chance that a pair at the threshold collides nowhere, at the least similarity of its class.
@@ -133,7 +133,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     rows on either side give a row each; empty tables give no rows. The documents are never shuffled: sketches of at
     most items_per_pass items go along with a pass, and more items mean more passes.
     """
-    out = None
+    out, docs = None, in_small_batches(docs)
     for sent in _passes(items, item_id, item_text, width, threshold, items_per_pass):
 
         def run(batches: Iterator, sent=sent) -> Iterator:
@@ -163,6 +163,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, *, doc_text: str = "
 
         return contaminated
 
+    docs = in_small_batches(docs)
     for sent in _passes(items, item_id, item_text, width, threshold, items_per_pass):
         docs = docs.where(~judge(sent)(F.col(doc_text)))
     return docs

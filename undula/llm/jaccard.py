@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm import textscan
-from undula.llm.common import byte_rows, materialize, sent_if_small, slices
+from undula.llm.common import byte_rows, in_small_batches, materialize, sent_if_small, slices
 from undula.llm.components import connected_components
 
 WIDTH = 5
@@ -99,7 +99,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 ]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), *cols], [x.split()[0] for x in INFO.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, INFO)
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, INFO)
 
 
 def _candidates(groups: DataFrame) -> DataFrame:

@@ -83,9 +83,11 @@ def _allotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     keys = _row_key(docs, id_col, text_col, source_col)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[k.alias(n) for k, n in zip(keys, same, strict=True)])
     number = F.lit(1)
+    # equal rows apart, a row's place follows from its other columns, on any partitioning
+    rows = rows.withColumn("whole", F.xxhash64(F.to_json("row")))
     if not of.where("rows > 1").isEmpty():
-        number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))
-    rows = rows.withColumn("number", number).withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
+        number = F.row_number().over(Window.partitionBy(*same).orderBy("whole"))
+    rows = rows.withColumn("number", number).drop("whole").withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
     of = of.withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
     each = F.floor(F.col("total") / F.col("rows"))
     copies = each + (F.col("number") <= F.col("total") - each * F.col("rows")).cast("long")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.llm import jaccard
@@ -188,7 +188,11 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = docs.join(gone, key.eqNullSafe(gone["gone_id"]) & (text_hash == gone["gone_hash"]), "left_anti")
     if found.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
         return kept
-    return kept.dropDuplicates([id_col, text_col])
+    # of rows equal in id and text, the one whose columns have the smallest hash, on any partitioning
+    whole = F.xxhash64(F.to_json(F.struct(*[kept[c] for c in kept.columns])))
+    first = F.row_number().over(Window.partitionBy("own.id", "own.text_hash").orderBy("whole"))
+    rows = kept.select(F.struct(*[kept[c] for c in kept.columns]).alias("row"), F.struct(key.alias("id"), text_hash.alias("text_hash")).alias("own"), whole.alias("whole"))
+    return rows.withColumn("first", first).where("first = 1").select(*[F.col("row")[c].alias(c) for c in kept.columns])
 
 
 def fingerprint_hex(fp: str = "fp"):

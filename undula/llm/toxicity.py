@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm import textscan
-from undula.llm.common import byte_rows, slices
+from undula.llm.common import byte_rows, in_small_batches, slices
 
 
 @dataclass(frozen=True)
@@ -361,7 +361,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             parts = [sent.value.scores(texts[a:z]) for a, z in slices(texts, 512 << 10)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -374,4 +374,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_co
         rows = [b"" if t is None else t.encode() for t in texts]
         return pd.Series(np.concatenate([sent.value.scores(rows[a:z]) for a, z in slices(rows, 512 << 10)] or [np.zeros(0)]))
 
-    return docs.where(toxic(F.col(text_col)) < threshold)
+    return in_small_batches(docs).where(toxic(F.col(text_col)) < threshold)
