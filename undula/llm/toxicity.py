@@ -275,19 +275,21 @@ def _learnt(bags: _Bags, labels: np.ndarray, learn: np.ndarray, s: Settings) ->
     return by_bucket.astype(np.float32), worst
 
 
-def _learnt_apart(spark, bags: _Bags, labels: np.ndarray, parts: list[np.ndarray], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
-    """_learnt for each of parts, a task each; the bags, bounded by the sample, are sent along."""
+def _learnt_apart(spark, texts: list[bytes], labels: np.ndarray, parts: list[np.ndarray], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """_learnt for each of parts. With a session, a task each: texts, bounded by the sample, are sent along, and their bags
+    are made where they are used, so that the driver holds none."""
     if spark is None:
-        return [_learnt(bags, labels, part, s) for part in parts]
-    sent = spark.sparkContext.broadcast((bags, labels, parts))
+        bags = _bags(texts, s)
+        return [_learnt(bags, labels, part, s) if bags.n_words else (np.zeros(s.buckets, np.float32), np.full(len(texts), -np.inf)) for part in parts]
+    sent = spark.sparkContext.broadcast((texts, labels, parts))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             for k in b.column(0).to_pylist():
-                bags, labels, parts = sent.value
-                by_bucket, worst = _learnt(bags, labels, parts[k], s)
+                texts, labels, parts = sent.value
+                ((by_bucket, worst),) = _learnt_apart(None, texts, labels, [parts[k]], s)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([by_bucket.tobytes()], pa.binary()), pa.array([worst.tobytes()], pa.binary())], ["k", "by_bucket", "worst"])
 
     rows = spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, "k long, by_bucket binary, worst binary").collect()
@@ -304,16 +306,18 @@ def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, s: Setting
     """
     labels = np.asarray(labels, np.float64)
     share = float(np.average(labels, weights=weight)) if len(labels) else 0.0
-    bags = _bags(texts, s) if 0 < share < 1 else None
-    if bags is None or not bags.n_words:
-        return Model(np.zeros(s.buckets, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), 1.0, s)
+    constant = Model(np.zeros(s.buckets, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), 1.0, s)
+    if not 0 < share < 1:
+        return constant
     part, unseen = np.zeros(len(labels), np.int64), np.zeros(len(labels))
     for y in (0, 1):
         part[labels == y] = np.arange((labels == y).sum()) % s.folds
-    *left_out, (by_bucket, own) = _learnt_apart(spark, bags, labels, [*(part != k for k in range(s.folds)), np.ones(len(labels), bool)], s)
+    *left_out, (by_bucket, own) = _learnt_apart(spark, texts, labels, [*(part != k for k in range(s.folds)), np.ones(len(labels), bool)], s)
     for k, (_, worst) in enumerate(left_out):
         unseen[part == k] = worst[part == k]
     worded = np.flatnonzero(np.isfinite(own))
+    if not len(worded):
+        return constant
     twice = np.tile(worded, 2)
     scale, bias = _calibrated(np.concatenate([own[worded], unseen[worded]]), labels[twice], np.asarray(weight)[twice])
     return Model(by_bucket, bias, scale, s)
