@@ -101,7 +101,7 @@ class _Items:
 
     def search(self, texts: list[bytes]) -> Iterator[tuple[int, int | None, int, int]]:
         """(text index, item id, item shingles, shared) of every pair at the threshold."""
-        for a, z in slices(texts, 1 << 20):
+        for a, z in slices(texts, 1 << 18):
             w = textscan.words(texts[a:z], matching=True)
             for k, sketch in self.sketches.items():
                 text, h = textscan.shingles(w, k)

@@ -87,7 +87,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
         for b in batches:
             texts = byte_rows(b.column(2))
-            for a, z in slices(texts, 1 << 20):
+            for a, z in slices(texts, 1 << 18):
                 sets = list(shingle_sets(texts[a:z]))
                 values = minhashes(sets)
                 cols = [
@@ -132,7 +132,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
 
         for b in batches:
             texts = byte_rows(b.column(1))
-            for a, z in slices(texts, 1 << 20):
+            for a, z in slices(texts, 1 << 18):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([s.view(np.int64) for s in shingle_sets(texts[a:z])], pa.list_(pa.int64()))], ["text_hash", "grams"])
 
     pairs = materialize(pairs.distinct(), "jaccard-pairs")

@@ -54,6 +54,19 @@ def lowered(text: bytes) -> bytes:
     return text.decode("utf-8", "surrogateescape").replace("Σ", "σ").replace("İ", "i").lower().encode("utf-8", "surrogateescape")
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE and of its inverse, kept for the longest slice so far; those of a very long text are not."""
+    if len(_powers.known[0]) >= n:
+        return tuple(x[:n] for x in _powers.known)
+    made = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, _INVERSE))
+    if n <= 1 << 21:
+        _powers.known = made
+    return made
+
+
+_powers.known = (np.zeros(0, np.uint64),) * 2
+
+
 def words(texts: list[bytes], matching: bool = False, hashes: bool = True) -> Words:
     """matching: case and ASCII signs are levelled, so only letters and digits count."""
     if matching:
@@ -66,9 +79,9 @@ def words(texts: list[bytes], matching: bool = False, hashes: bool = True) -> Wo
     text = np.searchsorted(stops, start, side="right")
     value = None
     if hashes:
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), _BASE, np.uint64)]), dtype=np.uint64)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * power[:-1], dtype=np.uint64)])
-        undo = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), _INVERSE, np.uint64)]), dtype=np.uint64)
+        power, undo = _powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * power[:-1], dtype=np.uint64, out=total[1:])
         value = mix((total[end] - total[start]) * undo[start] + (end - start).astype(np.uint64))
     return Words(text, start, end, value, data, np.bincount(text, minlength=len(texts)))
 

@@ -171,15 +171,17 @@ def _bags(texts: list[bytes], s: Settings) -> _Bags:
             if d not in known:
                 owner[f] = known[d] = len(known)
         words.append(np.array([known[d] for d in distinct.tolist()], np.int64)[index])
-        at_word = np.repeat(np.arange(len(w.hash)), np.diff(at))
+        at_word, own = np.repeat(np.arange(len(w.hash)), np.diff(at)), []
         for where, bucket in [*grams, (at[:-1], whole)]:
             o = owner[at_word[where]]
-            rows.append(np.stack([o[o >= 0], bucket[o >= 0]]).astype(np.int32))
+            own.append(np.stack([o[o >= 0], bucket[o >= 0]]).astype(np.int32))
+        # words are numbered as they are met, so a slice's rows stand behind those of all before it
+        own = np.concatenate(own, axis=1)
+        rows.append(own[:, np.argsort(own[0], kind="stable")])
         per_text.append(w.per_text)
     if not known:
         return _Bags(*[np.zeros(0, np.int64)] * 3, np.zeros(len(texts), np.int64), 0)
     row = np.concatenate(rows, axis=1)
-    row = row[:, np.argsort(row[0], kind="stable")]
     return _Bags(row[0], row[1], np.concatenate(words), np.concatenate(per_text), len(known))
 
 
@@ -362,7 +364,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         for b in batches:
             texts = byte_rows(b.column(1))
-            parts = [sent.value.scores(texts[a:z]) for a, z in slices(texts, 512 << 10)]
+            parts = [sent.value.scores(texts[a:z]) for a, z in slices(texts, 256 << 10)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["id", "score"])
 
     return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
@@ -376,6 +378,6 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_co
     @F.pandas_udf("double")
     def toxic(texts: pd.Series) -> pd.Series:
         rows = [b"" if t is None else t.encode() for t in texts]
-        return pd.Series(np.concatenate([sent.value.scores(rows[a:z]) for a, z in slices(rows, 512 << 10)] or [np.zeros(0)]))
+        return pd.Series(np.concatenate([sent.value.scores(rows[a:z]) for a, z in slices(rows, 256 << 10)] or [np.zeros(0)]))
 
     return in_small_batches(docs).where(toxic(F.col(text_col)) < threshold)
