@@ -201,12 +201,12 @@ def test_sweep_of_subjects(spark, events_dir):
     import __spark_entry__ as entry
 
     rows = entry.queries()["subject_sweep"](spark, events_dir[0]).collect()
+    # user 3 has few events, which are felt in all electrodes
     done = [r for r in rows if r["error"] is None]
-    assert {(r["subject"], r["enova_threshold"]) for r in done} == {(u, t) for u in "12" for t in (0.1, 0.3, 0.5, 0.7, 0.9)}
-    assert [(r["subject"], r["error"], r["enova_threshold"]) for r in rows if r["error"]] == [("3", "signal in 1 of 5 channels, more than 3 needed", None)]
+    assert {(r["subject"], r["enova_threshold"]) for r in done} == {(u, t) for u in "123" for t in (0.1, 0.3, 0.5, 0.7, 0.9)} and len(done) == len(rows)
     for r in done:
         assert r["pct_retained"] == pytest.approx(100 * (1 - r["n_1s_windows_rejected"] / r["n_1s_windows_total"]), abs=1e-5)
-    for u in "12":
+    for u in "123":
         cut = [r["n_1s_windows_rejected"] for r in sorted(done, key=lambda r: r["enova_threshold"]) if r["subject"] == u]
         assert cut == sorted(cut, reverse=True) and len({(r["rmse"], r["mean_enova"]) for r in done if r["subject"] == u}) == 1
 

@@ -65,10 +65,10 @@ def sensai(s: Spectrum, ref: np.ndarray, ref_components: np.ndarray, theta: floa
     return float(total)
 
 
-def search(s: Spectrum, ref: np.ndarray, ref_components: np.ndarray, multiplier: float, lo: float, hi: float) -> tuple[float, float]:
-    """(threshold on the scale, eigenvalue) with the best score, over at most MOST_EPOCHS epochs, drawn with a fixed seed."""
-    if len(s.values) > MOST_EPOCHS:
-        pick = np.random.default_rng(2).choice(len(s.values), MOST_EPOCHS, replace=False)
+def search(s: Spectrum, ref: np.ndarray, ref_components: np.ndarray, multiplier: float, lo: float, hi: float, most: int | None = MOST_EPOCHS) -> tuple[float, float]:
+    """(threshold on the scale, eigenvalue) with the best score, over at most `most` epochs, drawn with a fixed seed; None for all."""
+    if most is not None and len(s.values) > most:
+        pick = np.random.default_rng(2).choice(len(s.values), most, replace=False)
         s = Spectrum(s.values[pick], s.vectors[pick])
     t = linalg.bounded_minimum(lambda x: -sensai(s, ref, ref_components, eigenvalue_threshold(x, s.values), multiplier), lo, hi)
     return t, eigenvalue_threshold(t, s.values)
@@ -137,11 +137,6 @@ def _wide(pdf: pd.DataFrame, value: str = "v") -> tuple[np.ndarray, list[str]]:
     return m.to_numpy(), list(m.index)
 
 
-def _long(pdf: pd.DataFrame, names: list[str], **cols: np.ndarray) -> pd.DataFrame:
-    size = next(iter(cols.values())).shape[1]
-    return pd.DataFrame({"rec": pdf["rec"].iloc[0], "ch": np.repeat(names, size), "i": np.tile(np.arange(size), len(names)), **{k: v.ravel() for k, v in cols.items()}})
-
-
 def prepared_reference(ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     r = linalg.shrink((ref + ref.T) / 2)
     return r, linalg.top_components(r, COMPONENTS)
@@ -160,7 +155,6 @@ def band_plan(fs: float, size: int, lowcut: float, cycles: float = 12.0) -> list
     return out
 
 
-SIGNAL = "rec string, ch string, i long, clean double, noise double"
 BANDED = "rec string, ch string, i long, band int, clean double, noise double, score double, threshold double"
 
 
@@ -178,47 +172,82 @@ def own_reference(ref: np.ndarray, names: list[str] | None):
     return of
 
 
-def clean(rec: DataFrame, ref: np.ndarray, fs: float, size: int, lowcut: float = 0.5, kind: str = "auto", window_seconds: float | None = None, names: list[str] | None = None) -> DataFrame:
-    """rec(rec, ch, i, v) of `size` samples each -> (rec, ch, i, clean, noise), noise being the referenced input less clean.
+#: What a group's linear algebra can raise; anything else is a fault of the program.
+UNSOLVED = (np.linalg.LinAlgError, ValueError, FloatingPointError)
+
+
+def reasons(rec: DataFrame, size: int) -> DataFrame:
+    """(rec, error) for every recording: why it can't be cleaned, null if nothing speaks against it. Plain aggregates."""
+    finite = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf"))
+    per = rec.groupBy("rec", "ch").agg(F.count_if(~finite).alias("bad"), F.count("*").alias("n"), (F.min("v") < F.max("v")).alias("moves"))
+    of = per.groupBy("rec").agg(F.sum("bad").alias("bad"), F.min("n").alias("n"), F.count_if("moves").alias("live"), F.count("*").alias("channels"))
+    said = F.when(F.col("bad") > 0, F.format_string("input: %d samples are not finite", "bad"))
+    said = said.when(F.col("n") < size, F.format_string(f"input: a channel has %d of {size} samples", "n"))
+    said = said.when(F.col("live") <= COMPONENTS, F.format_string(f"input: signal in %d of %d channels, more than {COMPONENTS} needed", "live", "channels"))
+    return of.select("rec", said.alias("error"))
+
+
+def clean_or_reason(rec: DataFrame, ref: np.ndarray, fs: float, size: int, lowcut: float = 0.5, kind: str = "auto", window_seconds: float | None = None, names: list[str] | None = None, referenced: bool = False, why: DataFrame | None = None) -> DataFrame:
+    """rec(rec, ch, i, v) of `size` samples each -> (rec, ch, i, clean, noise, error), noise being the referenced input less
+    clean. Average reference (unless it is referenced), high-pass, a broadband pass over 2-second epochs, then every band
+    of the undecimated transform on its own; a recording (then a recording's band) is one group of size * channels values.
+    window_seconds moves the thresholds with time. names are ref's channels; where given, recordings may lack some of them.
+    why: reasons() found before, of what rec was made from.
 
-    Average reference, high-pass, a broadband pass over 2-second epochs, then every band of the undecimated transform on
-    its own; a recording (then a recording's band) is one group of size * channels values. window_seconds moves the
-    thresholds with time. names are ref's channels; where given, recordings may lack some of them.
+    A recording that can't be cleaned keeps its rows with null in clean and noise and the reason in error: each group is
+    caught on its own, its later stages are skipped, and the other recordings' rows are as without it.
     """
     reference = own_reference(ref, names)
 
     def broadband(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, channels = _wide(pdf)
-        try:
-            c, *_ = clean_band(x, *reference(channels), even_samples(2.0, fs), noise_multiplier("auto-"), -2.0, 12.0)
-        except np.linalg.LinAlgError:
-            c = x
-        return _long(pdf, channels, v=c)
-
-    referenced = signal.average_reference(rec)
-    passed = signal.wavelet_highpass(referenced, size, fs, lowcut)
-    whole = passed.groupBy("rec").applyInPandas(broadband, "rec string, ch string, i long, v double")
-    banded = clean_bands(whole, ref, fs, size, lowcut, kind, window_seconds, names)
-    added = banded.groupBy("rec", "ch", "i").agg(F.sum("clean").alias("clean"))
-    return added.join(referenced, ["rec", "ch", "i"]).select("rec", "ch", "i", "clean", (F.col("v") - F.col("clean")).alias("noise"))
+        pdf = pdf.sort_values(["ch", "i"])
+        if pdf["error"].isna().all():
+            try:
+                x, channels = _wide(pdf)
+                c, *_ = clean_band(x, *reference(channels), even_samples(2.0, fs), noise_multiplier("auto-"), -2.0, 12.0)
+                return pdf.assign(v=c.ravel())
+            except UNSOLVED as e:
+                pdf = pdf.assign(error=f"broadband: {e}")
+        return pdf
+
+    referred = rec.select("rec", "ch", "i", "v") if referenced else signal.average_reference(rec)
+    passed = signal.wavelet_highpass(referred, size, fs, lowcut).join(reasons(rec, size) if why is None else why, "rec").select("rec", "ch", "i", "v", "error")
+    whole = passed.groupBy("rec").applyInPandas(broadband, "rec string, ch string, i long, v double, error string")
+    banded = _bands_or_reason(whole, reference, fs, size, lowcut, kind, window_seconds)
+    added = banded.groupBy("rec", "ch", "i").agg(F.sum("clean").alias("clean"), F.max("error").alias("error"))
+    worked = F.col("error").isNull()
+    return added.join(referred, ["rec", "ch", "i"]).select("rec", "ch", "i", F.when(worked, F.col("clean")).alias("clean"), F.when(worked, F.col("v") - F.col("clean")).alias("noise"), "error")
+
+
+def clean(rec: DataFrame, ref: np.ndarray, fs: float, size: int, **options) -> DataFrame:
+    """clean_or_reason() without error, for recordings that have to be clean: one that can't be fails the job with its reason."""
+    parts = clean_or_reason(rec, ref, fs, size, **options)
+    return parts.where(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.concat("rec", F.lit(": "), "error")).cast("boolean"))).drop("error")
 
 
 def clean_bands(rec: DataFrame, ref: np.ndarray, fs: float, size: int, lowcut: float, kind: str = "auto", window_seconds: float | None = None, names: list[str] | None = None) -> DataFrame:
     """Every band of rec cleaned in its own group (BANDED); bands at or below lowcut pass through with a null score."""
+    whole = rec.withColumn("error", F.lit(None).cast("string"))
+    return _bands_or_reason(whole, own_reference(ref, names), fs, size, lowcut, kind, window_seconds).drop("error")
+
+
+def _bands_or_reason(rec: DataFrame, reference, fs: float, size: int, lowcut: float, kind: str, window_seconds: float | None) -> DataFrame:
     plan = {p["band"]: p for p in band_plan(fs, size, lowcut)}
-    levels = len(plan) - 1
-    reference = own_reference(ref, names)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         p = plan[int(pdf["band"].iloc[0])]
-        x, channels = _wide(pdf)
-        c, z, score, t = x, np.zeros_like(x), None, None
-        if p["n"] and p["n"] <= size:
+        pdf = pdf.sort_values(["ch", "i"]).assign(clean=lambda x: x["v"], noise=0.0, score=None, threshold=None)
+        if p["n"] and p["n"] <= size and pdf["error"].isna().all():
             window = round(window_seconds * fs / p["n"]) if window_seconds else None
-            c, z, score, t, _ = clean_band(x, *reference(channels), p["n"], noise_multiplier(kind), p["t_min"], 12.0, max(window, 1) if window is not None else None)
-        return _long(pdf, channels, clean=c, noise=z).assign(band=p["band"], score=score, threshold=t)[["rec", "ch", "i", "band", "clean", "noise", "score", "threshold"]]
+            try:
+                x, channels = _wide(pdf)
+                c, z, score, t, _ = clean_band(x, *reference(channels), p["n"], noise_multiplier(kind), p["t_min"], 12.0, max(window, 1) if window is not None else None)
+                pdf = pdf.assign(clean=c.ravel(), noise=z.ravel(), score=score, threshold=t)
+            except UNSOLVED as e:
+                pdf = pdf.assign(error=f"band {p['band']}: {e}")
+        return pdf[["rec", "ch", "i", "band", "clean", "noise", "score", "threshold", "error"]]
 
-    return signal.haar_bands(rec, size, levels).groupBy("rec", "band").applyInPandas(one, BANDED)
+    return signal.haar_bands(rec, size, len(plan) - 1, ("error",)).groupBy("rec", "band").applyInPandas(one, BANDED + ", error string")
 
 
 def band_summary(banded: DataFrame, n: int) -> DataFrame:
@@ -228,14 +257,16 @@ def band_summary(banded: DataFrame, n: int) -> DataFrame:
     return banded.groupBy("rec", "band").agg(*[F.first(F.nanvl(c, null)).alias(c) for c in ("score", "threshold")]).join(enova, ["rec", "band"])
 
 
-def final_sensai(parts: DataFrame, ref: np.ndarray, fs: float) -> DataFrame:
-    """(rec, sensai): 1-second epochs of the real clean and noise signals against the reference. Epochs are groups."""
-    r, pcs = prepared_reference(ref)
+def final_sensai(parts: DataFrame, ref: np.ndarray, fs: float, names: list[str] | None = None) -> DataFrame:
+    """(rec, sensai): 1-second epochs of the real clean and noise signals against the reference. Epochs are groups. names
+    are ref's channels; where given, recordings may lack some of them."""
+    reference = own_reference(ref, names)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         sims = []
         for col in ("clean", "noise"):
-            c = linalg.covariance(_wide(pdf, col)[0])
+            x, channels = _wide(pdf, col)
+            c, (_, pcs) = linalg.covariance(x), reference(channels)
             sims.append(float(linalg.subspace_similarity(linalg.top_components(c, COMPONENTS), pcs)) if np.trace(c) > 0 else 0.0)
         return pd.DataFrame({"rec": [pdf["rec"].iloc[0]], "epoch": [pdf["epoch"].iloc[0]], "sig": [sims[0]], "noi": [sims[1]]})
 

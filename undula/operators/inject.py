@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Frontal prefixes in order of weight.
@@ -76,6 +76,32 @@ def growing_noise(rec: DataFrame, size: int, strongest: float, seed: int = 99) -
     return _added(rec, strongest * F.col("i") / max(size - 1, 1) * F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1]))
 
 
+#: Artifacts that drawn epochs get, and their strengths.
+DRAWN = {"blink": 40.0, "electrode_pop": 60.0, "line_noise": 25.0}
+
+
+def drawn_epochs(recs: DataFrame, n_epochs: int, share: float, n: int, fs: float, seed: int = 42, kinds: dict[str, float] = DRAWN) -> DataFrame:
+    """recs(rec) -> a row for each epoch that is to be corrupted, drawn without replacement: the ceil(share * n_epochs) of each
+    recording with the smallest hashes; with the artifact's kind (by hash), first and last sample, seconds, strength and seed."""
+    each = recs.select("rec").distinct().select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_epochs - 1).cast("long"))).alias("epoch"))
+    rank = F.row_number().over(Window.partitionBy("rec").orderBy(F.xxhash64("rec", "epoch", F.lit(seed)), "epoch"))
+    some = each.withColumn("r", rank).where(F.col("r") <= math.ceil(share * n_epochs)).drop("r")
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod(F.xxhash64("rec", "epoch", F.lit(seed + 1)), F.lit(len(kinds))) + 1).cast("int"))
+    strength = F.element_at(F.create_map(*[F.lit(x) for k in kinds.items() for x in k]), F.col("artifact_type"))
+    some = some.withColumn("artifact_type", kind)
+    return some.select("rec", "artifact_type", "epoch", (F.col("epoch") * n).alias("start_sample"), ((F.col("epoch") + 1) * n - 1).alias("end_sample"), F.lit(n / fs).alias("duration_sec"), strength.alias("amplitude_uv"), F.lit(seed).alias("random_seed"))
+
+
+def inject_drawn(rec: DataFrame, drawn: DataFrame, n: int, fs: float) -> DataFrame:
+    """rec(rec, ch, ch_idx, i, v) with the artifacts of drawn: -> (rec, ch, ch_idx, i, epoch, v, artifact). Joined by recording and epoch."""
+    both = rec.withColumn("epoch", F.floor(F.col("i") / n).cast("long")).join(drawn.select("rec", "epoch", "artifact_type", "amplitude_uv"), ["rec", "epoch"], "left")
+    k, kind = F.col("i") % n, F.col("artifact_type")
+    shape = F.when(kind == "blink", frontal_weight(F.col("ch")) * blink_shape(k / max(n - 1, 1)))
+    shape = shape.when(kind == "electrode_pop", F.when(F.col("ch_idx") == F.pmod(F.xxhash64("rec", "epoch"), F.lit(8)), F.exp(-k / F.lit(max(n / 2, 1)))).otherwise(0.0))
+    shape = shape.when(kind == "line_noise", (0.5 + F.pmod(F.col("ch_idx") * 0.37, F.lit(1.0))) * F.sin(F.lit(2 * math.pi * 0.375) * F.col("i")))
+    return _added(both, F.col("amplitude_uv") * shape).select("rec", "ch", "ch_idx", "i", "epoch", "v", "artifact")
+
+
 def injection_snr_db(injected: DataFrame, by: list[str]) -> DataFrame:
     clean = F.col("v") - F.col("artifact")
     s = F.var_pop(clean) / (F.var_pop("artifact") + 1e-12)

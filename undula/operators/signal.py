@@ -69,12 +69,12 @@ def smooth_levels(rec: DataFrame, n: int, levels: int) -> DataFrame:
     return out
 
 
-def haar_bands(rec: DataFrame, n: int, levels: int) -> DataFrame:
-    """(rec, ch, i, band, v): band j in 1..levels is a_{j-1} - a_j, band levels + 1 the last smooth; they add up to the input."""
+def haar_bands(rec: DataFrame, n: int, levels: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(rec, ch, i, also..., band, v): band j in 1..levels is a_{j-1} - a_j, band levels + 1 the last smooth; they add up to the input."""
     s = smooth_levels(rec, n, levels)
     bands = [F.struct(F.lit(j).alias("band"), (F.col(f"a{j - 1}") - F.col(f"a{j}")).alias("v")) for j in range(1, levels + 1)]
     bands.append(F.struct(F.lit(levels + 1).alias("band"), F.col(f"a{levels}").alias("v")))
-    return s.select(*CHANNEL, "i", F.explode(F.array(*bands)).alias("b")).select(*CHANNEL, "i", "b.band", "b.v")
+    return s.select(*CHANNEL, "i", *also, F.explode(F.array(*bands)).alias("b")).select(*CHANNEL, "i", *also, "b.band", "b.v")
 
 
 def wavelet_highpass(rec: DataFrame, n: int, fs: float, lowcut: float) -> DataFrame:

@@ -89,14 +89,28 @@ def sensai_final(spark, sf_dir):
     return ged.final_sensai(ged.clean(rec, matrix, FS_SUBJECT, size), matrix, FS_SUBJECT).select("rec", *r6("sensai"))
 
 
+def mixed_subjects(spark, sf_dir) -> tuple[DataFrame, list[str], int, np.ndarray]:
+    """A recording for each user whose electrodes have the montage's covariance, electrode names, length and that covariance."""
+    places = spark.createDataFrame(adapters.ELECTRODES, "ch string, x double, y double, z double")
+    g = {(r["a"], r["b"]): r["g"] for r in quality.rbf_covariance(places).collect()}
+    names = [c[0] for c in adapters.ELECTRODES]
+    matrix = np.array([[g[a, b] for b in names] for a in names])
+    rec, size = adapters.mixed_recordings(spark, sf_dir, np.linalg.cholesky(matrix + 1e-6 * np.eye(len(names))).tolist(), STEP_HOURS)
+    return rec, names, size, matrix
+
+
+def swept(rec: DataFrame, names: list[str], size: int, matrix: np.ndarray) -> DataFrame:
+    rows = run_subjects(rec, names, size, matrix, FS_SUBJECT, [0.1, 0.3, 0.5, 0.7, 0.9], written)
+    return rows.withColumn("dataset", adapters.subject_datasets(F.col("rec"))).withColumnRenamed("rec", "subject")
+
+
 @register()
 def subject_sweep(spark, sf_dir):
-    """A row per (dataset, subject, threshold): artifact injected, cleaned by the kernel once a subject, scored, and rejected
-    at five thresholds; a subject that can't be cleaned has one row, with the reason in `error`."""
-    rec, names, size, _, matrix = subjects(spark, sf_dir)
-    rows = run_subjects(rec, names, size, matrix, FS_SUBJECT, [0.1, 0.3, 0.5, 0.7, 0.9], written)
-    measures = ["pct_retained", "mean_enova", "snr_improvement_db", "rmse", "correlation", "residual_power_ratio"]
-    return rows.select(adapters.subject_datasets(F.col("rec")).alias("dataset"), F.col("rec").alias("subject"), "enova_threshold", "n_1s_windows_total", "n_1s_windows_rejected", *r6(*measures), "error")
+    """A row per (dataset, subject, threshold): artifacts in drawn epochs, cleaned by the kernel once a subject, scored, and
+    rejected at five thresholds; a subject that can't be cleaned has one row, with the reason in `error`."""
+    rows = swept(*mixed_subjects(spark, sf_dir))
+    doubles = [c for c, t in rows.dtypes if t == "double" and c != "enova_threshold"]
+    return rows.select("dataset", "subject", *[F.round(c, 6).alias(c) if c in doubles else F.col(c) for c in rows.columns if c not in ("dataset", "subject")])
 
 
 @register()

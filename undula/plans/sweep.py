@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undula.operators import ged, inject, quality, signal
-from undula.sources import adapters
+from undula.operators import ged, inject, quality, signal, spectral
+from undula.sources import io
 
 
 def threshold_rows(df: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -17,11 +17,12 @@ def threshold_rows(df: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def apply_thresholds(enova: DataFrame, thresholds: list[float], truth: DataFrame | None = None) -> DataFrame:
-    """enova(rec, epoch, enova), truth(epoch) of corrupted windows -> a row per recording and threshold: windows, rejected,
+    """enova(rec, epoch, enova), truth(epoch), or (rec, epoch), of corrupted windows -> a row per recording and threshold: windows, rejected,
     retained, mean score, and hits, false alarms and misses against the truth. Epoch scores are read once for all."""
     e = enova
     if truth is not None:
-        e = e.join(truth.select("epoch", F.lit(True).alias("corrupted")), "epoch", "left")
+        by = [c for c in ("rec", "epoch") if c in truth.columns]
+        e = e.join(truth.select(*by, F.lit(True).alias("corrupted")), by, "left")
     else:
         e = e.withColumn("corrupted", F.lit(None).cast("boolean"))
     bad, hit = F.col("enova") > F.col("enova_threshold"), F.coalesce(F.col("corrupted"), F.lit(False))
@@ -66,24 +67,63 @@ def deterministic_injectors(fs: float, epochs: list[int], n: int) -> dict[str, C
     }
 
 
-def run_subjects(rec: DataFrame, names: list[str], size: int, matrix: np.ndarray, fs: int, thresholds: list[float], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """rec(rec, ch, i, v), a recording for each subject -> a row per subject and threshold, with window counts, share
-    retained, mean score, quality against the input before injection, and error.
+MEASURES = "rec string, enova_threshold double, n_1s_windows_total long, n_1s_windows_rejected long, pct_retained double, mean_enova double, n_true_positives long, n_false_positives long, n_missed long, n_clean_windows long, rejection_precision double, rejection_recall double, false_rejection_rate double, snr_improvement_db double, rmse double, residual_power_ratio double, correlation double, psd_similarity double, sensai_score double, n_corrupted_windows long, n_bad_channels long, n_flat_channels long, error string"
 
-    Every subject is injected and cleaned once; keep writes what is read again. Subjects whose signal is in too few channels
-    for the kernel have one row: error says why and the rest is null.
+
+def run_subjects(rec: DataFrame, names: list[str], size: int, matrix: np.ndarray, fs: int, thresholds: list[float], keep: Callable[[DataFrame], DataFrame], share: float = 0.3, bad_channel: float = 0.9) -> DataFrame:
+    """rec(rec, ch, i, v), a recording for each subject -> a row per subject and threshold (MEASURES): window counts and
+    hits against the drawn corrupted epochs, share retained, scores, quality against the input before injection, channels.
+
+    Artifacts go into `share` of each subject's epochs. Every subject is injected and cleaned once; keep writes what is read
+    again. A subject that can't be cleaned, at whatever stage, has one row: error says why and the measures are null; the
+    others' rows are as without it.
     """
     rec = keep(rec)
-    live = rec.groupBy("rec").agg(F.count_distinct(F.when(F.col("v") != 0, F.col("ch"))).alias("live"))
-    failed = live.where(F.col("live") <= ged.COMPONENTS)
     at = (F.array_position(F.array(*[F.lit(c) for c in names]).cast("array<string>"), F.col("ch")) - 1).cast("int")
-    ref = signal.average_reference(rec.join(failed, "rec", "left_anti")).withColumn("ch_idx", at)
-    cor = ref.select("rec", "ch", "i", F.col("v").alias("ref"), (F.col("v") + adapters.line_noise(freq=0.375 * fs, fs=fs)).alias("v"))
-    parts = ged.clean(cor.select("rec", "ch", "i", "v"), matrix, fs, size, names=names)
-    # a sample's two versions stand beside its parts, so that quality and scores read one table
-    triple = keep(parts.join(cor, ["rec", "ch", "i"]).select("rec", "ch", "i", "ref", F.col("v").alias("cor"), F.col("clean").alias("cln"), "noise"))
-    scores = signal.enova_per_epoch(triple.withColumnRenamed("cln", "clean"), fs, size)
-    measured = quality.removal(triple).join(quality.mean_correlation(triple), "rec")
-    rows = apply_thresholds(scores, thresholds).join(measured, "rec").withColumn("error", F.lit(None).cast("string"))
-    reason = F.concat(F.lit("signal in "), F.col("live").cast("string"), F.lit(f" of {len(names)} channels, more than {ged.COMPONENTS} needed"))
-    return rows.unionByName(failed.select("rec", reason.alias("error")), allowMissingColumns=True)
+    drawn = keep(inject.drawn_epochs(rec, max(size // fs, 1), share, fs, fs))
+    ref = rec.withColumn("ch_idx", at)
+    cor = keep(inject.inject_drawn(ref, drawn, fs, fs))
+    parts = ged.clean_or_reason(cor.select("rec", "ch", "i", "v"), matrix, fs, size, names=names, why=keep(ged.reasons(rec, size)))
+    # before and after injection in the average reference that the cleaned signal has; a sample's versions stand side by side
+    versions = signal.average_reference(cor.select("rec", "ch", "i", (F.col("v") - F.col("artifact")).alias("v"))).withColumnRenamed("v", "ref")
+    triple = keep(parts.join(versions, ["rec", "ch", "i"]).select("rec", "ch", "i", "ref", (F.col("clean") + F.col("noise")).alias("cor"), F.col("clean").alias("cln"), "noise", "error"))
+    failed = triple.where("error is not null").groupBy("rec").agg(F.min("error").alias("error"))
+    triple = triple.where("error is null").drop("error")
+    scored = triple.withColumnRenamed("cln", "clean")
+    scores = signal.enova_per_epoch(scored, fs, size)
+    channels = signal.enova_per_channel(scored, fs).groupBy("rec").agg(F.count_if(F.col("enova") > bad_channel).alias("n_bad_channels"))
+    flat = rec.groupBy("rec", "ch").agg(F.var_pop("v").alias("p")).groupBy("rec").agg(F.count_if(F.col("p") < 1e-12).alias("n_flat_channels"))
+    measured = quality.removal(triple).join(quality.mean_correlation(triple), "rec").join(spectral.psd_similarity(triple, fs, 0.5, fs / 2), "rec").join(ged.final_sensai(scored, matrix, fs, names).withColumnRenamed("sensai", "sensai_score"), "rec")
+    measured = measured.join(drawn.groupBy("rec").agg(F.count("*").alias("n_corrupted_windows")), "rec").join(channels, "rec").join(flat, "rec")
+    rows = apply_thresholds(scores, thresholds, drawn).join(measured, "rec").withColumn("error", F.lit(None).cast("string"))
+    rows = rows.unionByName(failed, allowMissingColumns=True)
+    return rows.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in MEASURES.split(", ")])
+
+
+def resumed(spark: SparkSession, path: str, requested: DataFrame, recordings: DataFrame, run: Callable[[DataFrame], DataFrame], batches: int = 1, most_batches: int | None = None) -> DataFrame:
+    """A sweep that can be stopped and started again: runs the requested(rec) subjects of recordings that path has no
+    partition of, in batches by hash, each written when it is done; gives all that path holds.
+
+    run(recordings) -> rows with dataset and subject. A batch overwrites the partitions it has rows of and no others, so a batch
+    that was cut off is run again whole and no subject counts twice; failed subjects have rows too and are not tried
+    again. most_batches stops early. Subjects that aren't requested are left alone, requested ones without a recording too.
+    """
+    for k in range(batches if most_batches is None else min(batches, most_batches)):
+        done = finished(spark, path)
+        todo = requested.select(F.col("rec").cast("string")).distinct().join(done, F.col("rec") == done["subject"], "left_anti")
+        todo = todo.where(F.pmod(F.xxhash64("rec"), F.lit(batches)) == k)
+        if not todo.isEmpty():
+            io.write_sweep(run(recordings.join(todo, "rec", "left_semi")), path)
+    return spark.read.option("basePath", path).schema(SWEPT).parquet(path)
+
+
+#: What resumed() reads back.
+SWEPT = MEASURES.replace("rec string, ", "", 1) + ", dataset string, subject string"
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """(subject) of the partitions that path has: nothing of a path that isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "subject string")
+    return spark.read.schema(SWEPT).parquet(path).select("subject").distinct()

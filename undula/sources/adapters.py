@@ -76,6 +76,43 @@ def subject_recordings(spark: SparkSession, sf_dir: str, hours: int = 3) -> tupl
     return row.select("rec", "ch", "i", F.coalesce("v", line).alias("v")), names, size
 
 
+#: Places of eight electrodes of the 10-20 system on the unit sphere.
+ELECTRODES = [("Fp1", -0.31, 0.95, 0.03), ("Fp2", 0.31, 0.95, 0.03), ("F3", -0.55, 0.67, 0.5), ("F4", 0.55, 0.67, 0.5), ("C3", -0.71, 0.0, 0.71), ("C4", 0.71, 0.0, 0.71), ("O1", -0.31, -0.95, 0.03), ("O2", 0.31, -0.95, 0.03)]
+#: Bins after an event in which it is felt, and the grid's longest span: one event years away is an error, no long grid.
+TAPS, MOST_BINS = 24, 100_000
+
+
+def mixed_recordings(spark: SparkSession, sf_dir: str, mixing: list[list[float]], hours: int = 3, sensor_noise: float = 0.02) -> tuple[DataFrame, int]:
+    """A recording for each user of sources mixed into ELECTRODES, and its length.
+
+    Every event sets off a damped oscillation in each source, with strength, pitch and phase drawn by hash, so sources are
+    alike in power and not correlated; sensors are mixing (electrodes by sources) times sources, and so have about mixing
+    times its transpose as their covariance, plus a little noise of each electrode's own. Events without a user or a
+    time are left out; a value that isn't a number spoils its user's recording alone. An empty table gives no recordings.
+    """
+    _, start, size = event_span(spark, sf_dir, hours)
+    if size > MOST_BINS:
+        raise ValueError(f"events span {size} bins of {hours} hours, at most {MOST_BINS} are gridded")
+    events = table(spark, sf_dir, "events").where("ts is not null and user_id is not null and event_type is not null")
+    at = F.floor(F.timestamp_diff("HOUR", F.lit(start).cast("timestamp_ntz"), F.col("ts")) / hours).cast("long")
+    drawn = lambda k, salt: F.pmod(F.xxhash64("event_id", F.lit(k), F.lit(salt)), F.lit(1 << 32)) / float(1 << 32)
+    taps = events.select(F.col("user_id").cast("string").alias("rec"), "event_id", F.coalesce("value", F.lit(0.0)).alias("x"), at.alias("at"), F.explode(F.sequence(F.lit(0), F.lit(TAPS - 1))).alias("j"))
+    taps = taps.withColumn("i", F.col("at") + F.col("j")).where(F.col("i") < size)
+    felt = lambda k: F.sqrt(F.abs("x")) * (2 * drawn(k, 1) - 1) * F.exp(-F.col("j") / 8) * F.sin(2 * math.pi * ((0.05 + 0.4 * drawn(k, 2)) * F.col("j") + drawn(k, 3)))
+    n = len(mixing[0])
+    sources = taps.groupBy("rec", "i").agg(*[F.sum(felt(k)).alias(f"s{k}") for k in range(n)])
+    grid = events.select(F.col("user_id").cast("string").alias("rec")).distinct().select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(size - 1, 0)).cast("long"))).alias("i"))
+    sensors = [F.struct(F.lit(c[0]).alias("ch"), sum((F.coalesce(f"s{k}", F.lit(0.0)) * w for k, w in enumerate(row)), F.lit(0.0)).alias("v")) for c, row in zip(ELECTRODES, mixing, strict=True)]
+    rows = grid.join(sources, ["rec", "i"], "left").select("rec", "i", F.explode(F.array(*sensors)).alias("c")).select("rec", "c.ch", "i", "c.v")
+    return rows.withColumn("v", F.col("v") + sensor_noise * normal(7, F.col("rec"), F.col("ch"), F.col("i"))), size
+
+
+def normal(seed: int, *key: Column) -> Column:
+    """A standard normal deviate by hash of seed and key (Box and Muller): the same on every partitioning."""
+    u = [(F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(salt)), F.lit(1 << 32)) + 1) / float((1 << 32) + 1) for salt in (0, 1)]
+    return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1])
+
+
 def subject_datasets(subject: Column) -> Column:
     """The registered dataset that a subject counts to."""
     names = F.array(*[F.lit(r[0]) for r in REGISTRY])
