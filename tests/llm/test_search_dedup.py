@@ -166,7 +166,7 @@ def shingles_5(text):
     return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("limit", [64, 4])
+@pytest.mark.parametrize("limit", [64, 4, 1])
 def test_copies_equal_brute_force_over_shingles(spark, limit):
     rng, extra = random.Random(12), []
     for g, size in enumerate((2, 3, 30)):
@@ -193,6 +193,22 @@ def test_copies_equal_brute_force_over_shingles(spark, limit):
     assert len(set(root.values())) < len(set(narrow.values()))
 
 
+def test_prefix_pairs_lose_no_similar_pair_and_leave_most_others_out(spark):
+    from undula.llm import jaccard
+
+    rng, sets = random.Random(4), {}
+    base = [rng.getrandbits(60) for _ in range(120)]
+    for k in range(150):
+        changed = set(rng.sample(range(120), rng.choice([0, 4, 9, 14, 30, 50])))
+        sets[k] = {rng.getrandbits(60) if i in changed else g for i, g in enumerate(base[: rng.choice([120, 110, 96])])}
+    rows = [(k, k % 100, sorted(s)) for k, s in sets.items()]
+    got = {(r.a, r.b) for r in jaccard.prefix_pairs(spark.createDataFrame(rows, "sig long, c long, grams array<long>")).collect()}
+    apart = [(a, b) for a in sets for b in range(a + 1, 150) if a % 100 != b % 100]
+    similar = {(a, b) for a, b in apart if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert similar and similar <= got
+    assert len(got - similar) < (len(apart) - len(similar)) / 3
+
+
 #: Small and capital letters of Cyrillic, Greek, Polish, Armenian, Georgian, Deseret and Turkish words.
 SCRIPTS = {
     1: "широкая электрификация южных губерний даст мощный толчок подъёму",

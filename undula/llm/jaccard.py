@@ -3,8 +3,9 @@
 Every text has MinHash values in bands; two texts that share a band are candidates. With 25 bands of 4 values a pair at
 0.8 shares none with chance (1 - 0.8^4)^25 = 1.8e-6. Candidates of a band are thinned by the share of equal values
 (chance of losing a pair at 0.8: MISS), and what is left is verified on the whole sets, exactly.
-Pairs that are already in one component aren't compared. A band key of more than KEY_LIMIT texts compares all with one
-first, then those outside its largest component with all, in blocks.
+Pairs that are already in one component aren't compared. A band key of more than KEY_LIMIT texts compares all with one of
+them; the texts of such keys that are then still in several components meet by their rarest shingles (prefix_pairs), so no
+key's texts are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.llm import textscan
@@ -24,7 +25,7 @@ WIDTH = 5
 #: Similarity of two sets at which they are linked: 4/5.
 NUM, DEN = 4, 5
 BANDS, ROWS, MISS = 25, 4, 1e-7
-KEY_LIMIT = 64
+KEY_LIMIT = 16
 
 INFO = "id long, text_hash long, fp long, sig long, n long, bands array<long>, sketch binary"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -103,7 +104,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _candidates(groups: DataFrame) -> DataFrame:
-    """groups(probes, others: arrays of (sig, n, c, sketch)) -> (a, b): pairs of different components that size and sketch allow."""
+    """groups(members: array of (sig, n, c, sketch)) -> (a, b): pairs of different components that size and sketch allow."""
     least = least_matches()
 
     def run(batches: Iterator) -> Iterator:
@@ -111,21 +112,22 @@ def _candidates(groups: DataFrame) -> DataFrame:
 
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
-            for probes, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (sig, n, c, own), (sig2, n2, c2, own2) = ([*(np.array([m[k] for m in side], np.int64) for k in ("sig", "n", "c")), np.array([np.frombuffer(m["sketch"], np.uint8) for m in side])] for side in (probes, others))
-                near = (c[:, None] != c2[None, :]) & (DEN * np.minimum(n[:, None], n2[None, :]) >= NUM * np.maximum(n[:, None], n2[None, :]))
-                i, j = np.nonzero(near)
-                equal = np.concatenate([(own[i[k : k + 4096]] == own2[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
-                i, j = i[equal >= least], j[equal >= least]
-                found.append(np.sort(np.stack([sig[i], sig2[j]], 1), axis=1))
+            for members in batch.column(0).to_pylist():
+                sig, n, c = (np.array([m[k] for m in members], np.int64) for k in ("sig", "n", "c"))
+                sketch = np.array([np.frombuffer(m["sketch"], np.uint8) for m in members])
+                i, j = np.triu_indices(len(sig), 1)
+                near = (c[i] != c[j]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
+                i, j = i[near], j[near]
+                equal = (sketch[i] == sketch[j]).sum(1) >= least
+                found.append(np.sort(np.stack([sig[i[equal]], sig[j[equal]]], 1), axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return groups.select("probes", "others").mapInArrow(run, "a long, b long")
+    return groups.select("members").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Of pairs(a, b) of signatures, those whose sets are similar enough, as (a, b) of fingerprints."""
+def _sets(sigs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """sigs(sig), distinct -> (sig, fp, grams), written."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -135,16 +137,41 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
             for a, z in slices(texts, 1 << 18):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([s.view(np.int64) for s in shingle_sets(texts[a:z])], pa.list_(pa.int64()))], ["text_hash", "grams"])
 
-    pairs = materialize(pairs.distinct(), "jaccard-pairs")
-    used = materialize(nodes.join(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig").select("sig", "fp", "text_hash"), "jaccard-used")
+    used = materialize(nodes.join(sigs, "sig").select("sig", "fp", "text_hash"), "jaccard-used")
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(sent_if_small(used.select("text_hash").distinct()), "text_hash", "left_semi")
     sets = texts.mapInArrow(run, "text_hash long, grams array<long>").dropDuplicates(["text_hash"])
-    sets = materialize(used.join(sets, "text_hash").drop("text_hash"), "jaccard-sets")
+    return materialize(used.join(sets, "text_hash").drop("text_hash"), "jaccard-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs(a, b) of signatures, those whose sets are similar enough, as (a, b) of fingerprints."""
     x, y = (sets.select(F.col("sig").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("grams").alias(f"grams_{k}")) for k in ("a", "b"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     return pairs.join(x, "a").join(y, "b").where((NUM + DEN) * both >= NUM * (F.size("grams_a") + F.size("grams_b"))).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
 
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """sets(sig, c, grams) -> (a, b): distinct pairs of different components that share a shingle early enough in both.
+
+    Shingles are ordered by rarity. Two sets of n and m have 4/9 of n + m in common at least, and all of it stands from
+    their first common shingle on; so neither may have fewer left there. Shingles of one component alone are in no pair
+    that is looked for, and come first. No similar pair is lost; a set that differs from all others has its own
+    shingles first and meets none.
+    """
+    grams = sets.select("sig", "c", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("often"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram", "often")
+    at = Window.partitionBy("sig").orderBy("often", "gram")
+    placed = grams.join(shared, "gram").withColumn("later", F.count("*").over(Window.partitionBy("sig")) - F.row_number().over(at) + 1)
+    # `later`: how many stand from here on, this one included
+    early = materialize(placed.where(DEN * F.col("later") >= NUM * F.col("n")).select("gram", "sig", "c", "n", "later"), "jaccard-early")
+    per = early.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size"))
+    mixed = early.join(per.where("top.k < size").select("gram", F.col("top.c").alias("top")), "gram")
+    x, y = (side.select(*[F.col(k).alias(f"{k}_{name}") for k in ("gram", "sig", "c", "n", "later")]) for side, name in ((mixed.where("c <> top"), "x"), (mixed, "y")))
+    enough = (NUM + DEN) * F.least("later_x", "later_y") >= NUM * (F.col("n_x") + F.col("n_y"))
+    met = x.join(y, (F.col("gram_x") == F.col("gram_y")) & (F.col("c_x") != F.col("c_y")) & enough)
+    return met.select(F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b")).distinct()
+
+
 def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     found = connected_components(edges)
     return rows.join(found, rows["c"] == found["node"], "left").withColumn("c", F.coalesce("component", "c")).drop("node", "component")
@@ -159,26 +186,22 @@ def links(info: DataFrame, docs: DataFrame, near: DataFrame, text_col: str = "te
     edges = materialize(near.select("a", "b").union(same), "jaccard-edges")
     nodes = materialize(_labelled(nodes.withColumn("c", F.col("fp")), edges), "jaccard-nodes")
     keyed = nodes.select("sig", "c", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("sig").alias("pivot"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("sig", F.xxhash64("sig", "key")).alias("pivot"))
     sizes = materialize(sizes.where("low <> high").select("key", "size", "pivot"), "jaccard-sizes")
     keyed = materialize(keyed.join(sizes, "key").select("key", "size", "pivot", "sig"), "jaccard-keys").join(nodes.select("sig", "n", "c", "sketch"), "sig")
     few, many = keyed.where(F.col("size") <= key_limit), keyed.where(F.col("size") > key_limit)
-    member = F.struct("sig", "n", "c", "sketch")
-    # both sides hold the whole group: each pair is met twice and becomes one
-    pairs = _candidates(few.groupBy("key").agg(F.collect_list(member).alias("probes")).withColumn("others", F.col("probes")))
-    if many.isEmpty():
-        return edges.union(_verified(pairs, nodes, docs, text_col))
-    crowd = materialize(many, "jaccard-crowd")
+    pairs = _candidates(few.groupBy("key").agg(F.collect_list(F.struct("sig", "n", "c", "sketch")).alias("members")))
+    crowd = materialize(many.select("key", "pivot", "sig", "n", "c"), "jaccard-crowd")
     pivots = nodes.select(F.col("sig").alias("pivot"), F.col("c").alias("pivot_c"), F.col("n").alias("pivot_n"))
     fits = (F.col("c") != F.col("pivot_c")) & (DEN * F.least("n", "pivot_n") >= NUM * F.greatest("n", "pivot_n"))
     first = crowd.join(pivots, "pivot").where(fits).select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
-    edges = materialize(edges.union(_verified(pairs.union(first), nodes, docs, text_col)), "jaccard-edges")
-    crowd = materialize(_labelled(crowd.drop("c").join(nodes.select("sig", F.col("fp").alias("c")), "sig"), edges), "jaccard-crowd")
-    per = crowd.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size"))
-    per = per.where("top.k < size").select("key", F.col("top.c").alias("top"), F.ceil(F.col("size") / key_limit).alias("m"), F.ceil((F.col("size") - F.col("top.k")) / key_limit).alias("o"))
-    left = crowd.drop("size").join(per, "key")
-    dealt = lambda n: F.pmod(F.xxhash64("sig"), F.col(n))
-    other = left.select("key", member.alias("x"), F.lit(False).alias("probe"), dealt("m").alias("j"), F.explode(F.sequence(F.lit(0), F.col("o").cast("int") - 1)).alias("i"))
-    probe = left.where("c <> top").select("key", member.alias("x"), F.lit(True).alias("probe"), dealt("o").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("j"))
-    blocks = other.unionByName(probe).groupBy("key", "i", "j").agg(F.collect_list(F.when(F.col("probe"), F.col("x"))).alias("probes"), F.collect_list(F.when(~F.col("probe"), F.col("x"))).alias("others"))
-    return edges.union(_verified(_candidates(blocks.where("size(probes) > 0 and size(others) > 0")), nodes, docs, text_col))
+    pairs = materialize(pairs.union(first).distinct(), "jaccard-pairs")
+    edges = edges.union(_verified(pairs, _sets(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), nodes, docs, text_col)))
+    if crowd.isEmpty():
+        return edges
+    edges = materialize(edges, "jaccard-edges")
+    crowd = materialize(_labelled(crowd.select("key", "sig").join(nodes.select("sig", F.col("fp").alias("c")), "sig"), edges), "jaccard-crowd")
+    mixed = crowd.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    rest = materialize(crowd.join(mixed, "key").select("sig", "c").distinct(), "jaccard-rest")
+    sets = _sets(rest.select("sig"), nodes, docs, text_col)
+    return edges.union(_verified(materialize(prefix_pairs(sets.join(rest, "sig")), "jaccard-pairs"), sets))
