@@ -143,20 +143,36 @@ def test_constant_channels_have_no_correlation(spark):
     assert quality.mean_correlation(triple(spark, flat, flat, flat)).first()["correlation"] == 0
 
 
-@pytest.mark.parametrize("name", ["line", "drift", "pop", "blink", "saccade", "noise"])
+@pytest.mark.parametrize("name", ["line", "drift", "pop", "blink", "saccade", "noise", "channel"])
 def test_injection_leaves_the_input_and_repeats(spark, name):
     rec = adapters.with_index(recording(spark, np.zeros((3, 100)), ["Fp1", "Fz", "T7"]))
     f = {
         "line": lambda: inject.line_noise(rec, 50, 10.0), "drift": lambda: inject.drift(rec, 50), "pop": lambda: inject.electrode_pop(rec, [1], 25, 3, 50),
         "blink": lambda: inject.blink(rec, [1], 25, 3, 10), "saccade": lambda: inject.saccade(rec, [1], 25, 3, 9), "noise": lambda: inject.growing_noise(rec, 100, 5.0),
+        "channel": lambda: inject.channel_noise(rec, ["Fz"], [1], 25),
     }[name]
     one, two = ({(r["ch"], r["i"]): r["artifact"] for r in f().collect()} for _ in range(2))
     assert one == two and any(one.values())
-    if name in ("pop", "blink", "saccade"):
+    if name in ("pop", "blink", "saccade", "channel"):
         assert all(v == 0 for (_, i), v in one.items() if not 25 <= i < 50)
     assert rec.where("v <> 0").count() == 0
 
 
+def test_noise_is_normal_and_the_same_on_every_partitioning(spark):
+    rec = adapters.with_index(recording(spark, np.zeros((4, 2000)), ["Fp1", "Fz", "T7", "Cz"]))
+    noise = lambda df: {(r["ch"], r["i"]): r["artifact"] for r in inject.channel_noise(df, ["Fz", "Cz"], [0, 1], 1000).collect()}
+    one = noise(rec)
+    assert one == noise(rec.repartition(7, "i")) == noise(rec.orderBy(F.desc("i")).coalesce(1))
+    assert {c for (c, _), v in one.items() if v} == {"Fz", "Cz"}
+    for c in ("Fz", "Cz"):
+        for e in (0, 1):
+            x = np.array([one[c, i] for i in range(1000 * e, 1000 * e + 1000)])
+            assert 18 < x.std() < 88 and abs(x.mean()) < 0.15 * x.std() and abs(np.mean(np.abs(x) < x.std()) - 0.683) < 0.06
+    assert abs(np.corrcoef([one["Fz", i] for i in range(2000)], [one["Cz", i] for i in range(2000)])[0, 1]) < 0.1
+    last = inject.channel_noise(rec.where("i <= 1000"), ["Fz"], [1], 1000)  # an epoch of one sample
+    assert last.where("artifact <> 0").count() == 0
+
+
 def test_wolpaw(spark):
     df = spark.createDataFrame([(0.5,), (1.0,), (0.2,), (0.8,), (float("nan"),), (None,)], "p double")
     got = [r[0] for r in df.select(itr.wolpaw_bits(F.col("p"), F.lit(2))).collect()]

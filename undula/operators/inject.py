@@ -70,10 +70,30 @@ def saccade(rec: DataFrame, epochs: list[int], n: int, start: int, length: int,
     return _added(rec, amplitude * F.when(F.col("ch_idx") % 2 == 0, -0.8).otherwise(1.0) * shape)
 
 
+def uniform(seed: int, *key: str) -> Column:
+    """A number between 0 and 1 from the hash of seed and key alone: the same on every partitioning, in any order, in any engine with MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key]))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def normal(seed: int, *key: str) -> Column:
+    """A standard normal deviate for each key, by Box-Muller over two hashes."""
+    return F.sqrt(-2 * F.ln(uniform(seed, *key))) * F.cos(2 * math.pi * uniform(seed + 1, *key))
+
+
+def channel_noise(rec: DataFrame, channels: list[str], epochs: list[int], n: int, amplitude: float = 40.0, seed: int = 47) -> DataFrame:
+    """White noise on the listed channels in the chosen epochs of n samples: bad contact. Each channel and epoch has its own
+    strength, `amplitude` times a factor between 0.5 and 2. Epochs that hold fewer than two samples stay as they are."""
+    epoch = F.floor(F.col("i") / n).cast("long")
+    held = F.count("*").over(Window.partitionBy("rec", "ch", "noise_epoch"))
+    rows = rec.withColumn("noise_epoch", epoch)
+    strength = amplitude * (0.5 + 1.5 * uniform(seed + 2, "rec", "ch", "noise_epoch"))
+    return _added(rows, F.when(F.col("noise_epoch").isin(epochs) & F.col("ch").isin(channels) & (held > 1), strength * normal(seed, "rec", "ch", "i"))).drop("noise_epoch")
+
+
 def growing_noise(rec: DataFrame, size: int, strongest: float, seed: int = 99) -> DataFrame:
-    """White noise that grows from 0 to `strongest`; the same for the same seed and place, by Box-Muller over hashes."""
-    u = [(F.pmod(F.xxhash64("rec", "ch", "i", F.lit(seed + s)), F.lit(1 << 32)) + 1) / float((1 << 32) + 1) for s in (0, 1)]
-    return _added(rec, strongest * F.col("i") / max(size - 1, 1) * F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1]))
+    """White noise that grows from 0 to `strongest`; the same for the same seed and place."""
+    return _added(rec, strongest * F.col("i") / max(size - 1, 1) * normal(seed, "rec", "ch", "i"))
 
 
 #: Artifacts that drawn epochs get, and their strengths.

@@ -435,6 +435,28 @@ def inject_line(spark, sf_dir):
     return injected(inject.line_noise(indexed(spark, sf_dir), FS, 5.0))
 
 
+def uniform_sql(seed: int, key: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws(':', {seed}, {key})), 1, 8))::bigint + 0.5::double) / 4294967296)"
+
+
+def normal_sql(seed: int) -> str:
+    u, v = (uniform_sql(seed + k, "rec, ch, i") for k in (0, 1))
+    return f"sqrt(-2 * ln({u})) * cos(2 * pi() * {v})"
+
+
+NOISY = ["click", "purchase", "signup"]
+
+
+@register(injection_sql(f"case when {IN_EPOCHS} and ch in {tuple(NOISY)} then 40 * (0.5::double + 1.5::double * {uniform_sql(49, 'rec, ch, i // 24')}) * {normal_sql(47)} end"))
+def inject_channel_noise(spark, sf_dir):
+    return injected(inject.channel_noise(indexed(spark, sf_dir), NOISY, EPOCHS, FS))
+
+
+@register(injection_sql(f"30 * i / 719 * {normal_sql(99)}"))
+def inject_growing_noise(spark, sf_dir):
+    return injected(inject.growing_noise(indexed(spark, sf_dir), HOURS, 30.0))
+
+
 @register(injection_sql("50 * (0.3::double + (ch_idx * 0.61::double) % 1.2::double) * sin(2 * pi() * 0.1::double / 24 * i + ch_idx)"))
 def inject_drift(spark, sf_dir):
     return injected(inject.drift(indexed(spark, sf_dir), FS))
