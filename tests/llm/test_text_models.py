@@ -206,6 +206,26 @@ def test_quotes_of_parts_are_all_found(spark):
     assert {(r["conv_id"], r["turn"]): r["reply_to_turn"] for r in got} == want and len(want) > 1000
 
 
+def test_runs_of_few_distinct_lines_equal_brute_force(spark):
+    """Messages of hundreds of lines of two kinds, so that every run begins at many places, and quotations that are or are not a run of theirs."""
+    rng = random.Random(4)
+    said = {(c, 0): [rng.choice(["ok", "no"]) for _ in range(rng.randint(1, 300))] for c in range(6)} | {(6, 0): ["ok"] * 500}
+    quoted = {}
+    for k in range(150):
+        own = said[rng.randrange(7), 0]
+        a = rng.randrange(len(own))
+        part = own[a : a + rng.randint(1, 40)]
+        if rng.random() < 0.5:
+            part = [*part, "ok" if rng.random() < 0.5 else "no"]
+        quoted[100 + k, 0] = part
+    rows = [(c, t, "u", "\n".join(x)) for (c, t), x in said.items()] + [(c, t, "u", "\n".join(f"> {y}" for y in x)) for (c, t), x in quoted.items()]
+    holds = lambda x, y: any(x[a : a + len(y)] == y for a in range(len(x)))
+    want = {at: min((c for (c, _), x in said.items() if holds(x, y)), default=None) for at, y in quoted.items()}
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("n_quotes > 0").collect()
+    assert {(r["conv_id"], r["turn"]): r["reply_to_conv"] for r in got} == want
+    assert 20 < sum(v is None for v in want.values()) < 130
+
+
 def test_a_long_chain_of_replies(spark):
     rows = [(1, 0, "u", "message 0")] + [(1, k, "u", f"> message {k - 1}\nmessage {k}") for k in range(1, 40)]
     got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

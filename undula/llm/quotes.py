@@ -16,6 +16,9 @@ from undula.llm.common import materialize, sent_if_small
 QUOTED = r"^[ \t]*>"
 SENTENCE_END = r"(?<=[.!?])\s+|\n[ \t\r]*\n"
 _PREFIX = r"^[ \t]*(?:>[ \t]?)+"
+#: Runs are hashed modulo a prime whose products fit in 64 bits, with two bases and two hashes of a unit.
+MODULUS = 2**31 - 1
+BASES = (1_402_946_723, 1_911_520_717)
 
 
 def _hashes(text: Column) -> Column:
@@ -56,24 +59,56 @@ def _units(text: Column) -> Column:
     return F.array(plain(F.split(text, SENTENCE_END)), plain(F.split(text, "\n")))
 
 
+def _power(base: int, exponent: Column) -> Column:
+    """base ** exponent modulo MODULUS for exponents under 2^32, from one table for each byte of the exponent."""
+    out = F.lit(1).cast("long")
+    for shift in range(0, 32, 8):
+        table = ", ".join(f"{pow(base, byte << shift, MODULUS)}L" for byte in range(256))
+        out = (out * F.expr(f"array({table})")[F.shiftright(exponent, shift).bitwiseAND(255)]) % MODULUS
+    return out
+
+
+def _residues(x: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(seed), x), F.lit(MODULUS)) for seed in range(len(BASES))]
+
+
+def _rolled(units: Column) -> Column:
+    """For each base the sum of residue times base ** place, by Horner's rule from the last unit."""
+    rule = lambda i, base: F.aggregate(F.reverse(units), F.lit(0).cast("long"), lambda acc, x: (acc * base + _residues(x)[i]) % MODULUS)
+    return F.array(*[rule(i, base) for i, base in enumerate(BASES)])
+
+
 def runs(messages: DataFrame) -> DataFrame:
-    """messages(conv, turn, text), distinct -> (conv, turn, passage) of the runs of sentences or lines that begin as a
-    quotation does and are as many as it has.
+    """messages(conv, turn, text), distinct -> (conv, turn, passage) of the runs of sentences or lines that are a
+    quotation's.
 
-    A first unit has one row with all lengths that quotations beginning with it have, so no pairs of messages are made; a
-    message's runs are hashed in its own row.
+    A run is hashed from the sums of its message's units up to its two ends, so a place and a length cost one row however
+    long the run is; places meet the lengths of quotations that begin with their unit, and no pairs of messages are made.
+    A run counts where kind, first unit (64 bits), length and both rolled residues (62 bits) are the quotation's.
     """
     kinds = F.posexplode(_units(F.col("said"))).alias("kind", "units")
-    begins = spoken(messages).where("level > 0").select("said").distinct().select(kinds).where("size(units) > 0").select("kind", F.xxhash64(F.col("units")[0]).alias("unit"), F.size("units").alias("k"))
-    begins = materialize(begins.groupBy("kind", "unit").agg(F.collect_set("k").alias("lengths")), "quote-begins")
+    quotes = spoken(messages).where("level > 0").select("said").distinct().select(_hashes(F.col("said")).alias("passage"), kinds).where("size(units) > 0 and passage is not null")
+    quotes = materialize(quotes.select("passage", "kind", F.xxhash64(F.col("units")[0]).alias("unit"), F.size("units").alias("k"), _rolled(F.col("units")).alias("rolled")).distinct(), "quotations")
+    begins = sent_if_small(materialize(quotes.groupBy("kind", "unit").agg(F.collect_set("k").alias("lengths")), "quote-begins"), 100_000)
+
+    of = ["conv", "turn", "th", "kind"]
     own = messages.select("conv", "turn", F.xxhash64("text").alias("th"), F.posexplode(_units(_body(F.col("text")))).alias("kind", "units"))
-    at = own.select("conv", "turn", "th", "kind", F.posexplode(F.transform("units", lambda x: F.xxhash64(x))).alias("pos", "unit"))
-    at = at.join(sent_if_small(begins, 100_000), ["kind", "unit"]).groupBy("conv", "turn", "th", "kind").agg(F.collect_list(F.struct("pos", "lengths")).alias("starts"))
-    run = lambda x: F.transform(F.filter(x["lengths"], lambda k: x["pos"] + k <= F.size("units")), lambda k: _hashes(F.array_join(F.slice("units", x["pos"] + 1, k), " ")))
-    at = materialize(at, "quote-starts")
-    # only texts with a start are shuffled
-    some = own.join(sent_if_small(at.select("conv", "turn", "th", "kind")), ["conv", "turn", "th", "kind"], "left_semi")
-    return some.join(at, ["conv", "turn", "th", "kind"]).select("conv", "turn", F.explode(F.flatten(F.transform("starts", run))).alias("passage")).distinct()
+    at = own.select(*of, F.posexplode("units").alias("pos", "x"))
+    hashed = at.select(*of, "pos", F.xxhash64("x").alias("unit"), *[r.alias(f"r{i}") for i, r in enumerate(_residues(F.col("x")))])
+    # only the units of messages that a quotation begins in are shuffled
+    begun = materialize(hashed.join(begins, ["kind", "unit"], "left_semi").select(*of).distinct(), "quote-starts")
+    upto = Window.partitionBy(*of).orderBy("pos")
+    weighed = hashed.join(sent_if_small(begun), of, "left_semi")
+    for i, base in enumerate(BASES):
+        weighed = weighed.withColumn(f"r{i}", (F.col(f"r{i}") * _power(base, F.col("pos"))) % MODULUS)
+    sums = [F.sum(f"r{i}").over(upto).alias(f"upto{i}") for i in range(len(BASES))]
+    sums = materialize(weighed.select(*of, "pos", "unit", *[f"r{i}" for i in range(len(BASES))], *sums), "quote-sums")
+    starts = sums.join(begins, ["kind", "unit"]).select(*of, "pos", "unit", *[(F.col(f"upto{i}") - F.col(f"r{i}")).alias(f"before{i}") for i in range(len(BASES))], F.explode("lengths").alias("k"))
+    ends = sums.select(*of, F.col("pos").alias("last"), *[f"upto{i}" for i in range(len(BASES))])
+    spans = starts.withColumn("last", F.col("pos") + F.col("k") - 1).join(ends, [*of, "last"])
+    shifted = [(F.pmod(F.col(f"upto{i}") - F.col(f"before{i}"), F.lit(MODULUS)) * _power(pow(base, -1, MODULUS), F.col("pos"))) % MODULUS for i, base in enumerate(BASES)]
+    said = spans.select("conv", "turn", "kind", "unit", "k", F.array(*shifted).alias("rolled")).distinct()
+    return said.join(sent_if_small(quotes, 100_000), ["kind", "unit", "k", "rolled"]).select("conv", "turn", "passage").distinct()
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
