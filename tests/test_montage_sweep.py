@@ -48,6 +48,28 @@ def test_interpolated_channel_lies_between_its_neighbours(spark):
     assert len(got) == 18 and all(got["c2", t] == pytest.approx(2) for t in range(3)) and got["c5", 0] == 5
 
 
+def test_splines_keep_constants_and_come_nearer_to_smooth_fields(spark):
+    p = RNG.normal(size=(40, 3))
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    w = montage.spline_matrix(p[30:], 7 * p[:30])
+    assert np.allclose(w.sum(1), 1, atol=1e-9)
+    assert np.allclose(montage.spline_matrix(p[:30], p[:30], smoothing=0.0), np.eye(30), atol=1e-6)
+    rows = [(f"c{k}", *map(float, x)) for k, x in enumerate(p)]
+    places = spark.createDataFrame(rows, "ch string, x double, y double, z double")
+    bad = spark.createDataFrame([(f"c{k}",) for k in range(30, 40)], "ch string")
+    field = [p[:, 0] * p[:, 1] + p[:, 2], np.full(40, 3.0)]
+    rec = spark.createDataFrame([("r", f"c{k}", t, float(field[t][k])) for k in range(40) for t in range(2)], "rec string, ch string, i long, v double")
+    errors = {}
+    for spline in (True, False):
+        got = {(r["ch"], r["i"]): r["v"] for r in montage.interpolate_channels(rec, places, bad, spline=spline).collect()}
+        assert len(got) == 80 and all(got[f"c{k}", 1] == pytest.approx(3) for k in range(30, 40))
+        errors[spline] = np.mean([(got[f"c{k}", 0] - field[0][k]) ** 2 for k in range(30, 40)])
+    assert errors[True] < errors[False] / 2
+    assert montage.spline_weights(places.limit(0), places).count() == 0
+    with pytest.raises(ValueError, match="without a place"):
+        montage.spline_weights(places, spark.createDataFrame([("x", 0.0, 0.0, None)], places.schema))
+
+
 def test_sweep_counts(spark):
     e = spark.createDataFrame([("r", k, v) for k, v in enumerate([0.1, 0.6, 0.9, 0.95])], "rec string, epoch long, enova double")
     truth = spark.createDataFrame([(2,), (1,)], "epoch long")

@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from undula.operators import decode, ged, inference, linalg, spectral
+from undula.operators import decode, ged, inference, linalg, spectral, stats
 
 RNG = np.random.default_rng(3)
 
@@ -125,6 +126,68 @@ def test_signed_rank_tail_by_enumeration():
     assert inference.wilcoxon_tail(600, 60, 0, exact_up_to=100) == pytest.approx(inference.wilcoxon_tail(600, 60, 0), abs=0.01)
 
 
+def test_signed_rank_families_equal_enumeration(spark):
+    """Tied, zero and null differences; tails over all sign patterns of the mid-ranks, corrections by hand."""
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for k, n in enumerate([2, 3, 7, 12, 15]):
+        for side in ("two-sided", "greater", "less"):
+            d = [float(x) for x in rng.integers(-4, 6, n)]
+            rows += [(f"f{k % 2}", f"{k}{side}", side, x) for x in [*d, None]]
+            nz = [x for x in d if x]
+            a = sorted(abs(x) for x in nz)
+            rank = [a.index(abs(x)) + (a.count(abs(x)) + 1) / 2 for x in nz]
+            w = sum(r for r, x in zip(rank, nz, strict=True) if x > 0)
+            sums = (np.arange(1 << len(nz))[:, None] >> np.arange(len(nz)) & 1) @ np.array(rank)
+            up, down = np.mean(sums >= w), np.mean(sums <= w)
+            p = {"greater": up, "less": down, "two-sided": min(1, 2 * min(up, down))}[side] if len(nz) >= 3 else None
+            want[f"{k}{side}"] = (n, len(nz), w, p)
+    df = spark.createDataFrame(rows, "family string, t string, side string, d double")
+    got = {r["t"]: r for r in stats.benjamini_hochberg(inference.signed_rank_test(df, ["family", "t"]), key="t", by=("family",)).collect()}
+    assert set(got) == set(want) and any(p is None for *_, p in want.values())
+    for t, (pairs, n, w, p) in want.items():
+        assert (got[t]["n_pairs"], got[t]["n"], got[t]["w_plus"]) == (pairs, n, w)
+        assert got[t]["p"] is None if p is None else got[t]["p"] == pytest.approx(p, abs=1e-12)
+    for f in ("f0", "f1"):
+        own = sorted(((got[t]["p"] if got[t]["p"] is not None else 1.0), t) for t in got if got[t]["family"] == f)
+        for i, (p, t) in enumerate(own):
+            assert got[t]["p_bonferroni"] == pytest.approx(min(1, p * len(own)))
+            assert got[t]["p_bh"] == pytest.approx(min(1, min(q * len(own) / (j + 1) for j, (q, _) in enumerate(own) if j >= i)))
+    normal = inference.signed_rank_test(df, ["family", "t"], exact_up_to=5)
+    assert all(r["p"] is None or abs(r["p"] - want[r["t"]][3]) < 0.15 for r in normal.collect())
+
+
+def test_families_of_a_small_sweep(spark):
+    values = {0.1: [0.5, 0.6, 0.7, 0.8], 0.2: [0.9, 0.9, 0.9, 0.95], 0.3: [0.5, 0.6, 0.7, None]}
+    rows = [("A" if s < 3 else "B", s, t, v, 0.4) for t, x in values.items() for s, v in enumerate(x)]
+    d = stats.family_differences(spark.createDataFrame(rows, "dataset string, subject int, thr double, m double, o double"), "m", "o", 0.1)
+    got = {(r["family"], r["dataset"], r["t1"], r["t2"]): (r["side"], r["n"]) for r in d.groupBy("family", "dataset", "t1", "t2", "side").agg(F.count("*").alias("n")).collect()}
+    assert got == {
+        ("pairs", None, 0.1, 0.2): ("two-sided", 4), ("pairs", None, 0.1, 0.3): ("two-sided", 3), ("pairs", None, 0.2, 0.3): ("two-sided", 3),
+        ("over default", None, 0.1, 0.2): ("greater", 4), ("over default", None, 0.1, 0.3): ("greater", 3),
+        ("best over default", "A", 0.1, 0.2): ("greater", 3), ("best over default", "B", 0.1, 0.2): ("greater", 1),
+        ("over other", None, None, 0.1): ("greater", 4), ("over other", None, None, 0.2): ("greater", 4), ("over other", None, None, 0.3): ("greater", 3),
+    }
+
+
+def test_filters_in_blocks_equal_the_recursion():
+    import time
+
+    sections = spectral.butter_sections(1, 40, 250)
+    for n in (1, 2, 63, 64, 65, 1000):
+        x = RNG.normal(size=(3, n))
+        want = x.copy()
+        for b0, b1, b2, _, a1, a2 in sections:
+            y = np.zeros_like(want)
+            for t in range(n):
+                past = lambda z, k: z[:, t - k] if t >= k else 0.0  # noqa: E731, B023
+                y[:, t] = b0 * want[:, t] + b1 * past(want, 1) + b2 * past(want, 2) - a1 * past(y, 1) - a2 * past(y, 2)
+            want = y
+        assert np.allclose(spectral._run(sections, x), want, rtol=0, atol=1e-9 * np.abs(want).max())
+    began = time.process_time()
+    assert np.isfinite(spectral._run(sections, RNG.normal(size=(1, 1_000_000)))).all()
+    assert time.process_time() - began < 10
+
+
 def test_tails():
     assert inference.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05)
     assert inference.chi2_tail(18.307038053275146, 10) == pytest.approx(0.05)

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -100,6 +100,52 @@ def wilcoxon_test(diffs: DataFrame, by: list[str]) -> DataFrame:
     return s.select(*by, "n", "w_plus", F.when(F.col("n") >= 3, wilcoxon_p("w_plus", "n", "tie")).alias("p"))
 
 
+def signed_rank_tail(ranks: np.ndarray, w: int, side: str = "two-sided") -> float:
+    """The exact tail of a sum w of doubled mid-ranks, whatever their ties: every sign pattern counted by dynamic programming."""
+    counts = np.zeros(int(ranks.sum()) + 1)
+    counts[0] = 1
+    for r in ranks:
+        counts[r:] += counts[: len(counts) - r].copy()
+    p = counts / counts.sum()
+    up, down = p[w:].sum(), p[: w + 1].sum()
+    return float({"greater": up, "less": down}.get(side, min(1.0, 2 * min(up, down))))
+
+
+@F.pandas_udf(DoubleType())
+def signed_rank_p(w: pd.Series, n: pd.Series, tie: pd.Series, ranks: pd.Series, side: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_tail(np.asarray(r, int), int(x), s) if len(r) else wilcoxon_tail(x / 2, m, t, 0, s) for x, m, t, r, s in zip(w, n, tie, ranks, side, strict=True)])
+
+
+#: Up to this many differences a tail is exact, above normal with the ties' variance.
+EXACT_UP_TO = 50
+
+
+def signed_rank_test(diffs: DataFrame, by: list[str], exact_up_to: int = EXACT_UP_TO) -> DataFrame:
+    """diffs(by..., side, d) -> by, side, n_pairs, delta, cohens_d, n, w_plus, p.
+
+    Differences are rounded to 9 digits; zeros and nulls have no rank, zeros count in n_pairs, delta and cohens_d. Fewer than three with a
+    rank have no p; no spread, no cohens_d. Only the ranks of tests of at most exact_up_to differences are gathered.
+    """
+    from undula.operators.stats import average_rank
+
+    key = [*by, "side", "moved"]
+    d = diffs.where("d is not null").withColumn("d", F.round("d", 9)).withColumn("moved", F.col("d") != 0)
+    d = d.withColumn("r2", (2 * average_rank(key, F.abs("d"))).cast("long"))
+    d = d.withColumn("tied", F.count("*").over(Window.partitionBy(*key, F.abs("d")))).withColumn("size", F.count("*").over(Window.partitionBy(*key)))
+    moved = F.col("moved")
+    s = d.groupBy(*by, "side").agg(
+        F.count("*").alias("n_pairs"),
+        F.avg("d").alias("delta"),
+        F.when(F.stddev_samp("d") > 0, F.avg("d") / F.stddev_samp("d")).alias("cohens_d"),
+        F.count_if(moved).alias("n"),
+        F.sum(F.when(F.col("d") > 0, F.col("r2")).otherwise(0)).alias("w2"),
+        F.sum(F.when(moved, F.col("tied") * F.col("tied") - 1).otherwise(0)).cast("double").alias("tie"),
+        F.collect_list(F.when(moved & (F.col("size") <= exact_up_to), F.col("r2"))).alias("ranks"),
+    )
+    p = F.when(F.col("n") >= 3, signed_rank_p("w2", "n", "tie", "ranks", "side"))
+    return s.select(*by, "side", "n_pairs", "delta", "cohens_d", "n", (F.col("w2") / 2).alias("w_plus"), p.alias("p"))
+
+
 def paired_t_test(diffs: DataFrame, by: list[str]) -> DataFrame:
     s = diffs.groupBy(*by).agg(F.count("d").alias("n"), F.when(F.stddev_samp("d") > 0, F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("d")))).alias("t"))
     return s.withColumn("p", F.when(F.col("n") >= 3, t_p("t", F.col("n") - 1)))

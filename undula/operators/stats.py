@@ -98,13 +98,42 @@ def bonferroni(p: Column, n: Column) -> Column:
     return F.least(p * n, F.lit(1.0))
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p", key: str = "key") -> DataFrame:
-    """Adds p_bonferroni and p_bh. A family of tests is a handful of rows."""
-    everything = Window.partitionBy()
-    ranked = df.withColumn("r", F.row_number().over(Window.orderBy(p, key))).withColumn("n", F.count("*").over(everything))
-    step = F.col(p) * F.col("n") / F.col("r")
-    least = F.min(step).over(Window.orderBy(F.col("r").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("p_bonferroni", bonferroni(F.col(p), F.col("n"))).withColumn("p_bh", F.least(least, F.lit(1.0))).drop("r", "n")
+def benjamini_hochberg(df: DataFrame, p: str = "p", key: str = "key", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds p_bonferroni and p_bh, within the families that by tells apart; a test without a p counts as 1. A family is a handful of rows."""
+    family, own = Window.partitionBy(*by), F.coalesce(F.col(p), F.lit(1.0))
+    ranked = df.withColumn("_r", F.row_number().over(family.orderBy(own, key))).withColumn("_n", F.count("*").over(family))
+    step = own * F.col("_n") / F.col("_r")
+    least = F.min(step).over(family.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.withColumn("p_bonferroni", bonferroni(own, F.col("_n"))).withColumn("p_bh", F.least(least, F.lit(1.0))).drop("_r", "_n")
+
+
+def stars(p: Column) -> Column:
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+
+
+PAIRS, OVER_DEFAULT, BEST_OVER_DEFAULT, OVER_OTHER = "pairs", "over default", "best over default", "over other"
+
+
+def family_differences(sweep: DataFrame, metric: str, other: str, default: float) -> DataFrame:
+    """(family, dataset, t1, t2, side, d), a row for each comparison and subject, d: the metric at t2 less that at t1.
+
+    pairs: all t1 < t2, two-sided. The rest one-sided, greater. over default: each threshold against default. best over
+    default: each dataset's threshold of the largest mean, the smallest on ties. over other: metric less other at t2, t1
+    null. dataset is null but in the third. Subjects without a value at both thresholds take no part.
+    """
+    at = sweep.withColumn("thr", F.round("thr", 2))
+    names = at.select("thr").distinct()
+    pooled = F.lit(None).cast("string").alias("dataset")
+    shape = lambda df, family, dataset, t1, side: df.select(F.lit(family).alias("family"), dataset, t1, "t2", F.lit(side).alias("side"), "d")
+    pairs = shape(paired(at, metric, threshold_pairs(at)), PAIRS, pooled, F.col("t1"), "two-sided")
+    against = paired(at, metric, names.where(F.col("thr") != default).select(F.lit(default).alias("t1"), F.col("thr").alias("t2")))
+    top = best(means(at, ["dataset", "thr"], [metric]), ["dataset"], F.col(f"{metric}_mean")).select("dataset", F.col("best").alias("t2"))
+    # a dataset whose best is the default has differences of zero only
+    every = paired(at, metric, names.select(F.lit(default).alias("t1"), F.col("thr").alias("t2"))).join(top, ["dataset", "t2"])
+    versus = at.select(F.col("thr").alias("t2"), (F.col(metric) - F.col(other)).alias("d"))
+    out = pairs.union(shape(against, OVER_DEFAULT, pooled, F.col("t1"), "greater"))
+    out = out.union(shape(every, BEST_OVER_DEFAULT, F.col("dataset"), F.col("t1"), "greater"))
+    return out.union(shape(versus, OVER_OTHER, pooled, F.lit(None).cast("double").alias("t1"), "greater")).where("d is not null")
 
 
 def silhouette(df: DataFrame, value: str, cls: str, own: int) -> DataFrame:

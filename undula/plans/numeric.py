@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.operators import decode, ged, inference, quality, signal, spectral, stats
+from undula.operators import decode, ged, inference, montage, quality, signal, spectral, stats
 from undula.plans.catalogue import SWEEP, diffs, r6, register, triple
 from undula.plans.sweep import run_subjects
 from undula.sources import adapters
@@ -113,6 +115,26 @@ def subject_sweep(spark, sf_dir):
     return rows.select("dataset", "subject", *[F.round(c, 6).alias(c) if c in doubles else F.col(c) for c in rows.columns if c not in ("dataset", "subject")])
 
 
+@register()
+def spline_interpolation(spark, sf_dir):
+    """Each electrode of each user's recording left out in turn and filled in from the others: how near the spherical spline
+    and the nearest neighbours come."""
+    rec, _, _, _ = mixed_subjects(spark, sf_dir)
+    places = spark.createDataFrame(adapters.ELECTRODES, "ch string, x double, y double, z double")
+    ways = {"spline": montage.spline_weights, "nearest": montage.interpolation_weights}
+    weights = None
+    for (name, way), c in itertools.product(ways.items(), (e[0] for e in adapters.ELECTRODES)):
+        w = way(places.where(F.col("ch") == c), places.where(F.col("ch") != c)).select(F.lit(name).alias("method"), "to", "from", "w")
+        weights = w if weights is None else weights.union(w)
+    # eight electrodes: a sample's values are one row, so filling in is arithmetic within it
+    row = written(rec.groupBy("rec", "i").agg(F.map_from_entries(F.collect_list(F.struct("ch", "v"))).alias("at")))
+    plan = weights.groupBy("method", "to").agg(F.collect_list(F.struct("from", "w")).alias("of"))
+    guess = F.aggregate("of", F.lit(0.0), lambda acc, x: acc + x["w"] * F.col("at")[x["from"]])
+    both = row.join(F.broadcast(written(plan)), F.lit(True)).select("rec", "method", F.col("to").alias("ch"), F.col("at")[F.col("to")].alias("v"), guess.alias("filled"))
+    error = F.sqrt(F.avg(F.pow(F.col("v") - F.col("filled"), 2)))
+    return both.groupBy("rec", "ch", "method").agg(F.round(error, 6).alias("rmse"), F.round(F.corr("v", "filled"), 6).alias("correlation"))
+
+
 @register()
 def welch_power(spark, sf_dir):
     return spectral.band_power(events_recording(spark, sf_dir), FS, 1.0, 4.0).select("rec", "ch", *r6("power"))
@@ -209,6 +231,17 @@ def wilcoxon_p(spark, sf_dir):
     return inference.wilcoxon_test(diffs(spark, sf_dir), ["t1", "t2"]).select("t1", "t2", "n", "w_plus", *r6("p"))
 
 
+@register()
+def signed_rank_families(spark, sf_dir):
+    """Every comparison of thresholds: exact or normal tails, corrected within its family; stars for the pairs' Bonferroni p, else for the raw one."""
+    d = stats.family_differences(adapters.sweep(spark, sf_dir), "ba_rej", "ba_rec", 0.09)
+    tests = inference.signed_rank_test(d, ["family", "dataset", "t1", "t2"])
+    keyed = tests.withColumn("key", F.concat_ws("/", "dataset", F.format_number("t1", 2), F.format_number("t2", 2)))
+    out = stats.benjamini_hochberg(keyed, by=("family",))
+    shown = F.when(F.col("family") == stats.PAIRS, F.col("p_bonferroni")).otherwise(F.coalesce("p", F.lit(1.0)))
+    return out.select("family", "dataset", "t1", "t2", "side", "n_pairs", *r6("delta", "cohens_d"), "n", "w_plus", *r6("p", "p_bonferroni", "p_bh"), stats.stars(shown).alias("code"))
+
+
 @register()
 def ttest_p(spark, sf_dir):
     return inference.paired_t_test(diffs(spark, sf_dir), ["t1", "t2"]).select("t1", "t2", "n", *r6("t", "p"))
