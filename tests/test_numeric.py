@@ -118,6 +118,44 @@ def test_decoders_tell_classes_apart(method):
         decode.predict(x, y, x, "nothing")
 
 
+def test_conditions_equal_decoders_fitted_apart(spark):
+    rows, want, fits = [], [], {"baseline": "raw", "corrupted": "raw", "gone": "raw", "reconstruct": "cleaned", "broken": "cleaned"}
+    for unit, method in (("u", "csp"), ("w", "riemann")):
+        for k in range(40):
+            x = RNG.normal(size=(4, 30))
+            x[k % 2] *= 2
+            noisy = x + RNG.normal(size=x.shape)
+            rows.append((unit, "raw", "baseline", method, k, k % 2, k < 24, x.ravel().tolist()))
+            rows.append((unit, "cleaned", "reconstruct", method, k, k % 2, k < 24, (0.9 * noisy).ravel().tolist()))
+            if k >= 24:
+                rows.append((unit, "raw", "corrupted", method, k, k % 2, False, noisy.ravel().tolist()))
+                rows.append((unit, "cleaned", "broken", method, k, k % 2, False, [None, *x.ravel().tolist()[1:]]))
+    rows += [("few", "raw", "baseline", "csp", k, k % 2, k < 6, [1.0] * 120) for k in range(12)]
+    df = spark.createDataFrame(rows, "unit string, fit string, condition string, method string, trial long, label int, train boolean, x array<double>")
+    got = {(r["unit"], r["condition"]): r for r in decode.decode_conditions(df.where("train"), df.where("not train"), 4, fits).collect()}
+    assert len(got) == 13
+    for unit, method in (("u", "csp"), ("w", "riemann")):
+        for c, base in (("baseline", "baseline"), ("corrupted", "baseline"), ("reconstruct", "reconstruct")):
+            alone = df.where((F.col("unit") == unit) & (F.col("condition").isin(c, base)) & (F.col("train") | (F.col("condition") == c)))
+            want = decode.decode(alone, 4, method).first()
+            assert (got[unit, c]["n_train"], got[unit, c]["n_test"], got[unit, c]["error"]) == (24, 16, None)
+            assert got[unit, c]["balanced_accuracy"] == pytest.approx(want["balanced_accuracy"]) and got[unit, c]["kappa"] == pytest.approx(want["kappa"])
+        assert got[unit, "gone"]["error"] == "test: 0 trials" and "not finite" in got[unit, "broken"]["error"] and got[unit, "broken"]["kappa"] is None
+    assert got["few", "baseline"]["error"].startswith("training") and got["few", "baseline"]["balanced_accuracy"] is None
+
+
+def test_four_conditions_on_cleaned_trials(spark):
+    from undula.plans import catalogue, numeric  # noqa: F401
+
+    rows = catalogue.QUERIES["four_conditions"](spark, "/root/testdata/sf0.001").collect()
+    recs = {r["rec"] for r in rows}
+    assert len(rows) == 7 * len(recs) > 0 and all(r["n_train"] >= 8 for r in rows)
+    mean = lambda c: np.mean([r["balanced_accuracy"] for r in rows if r["condition"] == c and r["balanced_accuracy"] is not None])
+    assert mean("baseline") > mean("corrupted") and mean("baseline") > 0.6
+    tests = {(r["rec"], r["enova_threshold"]): r["n_test"] for r in rows if r["condition"] == "reject_keep"}
+    assert all(tests[r, 0.3] <= tests[r, 0.5] <= tests[r, 0.7] <= tests[r, 0.9] for r in recs) and len(set(tests.values())) > 1
+
+
 def test_signed_rank_tail_by_enumeration():
     n, w = 6, 4
     sums = [sum(r for r in range(1, n + 1) if m >> (r - 1) & 1) for m in range(1 << n)]

@@ -123,6 +123,46 @@ def decode(trials: DataFrame, channels: int, method: str = "csp", least_train: i
     return trials.groupBy("unit").applyInPandas(one, RESULT)
 
 
+def decode_conditions(train: DataFrame, test: DataFrame, channels: int, conditions: dict[str, str], least_train: int = 8, least_test: int = 4) -> DataFrame:
+    """train(unit, fit, method, trial, label, x), test(unit, fit, condition, trial, label, x) -> (unit, condition, n_train, n_test,
+    balanced_accuracy, kappa, error), a row for each unit that has training trials and each condition.
+
+    conditions: which fit each belongs to. A unit's training and test trials of one fit meet in one task, where its decoder is
+    fitted once and applied to all conditions of that fit. Too few trials, one class, or trials with a value that is null or not finite:
+    null accuracy and the reason; trials of one condition don't touch the other conditions.
+    """
+
+    def stacked(x: pd.Series) -> np.ndarray:
+        # an empty condition still has the shape of trials
+        return np.stack([np.asarray(v, float).reshape(channels, -1) for v in x]) if len(x) else np.zeros((0, channels, 0))
+
+    def one(key: tuple, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        x, y, rows, ready = stacked(own["x"]), own["label"].to_numpy(), [], {}
+        bad = "training: too few trials" if len(x) < least_train or len(np.unique(y)) < 2 else None if np.isfinite(x).all() else "training: values that are not finite"
+        for name in sorted(c for c, fit in conditions.items() if fit == key[1]):
+            some = other[other["condition"] == name]
+            z = stacked(some["x"])
+            error = bad or (f"test: {len(z)} trials" if len(z) < least_test else None if np.isfinite(z).all() else "test: values that are not finite")
+            rows.append([key[0], name, len(x), len(z), None, None, error])
+            if error is None:
+                ready[name] = (len(rows) - 1, z, some["label"].to_numpy())
+        if ready:
+            try:
+                guess = predict(x, y, np.concatenate([z for _, z, _ in ready.values()]), own["method"].iloc[0])
+                for at, z, truth in ready.values():
+                    rows[at][4:6], guess = balanced_accuracy_kappa(truth, guess[: len(z)]), guess[len(z) :]
+            except (ValueError, np.linalg.LinAlgError) as e:
+                for at, *_ in ready.values():
+                    rows[at][6] = str(e)
+        return pd.DataFrame(rows, columns=["unit", "condition", "n_train", "n_test", "balanced_accuracy", "kappa", "error"])
+
+    schema = RESULT.replace("unit string, ", "unit string, condition string, ")
+    own = train.select("unit", "fit", "method", "label", "x")
+    # new names for columns that may come from the same table as the training trials
+    there = test.join(own.select("unit", "fit").distinct(), ["unit", "fit"], "left_semi").select(*[F.col(c).alias(c) for c in ("unit", "fit", "condition", "label", "x")])
+    return own.groupBy("unit", "fit").cogroup(there.groupBy("unit", "fit")).applyInPandas(one, schema)
+
+
 def _fold_units(trials: DataFrame, k: int) -> DataFrame:
     """Every fold of every unit as a unit of its own, in which that fold is the test set."""
     folds = stratified_folds(trials, k, ["unit"])

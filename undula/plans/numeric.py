@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.operators import decode, ged, inference, montage, quality, signal, spectral, stats
+from undula.plans import sweep
 from undula.plans.catalogue import SWEEP, diffs, r6, register, triple
 from undula.plans.sweep import run_subjects
 from undula.sources import adapters
@@ -209,16 +210,19 @@ def perm_test(spark, sf_dir):
 
 @register()
 def four_conditions(spark, sf_dir):
-    """Baseline, corrupted, reconstructed and rejected trials, each decoded as a unit of its own."""
-    t = split_trials(spark, sf_dir)
-    noise = F.transform("x", lambda v, i: v + F.sin(i + F.col("trial")) * 0.3)
-    kept = F.transform(noise, lambda v, i: v - F.sin(i + F.col("trial")) * 0.2)
-    conditions = {"baseline": F.col("x"), "corrupted": noise, "reconstruct": kept, "reject_keep": F.when(F.col("trial") % 7 != 0, kept)}
-    out = None
-    for name, x in conditions.items():
-        part = t.select(F.concat(F.lit(f"{name}/"), "unit").alias("unit"), "trial", "label", "train", x.alias("x")).where("x is not null")
-        out = part if out is None else out.union(part)
-    return decode.decode(out, 8).select("unit", "n_train", "n_test", *r6("balanced_accuracy", "kappa"), "error")
+    """Each user's days as trials, decoded as they are, with artifacts, cleaned by the kernel, and cleaned without noisy days.
+
+    A day's class is drawn by hash and makes one side's central electrode stronger; the decoder goes by the user's dataset.
+    """
+    rec, names, size, matrix = mixed_subjects(spark, sf_dir)
+    drawn = F.pmod(F.xxhash64("rec", F.floor(F.col("i") / FS_SUBJECT).cast("long"), F.lit(5)), F.lit(2))
+    felt = rec.withColumn("label", drawn.cast("int"))
+    felt = written(felt.withColumn("v", F.col("v") * F.when(F.col("ch") == F.when(F.col("label") == 0, "C3").otherwise("C4"), 2.5).otherwise(1.0)))
+    labels = felt.where(F.col("i") < size // FS_SUBJECT * FS_SUBJECT).select("rec", F.floor(F.col("i") / FS_SUBJECT).cast("long").alias("trial"), "label").distinct()
+    who = felt.select("rec").distinct()
+    methods = who.select("rec", F.when(adapters.subject_datasets(F.col("rec")) == "Weibo2014", "riemann").otherwise("csp").alias("method"))
+    rows = sweep.four_conditions(felt.drop("label"), labels, methods, names, size, matrix, FS_SUBJECT, [0.3, 0.5, 0.7, 0.9], written)
+    return rows.select("rec", "condition", "enova_threshold", "n_train", "n_test", *r6("balanced_accuracy", "kappa"), "error")
 
 
 @register()

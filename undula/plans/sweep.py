@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undula.operators import ged, inject, quality, signal, spectral
+from undula.operators import decode, ged, inject, quality, signal, spectral
 from undula.sources import io
 
 
@@ -100,6 +100,49 @@ def run_subjects(rec: DataFrame, names: list[str], size: int, matrix: np.ndarray
     return rows.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in MEASURES.split(", ")])
 
 
+def trials_of(rec: DataFrame, value: str, n: int) -> DataFrame:
+    """rec(rec, ch, i, value) -> (rec, trial, x) for each epoch of n samples, x channel after channel in order of names."""
+    samples = signal.to_epochs(rec.select("rec", "ch", "i", F.col(value).alias("v")), n)
+    held = F.array_sort(F.collect_list(F.struct("ch", "k", "v")))
+    return samples.groupBy("rec", F.col("epoch").alias("trial")).agg(F.transform(held, lambda s: s["v"]).alias("x"))
+
+
+def four_conditions(rec: DataFrame, labels: DataFrame, methods: DataFrame, names: list[str], size: int, matrix: np.ndarray, fs: int, thresholds: list[float], keep: Callable[[DataFrame], DataFrame], share: float = 0.5, folds: int = 3) -> DataFrame:
+    """rec(rec, ch, i, v), labels(rec, trial, label 0/1) of full epochs, methods(rec, method) -> (rec, condition, enova_threshold,
+    n_train, n_test, balanced_accuracy, kappa, error), a row for each recording, condition and, where it rejects, threshold.
+
+    Artifacts go into test epochs among the drawn ones; a fold's trials are the test. baseline and corrupted train on the input as it is, reconstruct
+    and reject_keep on the cleaned input and test on the cleaned corrupted signal, of which reject_keep leaves out epochs with
+    a noise share above the threshold. Both signals go through the kernel in one job. What can't be cleaned has rows with the reason.
+    """
+    dealt = keep(decode.stratified_folds(labels.withColumnRenamed("rec", "unit"), folds, ["unit"]).select(F.col("unit").alias("rec"), "trial", "label", (F.col("fold") != 0).alias("train")))
+    drawn = inject.drawn_epochs(rec, max(size // fs, 1), share, fs, fs)
+    drawn = drawn.join(dealt.where("not train").select("rec", F.col("trial").alias("epoch")), ["rec", "epoch"], "left_semi")
+    at = (F.array_position(F.array(*[F.lit(c) for c in names]).cast("array<string>"), F.col("ch")) - 1).cast("int")
+    injected = keep(inject.inject_drawn(rec.withColumn("ch_idx", at), drawn, fs, fs))
+    raw = injected.select(F.concat(F.lit("raw/"), "rec").alias("rec"), "ch", "i", (F.col("v") - F.col("artifact")).alias("v"))
+    both = keep(raw.union(injected.select(F.concat(F.lit("cor/"), "rec").alias("rec"), "ch", "i", "v")))
+    parts = keep(ged.clean_or_reason(both, matrix, fs, size, names=names, why=keep(ged.reasons(both, size))))
+    split = [F.substring("rec", 1, 3).alias("version"), F.expr("substring(rec, 5)").alias("rec")]
+    versions = [trials_of(df, value, fs).select(*split, F.lit(fit).alias("fit"), "trial", "x") for df, value, fit in ((both, "v", "raw"), (parts, "clean", "cleaned"))]
+    trials = keep(versions[0].union(versions[1]).join(dealt, ["rec", "trial"]))
+    shares = signal.enova_per_epoch(parts.where("error is null"), fs, size).select(*split, F.col("epoch").alias("trial"), "enova").where("version = 'cor'").drop("version")
+
+    train = trials.where("train and version = 'raw'").join(methods, "rec").withColumnRenamed("rec", "unit")
+    test = trials.where("not train").join(shares, ["rec", "trial"], "left")
+    raws, cors = (F.col("fit") == "raw"), (F.col("version") == "cor")
+    # a trial is in as many conditions as take it: those that reject ask for its noise share; without one it stays and its condition says why
+    passed = [(F.lit(f"reject_keep/{t}"), ~raws & cors & (F.coalesce("enova", F.lit(0.0)) <= t)) for t in thresholds]
+    takes = [(F.lit("baseline"), raws & ~cors), (F.lit("corrupted"), raws & cors), (F.lit("reconstruct"), ~raws & cors), *passed]
+    test = test.select(F.col("rec").alias("unit"), "fit", "trial", "label", "x", F.explode(F.array_compact(F.array(*[F.when(when, name) for name, when in takes]))).alias("condition"))
+    fits = {"baseline": "raw", "corrupted": "raw", "reconstruct": "cleaned"} | {f"reject_keep/{t}": "cleaned" for t in thresholds}
+    rows = decode.decode_conditions(train, test, len(names), fits)
+    reasons = parts.where("error is not null").groupBy(F.expr("substring(rec, 5)").alias("unit")).agg(F.min("error").alias("uncleaned"))
+    said = F.when(F.col("error").isNotNull() & F.col("condition").isin([c for c, fit in fits.items() if fit == "cleaned"]), F.coalesce("uncleaned", "error")).otherwise(F.col("error"))
+    name = F.split("condition", "/")
+    return rows.join(reasons, "unit", "left").select(F.col("unit").alias("rec"), name[0].alias("condition"), F.get(name, F.lit(1)).cast("double").alias("enova_threshold"), "n_train", "n_test", "balanced_accuracy", "kappa", said.alias("error"))
+
+
 def resumed(spark: SparkSession, path: str, requested: DataFrame, recordings: DataFrame, run: Callable[[DataFrame], DataFrame], batches: int = 1, most_batches: int | None = None) -> DataFrame:
     """A sweep that can be stopped and started again: runs the requested(rec) subjects of recordings that path has no
     partition of, in batches by hash, each written when it is done; gives all that path holds.
