@@ -238,7 +238,8 @@ def wilcoxon_p(spark, sf_dir):
 @register()
 def signed_rank_families(spark, sf_dir):
     """Every comparison of thresholds: exact or normal tails, corrected within its family; stars for the pairs' Bonferroni p, else for the raw one."""
-    d = stats.family_differences(adapters.sweep(spark, sf_dir), "ba_rej", "ba_rec", 0.09)
+    # read eight times below
+    d = stats.family_differences(written(adapters.sweep(spark, sf_dir)), "ba_rej", "ba_rec", 0.09)
     tests = inference.signed_rank_test(d, ["family", "dataset", "t1", "t2"])
     keyed = tests.withColumn("key", F.concat_ws("/", "dataset", F.format_number("t1", 2), F.format_number("t2", 2)))
     out = stats.benjamini_hochberg(keyed, by=("family",))
