@@ -53,6 +53,22 @@ def bounded_minimum(f, lo: float, hi: float, tolerance: float = 1e-2) -> float:
     return (a + b) / 2
 
 
+def bounded_minima(f, lo: np.ndarray, hi: np.ndarray, tolerance: float = 1e-2) -> np.ndarray:
+    """bounded_minimum() of many functions at once: f takes and gives an array with an item for each, and so do lo and hi."""
+    g = (5**0.5 - 1) / 2
+    a, b = lo, hi
+    c, d = b - g * (b - a), a + g * (b - a)
+    fc, fd = f(c), f(d)
+    while (b - a > tolerance).any():
+        left = fc <= fd
+        a, b = np.where(left, a, c), np.where(left, d, b)
+        new = np.where(left, b - g * (b - a), a + g * (b - a))
+        c, d, known = np.where(left, new, d), np.where(left, c, new), np.where(left, fc, fd)
+        at = f(new)
+        fc, fd = np.where(left, at, known), np.where(left, known, at)
+    return (a + b) / 2
+
+
 def akima(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Akima's interpolation of 1970; a straight line for two points, a constant for one. Beyond the ends: the end's cubic."""
     x, first = np.unique(x, return_index=True)

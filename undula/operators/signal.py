@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,10 +78,36 @@ def haar_bands(rec: DataFrame, n: int, levels: int, also: tuple[str, ...] = ())
     return s.select(*CHANNEL, "i", *also, F.explode(F.array(*bands)).alias("b")).select(*CHANNEL, "i", *also, "b.band", "b.v")
 
 
+def smooth_stack(x: np.ndarray, levels: int) -> list[np.ndarray]:
+    """a0 ... a_levels of smooth_levels() along the last axis of an array."""
+    out = [x]
+    for j in range(levels):
+        a, k = out[-1], 2**j
+        out.append(0.5 * a + 0.25 * np.roll(a, k, -1) + 0.25 * np.roll(a, -k, -1))
+    return out
+
+
+def haar_stack(x: np.ndarray, levels: int) -> list[np.ndarray]:
+    """haar_bands() along the last axis of an array."""
+    a = smooth_stack(x, levels)
+    return [a[j - 1] - a[j] for j in range(1, levels + 1)] + [a[levels]]
+
+
+def highpass_stack(x: np.ndarray, fs: float, lowcut: float) -> np.ndarray:
+    """wavelet_highpass() along the last axis of an array."""
+    first = passed_level(x.shape[-1], fs, lowcut)
+    return x if first is None else x - smooth_stack(x, first - 1)[-1]
+
+
+def passed_level(n: int, fs: float, lowcut: float) -> int | None:
+    """The first level whose band ends at or below lowcut."""
+    deepest = min(max(math.ceil(math.log2(fs / 0.1) - 1), 3), math.floor(math.log2(n)))
+    return next((j for j in range(1, deepest + 1) if fs / 2**j <= lowcut), None)
+
+
 def wavelet_highpass(rec: DataFrame, n: int, fs: float, lowcut: float) -> DataFrame:
     """Takes away the bands that end at or below lowcut: by telescoping, one smooth."""
-    deepest = min(max(math.ceil(math.log2(fs / 0.1) - 1), 3), math.floor(math.log2(n)))
-    first = next((j for j in range(1, deepest + 1) if fs / 2**j <= lowcut), None)
+    first = passed_level(n, fs, lowcut)
     if first is None:
         return rec.select(*CHANNEL, "i", "v")
     s = smooth_levels(rec, n, first - 1)

@@ -52,6 +52,39 @@ def event_span(spark: SparkSession, sf_dir: str, hours: int) -> tuple[list[str],
     return row["names"], row["start"] or START, row["bins"] or 0
 
 
+def partitions(spark: SparkSession) -> int:
+    """How many tasks share rows that are few or small but take long each; merging them by their size would leave cores idle."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def subject_rows(spark: SparkSession, sf_dir: str, hours: int = 3) -> tuple[DataFrame, list[str], int]:
+    """subject_recordings() with a row for each user: (rec, ch, x, error), x an array of `size` samples for each channel of ch; error is null.
+
+    Only bins with events are shuffled and grouped; the lines between them are drawn within the row.
+    """
+    names, start, size = event_span(spark, sf_dir, hours)
+    at = F.floor(F.timestamp_diff("HOUR", F.lit(start).cast("timestamp_ntz"), F.col("ts")) / hours).cast("long")
+    events = table(spark, sf_dir, "events").where("ts is not null and user_id is not null and event_type is not null")
+    cells = events.groupBy(F.col("user_id").cast("string").alias("rec"), F.col("event_type").alias("ch"), at.alias("i")).agg(F.avg("value").alias("v"))
+    knots = F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("i", "v"))))
+    per = cells.repartition(partitions(spark), "rec").groupBy("rec", "ch").agg(knots.alias("knots")).groupBy("rec").agg(F.collect_list(F.struct("ch", "knots")).alias("own"))
+    first, last = (F.struct(F.lit(i).cast("long").alias("i"), F.lit(0.0).alias("v")) for i in (-1, size))
+    # a null that a channel without events gives makes an empty array
+    own = F.transform(F.col("ch"), lambda c: F.concat(F.array(first), F.coalesce(F.get(F.filter("own", lambda o: o["ch"] == c), F.lit(0))["knots"], F.expr("array()")), F.array(last)))
+
+    def piece(p: Column, q: Column) -> Column:
+        """The samples after knot p up to q, as a line; q's own value comes as it is."""
+        line = lambda i: F.when(i == q["i"], q["v"]).otherwise(p["v"] + (q["v"] - p["v"]) * (i - p["i"]) / (q["i"] - p["i"]))
+        return F.transform(F.sequence(p["i"] + 1, q["i"]), line)
+
+    def drawn(knots: Column) -> Column:
+        pieces = F.zip_with(F.slice(knots, F.lit(1), F.size(knots) - 1), F.slice(knots, F.lit(2), F.size(knots) - 1), piece)
+        return F.slice(F.flatten(pieces), F.lit(1), F.lit(max(size, 1)))
+
+    rows = per.withColumn("ch", F.array(*[F.lit(c) for c in names]).cast("array<string>")).select("rec", "ch", own.alias("knots"))
+    return rows.select("rec", "ch", F.transform("knots", drawn).alias("x"), F.lit(None).cast("string").alias("error")), names, size
+
+
 def subject_recordings(spark: SparkSession, sf_dir: str, hours: int = 3) -> tuple[DataFrame, list[str], int]:
     """A recording for each user, with its channel names and length: a channel for each event type, sampled every `hours`
     hours over the time that the table spans. A sample is the mean of the bin's values; between such bins the signal is a
@@ -59,21 +92,9 @@ def subject_recordings(spark: SparkSession, sf_dir: str, hours: int = 3) -> tupl
 
     Events without a user, type or time are left out. An empty table gives no recordings.
     """
-    names, start, size = event_span(spark, sf_dir, hours)
-    at = F.floor(F.timestamp_diff("HOUR", F.lit(start).cast("timestamp_ntz"), F.col("ts")) / hours).cast("long")
-    events = table(spark, sf_dir, "events").where("ts is not null and user_id is not null and event_type is not null")
-    cells = events.groupBy(F.col("user_id").cast("string").alias("rec"), F.col("event_type").alias("ch"), at.alias("i")).agg(F.avg("value").alias("v"))
-    channels = F.explode(F.array(*[F.lit(c) for c in names]).cast("array<string>"))
-    grid = events.select(F.col("user_id").cast("string").alias("rec")).distinct().select("rec", channels.alias("ch"))
-    grid = grid.select("rec", "ch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(size - 1, 0)).cast("long"))).alias("i"))
-    by = Window.partitionBy("rec", "ch").orderBy("i")
-    knot = F.when(F.col("v").isNotNull(), F.struct("i", "v"))
-    ends = [F.struct(F.lit(i).cast("long").alias("i"), F.lit(0.0).alias("v")) for i in (-1, size)]
-    before = F.coalesce(F.last(knot, ignorenulls=True).over(by), ends[0])
-    after = F.coalesce(F.first(knot, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)), ends[1])
-    row = grid.join(cells, ["rec", "ch", "i"], "left").select("rec", "ch", "i", "v", before.alias("p"), after.alias("q"))
-    line = F.col("p.v") + (F.col("q.v") - F.col("p.v")) * (F.col("i") - F.col("p.i")) / (F.col("q.i") - F.col("p.i"))
-    return row.select("rec", "ch", "i", F.coalesce("v", line).alias("v")), names, size
+    rows, names, size = subject_rows(spark, sf_dir, hours)
+    per = rows.select("rec", F.explode(F.arrays_zip("ch", "x")).alias("c"))
+    return per.select("rec", F.col("c.ch").alias("ch"), F.posexplode("c.x").alias("i", "v")).withColumn("i", F.col("i").cast("long")), names, size
 
 
 #: Places of eight electrodes of the 10-20 system on the unit sphere.
