@@ -39,3 +39,44 @@ def test_scores_looked_up_equal_scores_made():
         assert ged.mean_score(size[None], scores[None], np.array([theta]))[0] == pytest.approx(ged.sensai(s, r, pcs, theta, 3.0), abs=1e-6)
     seen = linalg.bounded_minima(lambda x: (x - np.array([3.3, 7.0])) ** 2, np.zeros(2), np.full(2, 10.0))
     assert list(seen) == [linalg.bounded_minimum(lambda x: (x - at) ** 2, 0, 10) for at in (3.3, 7.0)]
+
+
+def test_permutations_need_no_join_and_deal_as_before(spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from undula.operators import decode
+
+    trials = numeric.embedded_trials(spark, SF).where("unit in ('0', '1')")
+    df = decode.permutation_test(trials, 8, permutations=4)
+    assert "Join" not in plan(df) and "Window" not in plan(df)
+    got = {r["unit"]: (r["observed"], r["p"]) for r in df.collect()}
+    rows = trials.select("*", *[F.xxhash64("trial", F.lit(k), F.lit(7)).alias(f"h{k}") for k in range(1, 5)]).collect()
+    for unit in "01":
+        own = sorted((r for r in rows if r["unit"] == unit), key=lambda r: r["trial"])
+        x = np.array([r["x"] for r in own]).reshape(len(own), 8, 8)
+        means = []
+        for k in range(5):
+            y = np.array([r["label"] for r in (sorted(own, key=lambda r: (r[f"h{k}"], r["trial"])) if k else own)])
+            fold = np.empty(len(own), int)
+            for g, f in itertools.product((0, 1), (0,)):
+                at = sorted(np.flatnonzero(y == g), key=lambda j: ((own[j]["trial"] * 7919 + 42) % 10007, own[j]["trial"]))
+                fold[at] = np.arange(1, len(at) + 1) % 3
+            means.append(np.mean([decode.balanced_accuracy_kappa(y[fold == f], decode.predict(x[fold != f], y[fold != f], x[fold == f], "csp"))[0] for f in range(3)]))
+        assert got[unit] == pytest.approx((means[0], np.mean([m >= means[0] for m in means[1:]])))
+
+
+def test_spectra_of_many_channels_equal_each(spark):
+    from undula.operators import spectral
+
+    rng = np.random.default_rng(6)
+    x = {("a", "p"): rng.normal(size=40), ("a", "q"): rng.normal(size=40), ("b", "p"): rng.normal(size=9)}
+    df = spark.createDataFrame([(*k, i, float(v)) for k, w in x.items() for i, v in enumerate(w)], "rec string, ch string, i long, v double")
+    got = {}
+    for r in spectral.psd(df, 8.0, 16).collect():
+        got.setdefault((r["rec"], r["ch"]), {})[r["freq"]] = r["power"]
+    for k, w in x.items():
+        f, p = spectral.welch(w, 8.0, 16)
+        assert np.allclose([got[k][v] for v in f], p) and len(got[k]) == len(f)
+    assert "FlatMapGroupsInPandas" not in plan(spectral.psd(df, 8.0))

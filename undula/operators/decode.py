@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.operators import linalg
+from undula.sources import adapters
 
 
 def stratified_split(trials: DataFrame, share: float, seed: int = 42) -> DataFrame:
@@ -163,29 +165,88 @@ def decode_conditions(train: DataFrame, test: DataFrame, channels: int, conditio
     return own.groupBy("unit", "fit").cogroup(there.groupBy("unit", "fit")).applyInPandas(one, schema)
 
 
-def _fold_units(trials: DataFrame, k: int) -> DataFrame:
-    """Every fold of every unit as a unit of its own, in which that fold is the test set."""
-    folds = stratified_folds(trials, k, ["unit"])
-    copies = folds.withColumn("test", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return copies.withColumn("train", F.col("fold") != F.col("test")).withColumn("unit", F.concat_ws("/", "unit", F.col("test").cast("string")))
+def fold_scores(trials: DataFrame, channels: int, k: int, method: str, least_train: int = 8, seed: int = 42) -> DataFrame:
+    """(unit, balanced_accuracy, kappa), a row for each fold of each unit, null where it fails. Trials are dealt to folds as by
+    stratified_folds(), in the unit's task. Where trials have a column deal, the labels, in the order of their trials' deal,
+    first go to the unit's trials in order of their numbers."""
+
+    def one(t: pa.Table) -> pa.Table:
+        n = t.num_rows
+        x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, channels, -1)
+        number, label = t.column("trial").to_numpy(), t.column("label").to_numpy()
+        if dealt:
+            y = np.empty_like(label)
+            y[np.argsort(number, kind="stable")] = label[np.lexsort((number, t.column("deal").to_numpy()))]
+            label = y
+        fold = np.empty(n, int)
+        for g in np.unique(label):
+            at = np.flatnonzero(label == g)
+            at = at[np.lexsort((number[at], np.fmod(number[at] * 7919 + seed, 10007)))]
+            fold[at] = np.arange(1, len(at) + 1) % k
+        scores = []
+        made = prepared(x, method)
+        for f in range(k):
+            own, test = fold != f, fold == f
+            if not test.any() or own.sum() < least_train or len(np.unique(label[own])) < 2:
+                scores.append((None, None))
+                continue
+            try:
+                scores.append(balanced_accuracy_kappa(label[test], predict_prepared(made, own, test, label, method)))
+            except (ValueError, np.linalg.LinAlgError):
+                scores.append((None, None))
+        return pa.table({"unit": pa.array([t.column("unit")[0].as_py()] * k, pa.string()), **{c: pa.array([s[j] for s in scores], pa.float64()) for j, c in enumerate(("balanced_accuracy", "kappa"))}})
+
+    dealt = "deal" in trials.columns
+    rows = trials.select("unit", F.col("trial").cast("long").alias("trial"), F.col("label").cast("int").alias("label"), "x", *(["deal"] if dealt else []))
+    return rows.groupBy("unit").applyInArrow(one, "unit string, balanced_accuracy double, kappa double")
+
+
+def prepared(x: np.ndarray, method: str) -> tuple[np.ndarray, ...]:
+    """What every fold needs of its trials, made once: for csp their shrunk covariances and plain ones, else the trials."""
+    if method != "csp":
+        return (x,)
+    d = x - x.mean(-1, keepdims=True)
+    n, p = x.shape[-1], x.shape[1]
+    s = d @ np.swapaxes(d, -1, -2) / n
+    mu = np.trace(s, axis1=-2, axis2=-1) / p
+    flat = mu[:, None, None] * np.eye(p)
+    delta = ((s - flat) ** 2).sum((-2, -1)) / p
+    beta = np.minimum((d**2 @ np.swapaxes(d**2, -1, -2) / n - s**2).sum((-2, -1)) / (p * n), delta)
+    by = np.divide(beta, delta, out=np.zeros_like(beta), where=delta != 0)[:, None, None]
+    return (1 - by) * s + by * flat, s
+
+
+def predict_prepared(made: tuple[np.ndarray, ...], own: np.ndarray, test: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
+    """predict() from prepared() trials, of which own train and test are asked."""
+    if method != "csp":
+        return predict(made[0][own], y[own], made[0][test], method)
+    shrunk, plain = made
+    c = [shrunk[own & (y == g)].mean(0) for g in (0, 1)]
+    values, vectors = linalg.generalized(c[0][None], c[0] + c[1])
+    w = vectors[0][:, np.argsort(np.abs(values[0] - 0.5))[::-1][: patterns_for(plain.shape[1])]]
+    # a pattern's variance over a trial follows from the trial's covariance
+    features = np.log(np.maximum(((plain @ w) * w).sum(-2), 1e-300))
+    weights, threshold = lda(features[own], y[own])
+    return (features[test] @ weights > threshold).astype(int)
 
 
 def cross_validate(trials: DataFrame, channels: int, k: int = 5, method: str = "csp") -> DataFrame:
     """Mean, deviation and percentile range of the folds' accuracies; failed folds are left out, all failed gives nulls."""
-    scored = decode(_fold_units(trials, k), channels, method, least_test=1).withColumn("unit", F.regexp_replace("unit", "/[^/]*$", ""))
+    scored = fold_scores(trials, channels, k, method)
     ba = "balanced_accuracy"
     q = F.percentile(ba, F.array(F.lit(0.025), F.lit(0.975)))
     return scored.groupBy("unit").agg(F.avg(ba).alias("mean"), F.stddev_pop(ba).alias("std"), F.avg("kappa").alias("kappa"), q[0].alias("lo"), q[1].alias("hi"), F.count(ba).alias("n_folds"))
 
 
 def permutation_test(trials: DataFrame, channels: int, permutations: int = 100, k: int = 3, method: str = "csp", seed: int = 7) -> DataFrame:
-    """(unit, observed, p): share of label shuffles that decode at least as well. Every shuffle is a unit of its own."""
-    copies = trials.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(permutations)))).withColumn("own", F.col("unit"))
-    # a shuffle deals the labels, in their own order, to the trials in a hashed order; number 0 is as it was
-    by_trial, by_hash = Window.partitionBy("own", "shuffle").orderBy("trial"), Window.partitionBy("own", "shuffle").orderBy(F.xxhash64("trial", "shuffle", F.lit(seed)), "trial")
-    placed = copies.withColumn("a", F.row_number().over(by_trial)).withColumn("b", F.when(F.col("shuffle") == 0, F.col("a")).otherwise(F.row_number().over(by_hash)))
-    labels = placed.select("own", "shuffle", F.col("b").alias("a"), F.col("label").alias("dealt"))
-    shuffled = placed.drop("b").join(labels, ["own", "shuffle", "a"]).select(F.concat_ws("#", "own", "shuffle").alias("unit"), "trial", F.col("dealt").alias("label"), "x")
+    """(unit, observed, p): share of label shuffles that decode at least as well. Every shuffle is a unit of its own: a task gets its
+    trials once, deals their labels by hash and scores all folds."""
+    copies = trials.select(F.col("unit").alias("own"), "trial", "label", "x", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("shuffle"))
+    # a shuffle deals the labels, in the hashed order, to the trials in order of their numbers; number 0 is as it was
+    deal = F.when(F.col("shuffle") == 0, F.col("trial")).otherwise(F.xxhash64("trial", "shuffle", F.lit(seed)))
+    shuffled = copies.select(F.concat_ws("#", "own", "shuffle").alias("unit"), "trial", "label", deal.alias("deal"), "x").repartition(adapters.partitions(trials.sparkSession), "unit")
     scores = cross_validate(shuffled, channels, k, method).select(F.split("unit", "#")[0].alias("unit"), F.split("unit", "#")[1].cast("int").alias("shuffle"), "mean")
-    seen = scores.where("shuffle = 0").select("unit", F.col("mean").alias("observed"))
-    return scores.where("shuffle > 0").join(seen, "unit").groupBy("unit", "observed").agg(F.avg((F.col("mean") >= F.col("observed")).cast("double")).alias("p"))
+    own = F.max(F.when(F.col("shuffle") == 0, F.col("mean")))
+    by = scores.groupBy("unit").agg(own.alias("observed"), F.collect_list(F.when(F.col("shuffle") > 0, F.struct("mean"))).alias("others"))
+    each = by.select("unit", "observed", F.explode("others").alias("o"))
+    return each.groupBy("unit", "observed").agg(F.avg((F.col("o.mean") >= F.col("observed")).cast("double")).alias("p"))
