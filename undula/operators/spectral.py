@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,20 +98,36 @@ def standard_preprocess(rec: DataFrame, fs: float, low: float = 1.0, high: float
     return average_reference(out) if reference else out
 
 
-def psd(rec: DataFrame, fs: float, segment: int = 256) -> DataFrame:
-    """(rec, ch, freq, power)."""
+def _spectra(rec: DataFrame, fs: float, segment: int) -> DataFrame:
+    """(rec, ch, freq, power), the latter two arrays: a row for each channel, whose task takes many channels of one length at a time."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, p = welch(pdf.sort_values("i")["v"].to_numpy(), fs, segment)
-        return pd.DataFrame({"rec": pdf["rec"].iloc[0], "ch": pdf["ch"].iloc[0], "freq": f, "power": p})
+    def run(batches):
+        for batch in batches:
+            x, size = batch.column("x"), pc.list_value_length(batch.column("x")).to_numpy(zero_copy_only=False)
+            values, ends = x.flatten().to_numpy(zero_copy_only=False), np.cumsum(size)
+            out: list = [None] * len(size)
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                f, p = welch(np.stack([values[ends[k] - n : ends[k]] for k in at]), fs, segment)
+                for k, q in zip(at, p, strict=True):
+                    out[k] = (f, q)
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("rec"), batch.column("ch"), *(pa.array([o[j] for o in out], kind) for j in (0, 1))], names=["rec", "ch", "freq", "power"])
+
+    held = F.array_sort(F.collect_list(F.struct("i", "v")))
+    return rec.groupBy("rec", "ch").agg(held.alias("s")).select("rec", "ch", F.col("s.v").alias("x")).mapInArrow(run, "rec string, ch string, freq array<double>, power array<double>")
 
-    return rec.select("rec", "ch", "i", "v").groupBy("rec", "ch").applyInPandas(one, "rec string, ch string, freq double, power double")
+
+def psd(rec: DataFrame, fs: float, segment: int = 256) -> DataFrame:
+    """(rec, ch, freq, power)."""
+    return _spectra(rec, fs, segment).select("rec", "ch", F.inline(F.arrays_zip("freq", "power")))
 
 
 def band_power(rec: DataFrame, fs: float, low: float, high: float) -> DataFrame:
     """Mean density over the bins from low to high, both included; 0 without a bin."""
-    inside = F.col("freq").between(low, high)
-    return psd(rec, fs).groupBy("rec", "ch").agg(F.coalesce(F.avg(F.when(inside, F.col("power"))), F.lit(0.0)).alias("power"))
+    inside = F.filter(F.arrays_zip("freq", "power"), lambda b: b["freq"].between(low, high))["power"]
+    mean = F.aggregate(inside, F.lit(0.0), lambda total, p: total + p) / F.size(inside)
+    return _spectra(rec, fs, 256).select("rec", "ch", F.when(F.size(inside) > 0, mean).otherwise(0.0).alias("power"))
 
 
 def _two(triple: DataFrame, a: str, b: str):
