@@ -103,13 +103,10 @@ ELECTRODES = [("Fp1", -0.31, 0.95, 0.03), ("Fp2", 0.31, 0.95, 0.03), ("F3", -0.5
 TAPS, MOST_BINS = 24, 100_000
 
 
-def mixed_recordings(spark: SparkSession, sf_dir: str, mixing: list[list[float]], hours: int = 3, sensor_noise: float = 0.02) -> tuple[DataFrame, int]:
-    """A recording for each user of sources mixed into ELECTRODES, and its length.
+def mixed_samples(spark: SparkSession, sf_dir: str, mixing: list[list[float]], hours: int = 3, sensor_noise: float = 0.02) -> tuple[DataFrame, int]:
+    """mixed_recordings() with a row for each sample: (rec, i, v), v the array of all ELECTRODES' values in their order.
 
-    Every event sets off a damped oscillation in each source, with strength, pitch and phase drawn by hash, so sources are
-    alike in power and not correlated; sensors are mixing (electrodes by sources) times sources, and so have about mixing
-    times its transpose as their covariance, plus a little noise of each electrode's own. Events without a user or a
-    time are left out; a value that isn't a number spoils its user's recording alone. An empty table gives no recordings.
+    Only events are shuffled, to their user; what follows is done where they are.
     """
     _, start, size = event_span(spark, sf_dir, hours)
     if size > MOST_BINS:
@@ -117,15 +114,32 @@ def mixed_recordings(spark: SparkSession, sf_dir: str, mixing: list[list[float]]
     events = table(spark, sf_dir, "events").where("ts is not null and user_id is not null and event_type is not null")
     at = F.floor(F.timestamp_diff("HOUR", F.lit(start).cast("timestamp_ntz"), F.col("ts")) / hours).cast("long")
     drawn = lambda k, salt: F.pmod(F.xxhash64("event_id", F.lit(k), F.lit(salt)), F.lit(1 << 32)) / float(1 << 32)
-    taps = events.select(F.col("user_id").cast("string").alias("rec"), "event_id", F.coalesce("value", F.lit(0.0)).alias("x"), at.alias("at"), F.explode(F.sequence(F.lit(0), F.lit(TAPS - 1))).alias("j"))
-    taps = taps.withColumn("i", F.col("at") + F.col("j")).where(F.col("i") < size)
+    own = events.select(F.col("user_id").cast("string").alias("rec"), "event_id", F.coalesce("value", F.lit(0.0)).alias("x"), at.alias("at")).repartition(partitions(spark), "rec")
+    # an event is felt in TAPS samples; a user's first event brings the whole grid along, in which nothing is felt
+    first = F.row_number().over(Window.partitionBy("rec").orderBy("at", "event_id")) == 1
+    tap = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("int").alias("j"))
+    felt_in = F.transform(F.sequence(F.lit(0), F.lit(TAPS - 1)), lambda j: tap(F.col("at") + j, j))
+    grid = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max(size - 1, 0)).cast("long")), lambda i: tap(i, F.lit(None)))
+    taps = own.withColumn("first", first).select("rec", "event_id", "x", F.explode(F.when(F.col("first"), F.concat(grid, felt_in)).otherwise(felt_in)).alias("t"))
+    taps = taps.select("rec", "event_id", "x", "t.i", "t.j").where(F.col("i") < size)
     felt = lambda k: F.sqrt(F.abs("x")) * (2 * drawn(k, 1) - 1) * F.exp(-F.col("j") / 8) * F.sin(2 * math.pi * ((0.05 + 0.4 * drawn(k, 2)) * F.col("j") + drawn(k, 3)))
     n = len(mixing[0])
-    sources = taps.groupBy("rec", "i").agg(*[F.sum(felt(k)).alias(f"s{k}") for k in range(n)])
-    grid = events.select(F.col("user_id").cast("string").alias("rec")).distinct().select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(size - 1, 0)).cast("long"))).alias("i"))
-    sensors = [F.struct(F.lit(c[0]).alias("ch"), sum((F.coalesce(f"s{k}", F.lit(0.0)) * w for k, w in enumerate(row)), F.lit(0.0)).alias("v")) for c, row in zip(ELECTRODES, mixing, strict=True)]
-    rows = grid.join(sources, ["rec", "i"], "left").select("rec", "i", F.explode(F.array(*sensors)).alias("c")).select("rec", "c.ch", "i", "c.v")
-    return rows.withColumn("v", F.col("v") + sensor_noise * normal(7, F.col("rec"), F.col("ch"), F.col("i"))), size
+    sources = taps.groupBy("rec", "i").agg(*[F.sum(F.when(F.col("j").isNotNull(), felt(k))).alias(f"s{k}") for k in range(n)])
+    sensors = [sum((F.coalesce(f"s{k}", F.lit(0.0)) * w for k, w in enumerate(row)), F.lit(0.0)) + sensor_noise * normal(7, F.col("rec"), F.lit(c[0]), F.col("i")) for c, row in zip(ELECTRODES, mixing, strict=True)]
+    return sources.select("rec", "i", F.array(*sensors).alias("v")), size
+
+
+def mixed_recordings(spark: SparkSession, sf_dir: str, mixing: list[list[float]], hours: int = 3, sensor_noise: float = 0.02) -> tuple[DataFrame, int]:
+    """A recording for each user of sources mixed into ELECTRODES, and its length.
+
+    Every event sets off a damped oscillation in each source, with strength, pitch and phase drawn by hash, so sources are
+    alike in power and not correlated; sensors are mixing (electrodes by sources) times sources, and so have about mixing
+    times its transpose as their covariance, plus a little noise of each electrode's own. Events without a user or a
+    time are left out; a value that isn't a number spoils its user's recording alone. An empty table gives no recordings.
+    """
+    samples, size = mixed_samples(spark, sf_dir, mixing, hours, sensor_noise)
+    sensors = F.array(*[F.struct(F.lit(c[0]).alias("ch"), F.col("v")[k].alias("v")) for k, c in enumerate(ELECTRODES)])
+    return samples.select("rec", "i", F.explode(sensors).alias("c")).select("rec", "c.ch", "i", "c.v"), size
 
 
 def normal(seed: int, *key: Column) -> Column:
