@@ -80,3 +80,24 @@ def test_spectra_of_many_channels_equal_each(spark):
         f, p = spectral.welch(w, 8.0, 16)
         assert np.allclose([got[k][v] for v in f], p) and len(got[k]) == len(f)
     assert "FlatMapGroupsInPandas" not in plan(spectral.psd(df, 8.0))
+
+
+def test_a_mean_at_the_limit_is_the_same_in_any_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from undula.sources import adapters
+
+    # in doubles, fiftieths added up in another order differ in their last bits
+    rows = [(k, 1, "A", float(q), 0.09, 0.0) for k, q in enumerate([1, 50, 7, 33, 46, 3, 29, 41, 13, 37, 50, 50, 49, 39])]
+    seen = set()
+    for turn in range(len(rows)):
+        path = f"{tmp_path}/{turn}"
+        df = spark.createDataFrame(rows[turn:] + rows[:turn], "k long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double, l_tax double")
+        df.coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+        seen.add(adapters.sweep(spark, path).select(F.col("ba_rej")).first()[0])
+    assert seen == {448 / 14 / 50}
+
+
+def test_splines_need_no_join_of_samples(spark):
+    # the grid came by a join, and samples were paired with all weights
+    assert "Join" not in plan(numeric.spline_interpolation(spark, SF))
