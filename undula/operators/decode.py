@@ -64,7 +64,11 @@ def _power(c: np.ndarray, f) -> np.ndarray:
 
 def tangent_features(train: np.ndarray, other: np.ndarray, steps: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Covariances as vectors in the tangent space at the training set's Riemannian mean."""
-    a, b = (np.stack([ledoit_wolf(x.T) for x in z]) for z in (train, other))
+    return tangent_space(*(np.stack([ledoit_wolf(x.T) for x in z]) for z in (train, other)), steps)
+
+
+def tangent_space(a: np.ndarray, b: np.ndarray, steps: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """tangent_features() from the trials' shrunk covariances."""
     mean = a.mean(0)
     for _ in range(steps):
         root, back = _power(mean, np.sqrt), _power(mean, lambda v: v**-0.5)
@@ -98,6 +102,8 @@ def predict(train: np.ndarray, y: np.ndarray, test: np.ndarray, method: str) ->
     return (b @ w > c).astype(int)
 
 
+#: The ways of predict().
+METHODS = ("csp", "riemann")
 RESULT = "unit string, n_train int, n_test int, balanced_accuracy double, kappa double, error string"
 
 
@@ -125,6 +131,27 @@ def decode(trials: DataFrame, channels: int, method: str = "csp", least_train: i
     return trials.groupBy("unit").applyInPandas(one, RESULT)
 
 
+def condition_scores(made: tuple[np.ndarray, ...], finite: np.ndarray, y: np.ndarray, own: np.ndarray, tests: dict[str, np.ndarray], method: str, least_train: int = 8, least_test: int = 4) -> dict[str, tuple]:
+    """prepared() trials, whether each is finite, their labels, those to train on and those of each condition -> for each condition
+    n_train, n_test, balanced accuracy, kappa and what went wrong. The decoder is fitted once and asked once about a trial."""
+    n, out, ready = int(own.sum()), {}, np.zeros(len(y), bool)
+    bad = "training: too few trials" if n < least_train or len(np.unique(y[own])) < 2 else None if finite[own].all() else "training: values that are not finite"
+    for name, test in tests.items():
+        m = int(test.sum())
+        error = bad or (f"test: {m} trials" if m < least_test else None if finite[test].all() else "test: values that are not finite")
+        out[name] = (n, m, None, None, error)
+        if error is None:
+            ready |= test
+    if ready.any():
+        guess = np.zeros(len(y), int)
+        try:
+            guess[ready] = predict_prepared(made, own, ready, y, method)
+            out |= {name: (n, int(t.sum()), *balanced_accuracy_kappa(y[t], guess[t]), None) for name, t in tests.items() if out[name][-1] is None}
+        except (ValueError, np.linalg.LinAlgError) as e:
+            out |= {name: (*o[:-1], str(e)) for name, o in out.items() if o[-1] is None}
+    return out
+
+
 def decode_conditions(train: DataFrame, test: DataFrame, channels: int, conditions: dict[str, str], least_train: int = 8, least_test: int = 4) -> DataFrame:
     """train(unit, fit, method, trial, label, x), test(unit, fit, condition, trial, label, x) -> (unit, condition, n_train, n_test,
     balanced_accuracy, kappa, error), a row for each unit that has training trials and each condition.
@@ -134,29 +161,16 @@ def decode_conditions(train: DataFrame, test: DataFrame, channels: int, conditio
     null accuracy and the reason; trials of one condition don't touch the other conditions.
     """
 
-    def stacked(x: pd.Series) -> np.ndarray:
-        # an empty condition still has the shape of trials
-        return np.stack([np.asarray(v, float).reshape(channels, -1) for v in x]) if len(x) else np.zeros((0, channels, 0))
+    def stacked(x: list) -> np.ndarray:
+        return np.stack([np.asarray(v, float).reshape(channels, -1) for v in x])
 
     def one(key: tuple, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        x, y, rows, ready = stacked(own["x"]), own["label"].to_numpy(), [], {}
-        bad = "training: too few trials" if len(x) < least_train or len(np.unique(y)) < 2 else None if np.isfinite(x).all() else "training: values that are not finite"
-        for name in sorted(c for c, fit in conditions.items() if fit == key[1]):
-            some = other[other["condition"] == name]
-            z = stacked(some["x"])
-            error = bad or (f"test: {len(z)} trials" if len(z) < least_test else None if np.isfinite(z).all() else "test: values that are not finite")
-            rows.append([key[0], name, len(x), len(z), None, None, error])
-            if error is None:
-                ready[name] = (len(rows) - 1, z, some["label"].to_numpy())
-        if ready:
-            try:
-                guess = predict(x, y, np.concatenate([z for _, z, _ in ready.values()]), own["method"].iloc[0])
-                for at, z, truth in ready.values():
-                    rows[at][4:6], guess = balanced_accuracy_kappa(truth, guess[: len(z)]), guess[len(z) :]
-            except (ValueError, np.linalg.LinAlgError) as e:
-                for at, *_ in ready.values():
-                    rows[at][6] = str(e)
-        return pd.DataFrame(rows, columns=["unit", "condition", "n_train", "n_test", "balanced_accuracy", "kappa", "error"])
+        x = stacked([*own["x"], *other["x"]])
+        y = np.concatenate([own["label"].to_numpy(), other["label"].to_numpy()])
+        trained, of = np.arange(len(x)) < len(own), np.array([None] * len(own) + list(other["condition"]), object)
+        tests = {name: of == name for name in sorted(c for c, fit in conditions.items() if fit == key[1])}
+        scores = condition_scores(prepared(x), np.isfinite(x).all((1, 2)), y, trained, tests, own["method"].iloc[0], least_train, least_test)
+        return pd.DataFrame([(key[0], name, *s) for name, s in scores.items()], columns=["unit", "condition", "n_train", "n_test", "balanced_accuracy", "kappa", "error"])
 
     schema = RESULT.replace("unit string, ", "unit string, condition string, ")
     own = train.select("unit", "fit", "method", "label", "x")
@@ -178,13 +192,9 @@ def fold_scores(trials: DataFrame, channels: int, k: int, method: str, least_tra
             y = np.empty_like(label)
             y[np.argsort(number, kind="stable")] = label[np.lexsort((number, t.column("deal").to_numpy()))]
             label = y
-        fold = np.empty(n, int)
-        for g in np.unique(label):
-            at = np.flatnonzero(label == g)
-            at = at[np.lexsort((number[at], np.fmod(number[at] * 7919 + seed, 10007)))]
-            fold[at] = np.arange(1, len(at) + 1) % k
+        fold = dealt_folds(number, label, k, seed)
         scores = []
-        made = prepared(x, method)
+        made = prepared(x)
         for f in range(k):
             own, test = fold != f, fold == f
             if not test.any() or own.sum() < least_train or len(np.unique(label[own])) < 2:
@@ -201,26 +211,38 @@ def fold_scores(trials: DataFrame, channels: int, k: int, method: str, least_tra
     return rows.groupBy("unit").applyInArrow(one, "unit string, balanced_accuracy double, kappa double")
 
 
-def prepared(x: np.ndarray, method: str) -> tuple[np.ndarray, ...]:
-    """What every fold needs of its trials, made once: for csp their shrunk covariances and plain ones, else the trials."""
-    if method != "csp":
-        return (x,)
+def dealt_folds(number: np.ndarray, label: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+    """stratified_folds() of one unit's trials: their numbers and labels -> their folds."""
+    fold = np.empty(len(label), int)
+    for g in np.unique(label):
+        at = np.flatnonzero(label == g)
+        at = at[np.lexsort((number[at], np.fmod(number[at] * 7919 + seed, 10007)))]
+        fold[at] = np.arange(1, len(at) + 1) % k
+    return fold
+
+
+def prepared(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What every fold needs of its trials, made once: their covariances, shrunk as by ledoit_wolf() and plain."""
     d = x - x.mean(-1, keepdims=True)
-    n, p = x.shape[-1], x.shape[1]
+    n, p = x.shape[-1], x.shape[-2]
     s = d @ np.swapaxes(d, -1, -2) / n
     mu = np.trace(s, axis1=-2, axis2=-1) / p
-    flat = mu[:, None, None] * np.eye(p)
+    flat = mu[..., None, None] * np.eye(p)
     delta = ((s - flat) ** 2).sum((-2, -1)) / p
     beta = np.minimum((d**2 @ np.swapaxes(d**2, -1, -2) / n - s**2).sum((-2, -1)) / (p * n), delta)
-    by = np.divide(beta, delta, out=np.zeros_like(beta), where=delta != 0)[:, None, None]
+    by = np.divide(beta, delta, out=np.zeros_like(beta), where=delta != 0)[..., None, None]
     return (1 - by) * s + by * flat, s
 
 
 def predict_prepared(made: tuple[np.ndarray, ...], own: np.ndarray, test: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
     """predict() from prepared() trials, of which own train and test are asked."""
-    if method != "csp":
-        return predict(made[0][own], y[own], made[0][test], method)
     shrunk, plain = made
+    if method == "riemann":
+        a, b = tangent_space(shrunk[own], shrunk[test])
+        weights, threshold = lda(a, y[own])
+        return (b @ weights > threshold).astype(int)
+    if method != "csp":
+        raise ValueError(f"unknown method {method!r}")
     c = [shrunk[own & (y == g)].mean(0) for g in (0, 1)]
     values, vectors = linalg.generalized(c[0][None], c[0] + c[1])
     w = vectors[0][:, np.argsort(np.abs(values[0] - 0.5))[::-1][: patterns_for(plain.shape[1])]]

@@ -315,7 +315,7 @@ def by_recording(rows: DataFrame, work, schema: str, ref: np.ndarray, names: lis
             return [(None, *r) for r in zip(*work(*(np.stack(x) for x in zip(*xs, strict=True)), *reference(list(channels))), strict=True)]
         except UNSOLVED as e:
             if len(xs) == 1:
-                return [(str(e) if isinstance(e, Unsolved) else f"{stage}: {e}", *[None] * len(fields))]
+                return [(told(e, stage), *[None] * len(fields))]
             return [stacked(channels, [x])[0] for x in xs]
 
     def run(batches):
@@ -337,6 +337,8 @@ def by_recording(rows: DataFrame, work, schema: str, ref: np.ndarray, names: lis
                 for j, field in enumerate(fields, 1):
                     if field.endswith("array<array<double>>"):
                         held.append(_ragged([[np.full(len(v), np.nan) for v in x[0]] if d[j] is None else d[j] for d, x in zip(done, xs, strict=True)]))
+                    elif field.endswith("array<string>"):
+                        held.append(pa.array([d[j] for d in done], pa.list_(pa.string())))
                     else:
                         held.append(pa.array([None if d[j] is None else np.asarray(d[j], float).tolist() for d in done], pa.list_(pa.float64())))
                 yield pa.RecordBatch.from_arrays(held, names=[*same, "error", *(f.split()[0] for f in fields)])
@@ -350,6 +352,10 @@ class Unsolved(ValueError):
     """A failure that says at which stage it was."""
 
 
+def told(e: Exception, stage: str) -> str:
+    return str(e) if isinstance(e, Unsolved) else f"{stage}: {e}"
+
+
 def solved(stage: str, *args) -> tuple[np.ndarray, ...]:
     try:
         return clean_stack(*args)
@@ -368,6 +374,12 @@ def _moving(window_seconds: float | None, fs: float, n: int) -> int | None:
 
 def clean_recordings(rows: DataFrame, ref: np.ndarray, fs: float, size: int, lowcut: float = 0.5, kind: str = "auto", window_seconds: float | None = None, names: list[str] | None = None, referenced: bool = False, check: bool = True) -> DataFrame:
     """packed rows -> (rec, ch, at, error, clean, noise): clean_or_reason() with a row for each recording."""
+    work = cleaner(fs, size, lowcut, kind, window_seconds, referenced)
+    return by_recording(rows, work, "clean array<array<double>>, noise array<array<double>>", ref, names, "broadband", size if check else None)
+
+
+def cleaner(fs: float, size: int, lowcut: float = 0.5, kind: str = "auto", window_seconds: float | None = None, referenced: bool = False):
+    """What clean_recordings() does to a stack: (recordings, channels, samples), reference, pcs -> clean, noise."""
     plan = band_plan(fs, size, lowcut)
 
     def work(x: np.ndarray, r: np.ndarray, pcs: np.ndarray) -> tuple:
@@ -381,7 +393,7 @@ def clean_recordings(rows: DataFrame, ref: np.ndarray, fs: float, size: int, low
             clean += v
         return clean, x - clean
 
-    return by_recording(rows, work, "clean array<array<double>>, noise array<array<double>>", ref, names, "broadband", size if check else None)
+    return work
 
 
 def clean_or_reason(rec: DataFrame, ref: np.ndarray, fs: float, size: int, lowcut: float = 0.5, kind: str = "auto", window_seconds: float | None = None, names: list[str] | None = None, referenced: bool = False, why: DataFrame | None = None) -> DataFrame:
@@ -450,24 +462,28 @@ def final_sensai(parts: DataFrame, ref: np.ndarray, fs: float, names: list[str]
     """(rec, sensai): 1-second epochs of the real clean and noise signals against the reference. parts(rec, ch, i, clean, noise), or
     the rows of clean_recordings(). names are ref's channels; where given, recordings may lack some of them."""
     rows = packed(parts, clean="clean", noise="noise") if "i" in parts.columns else parts
-    n = int(fs)
 
     def work(clean: np.ndarray, noise: np.ndarray, r: np.ndarray, pcs: np.ndarray) -> tuple:
-        many, channels, size = clean.shape
-        count = size // n
-        if not count:
-            return ([[]] * many,)
-        shares = []
-        for x in (clean, noise):
-            c = linalg.covariance(x[..., : count * n].reshape(many, channels, count, n).swapaxes(1, 2))
-            near = np.clip(np.abs(np.linalg.det(np.swapaxes(linalg.top_components(c, COMPONENTS), -1, -2) @ pcs)), 0, 1)
-            shares.append(np.where(np.trace(c, axis1=-2, axis2=-1) > 0, near, 0.0).mean(-1))
-        return ([[100 * a - 100 * b] for a, b in zip(*shares, strict=True)],)
+        return ([[s] if s == s else [] for s in final_sensai_stack(clean, noise, pcs, int(fs))],)
 
     done = successful(by_recording(rows, work, "sensai array<double>", ref, names, "sensai", of=("clean", "noise")))
     return done.select("rec", F.get("sensai", F.lit(0)).alias("sensai")).where("sensai is not null")
 
 
+def final_sensai_stack(clean: np.ndarray, noise: np.ndarray, pcs: np.ndarray, n: int) -> np.ndarray:
+    """final_sensai() of a stack; NaN without a full epoch."""
+    many, channels, size = clean.shape
+    count = size // n
+    if not count:
+        return np.full(many, np.nan)
+    shares = []
+    for x in (clean, noise):
+        c = linalg.covariance(x[..., : count * n].reshape(many, channels, count, n).swapaxes(1, 2))
+        near = np.clip(np.abs(np.linalg.det(np.swapaxes(linalg.top_components(c, COMPONENTS), -1, -2) @ pcs)), 0, 1)
+        shares.append(np.where(np.trace(c, axis1=-2, axis2=-1) > 0, near, 0.0).mean(-1))
+    return 100 * shares[0] - 100 * shares[1]
+
+
 def score_curve(rows: DataFrame, ref: np.ndarray, n: int, thresholds: list[float], kind: str = "auto", referenced: bool = True) -> DataFrame:
     """packed rows -> (rec, t, score) over a grid of thresholds; the spectra and their scores are solved once."""
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Frontal prefixes in order of weight.
@@ -112,16 +113,76 @@ def drawn_epochs(recs: DataFrame, n_epochs: int, share: float, n: int, fs: float
     return some.select("rec", "artifact_type", "epoch", (F.col("epoch") * n).alias("start_sample"), ((F.col("epoch") + 1) * n - 1).alias("end_sample"), F.lit(n / fs).alias("duration_sec"), strength.alias("amplitude_uv"), F.lit(seed).alias("random_seed"))
 
 
+def popping(rec, epoch) -> Column:
+    """The index of the electrode that pops."""
+    return F.pmod(F.xxhash64(rec, epoch), F.lit(8))
+
+
+def pop_shape(k: Column, n: int) -> Column:
+    return F.exp(-k / F.lit(max(n / 2, 1)))
+
+
+def tone_weight(ch_idx: Column) -> Column:
+    return 0.5 + F.pmod(ch_idx * 0.37, F.lit(1.0))
+
+
+def tone(i: Column) -> Column:
+    return F.sin(F.lit(2 * math.pi * 0.375) * i)
+
+
 def inject_drawn(rec: DataFrame, drawn: DataFrame, n: int, fs: float) -> DataFrame:
     """rec(rec, ch, ch_idx, i, v) with the artifacts of drawn: -> (rec, ch, ch_idx, i, epoch, v, artifact). Joined by recording and epoch."""
     both = rec.withColumn("epoch", F.floor(F.col("i") / n).cast("long")).join(drawn.select("rec", "epoch", "artifact_type", "amplitude_uv"), ["rec", "epoch"], "left")
     k, kind = F.col("i") % n, F.col("artifact_type")
     shape = F.when(kind == "blink", frontal_weight(F.col("ch")) * blink_shape(k / max(n - 1, 1)))
-    shape = shape.when(kind == "electrode_pop", F.when(F.col("ch_idx") == F.pmod(F.xxhash64("rec", "epoch"), F.lit(8)), F.exp(-k / F.lit(max(n / 2, 1)))).otherwise(0.0))
-    shape = shape.when(kind == "line_noise", (0.5 + F.pmod(F.col("ch_idx") * 0.37, F.lit(1.0))) * F.sin(F.lit(2 * math.pi * 0.375) * F.col("i")))
+    shape = shape.when(kind == "electrode_pop", F.when(F.col("ch_idx") == popping("rec", "epoch"), pop_shape(k, n)).otherwise(0.0))
+    shape = shape.when(kind == "line_noise", tone_weight(F.col("ch_idx")) * tone(F.col("i")))
     return _added(both, F.col("amplitude_uv") * shape).select("rec", "ch", "ch_idx", "i", "epoch", "v", "artifact")
 
 
+def with_drawn(rows: DataFrame, names: list[str], n_epochs: int, share: float, seed: int = 42, kinds: dict[str, float] = DRAWN) -> DataFrame:
+    """rows(rec, ch, ...), a row for each recording, with what drawn_stack() takes: weights, for each channel that of a blink, its index in names
+    and that of a tone; drawn, the epochs of drawn_epochs(), their kinds' places in kinds, and the indexes of the electrodes that pop."""
+    known = F.array(*[F.lit(c) for c in names]).cast("array<string>")
+
+    def weighed(c: Column) -> Column:
+        at = F.array_position(known, c) - 1
+        return F.array(frontal_weight(c), at.cast("double"), tone_weight(at))
+
+    hashed = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n_epochs - 1).cast("long")), lambda e: F.struct(F.xxhash64("rec", e, F.lit(seed)).alias("h"), e.alias("epoch")))
+    first = F.transform(F.slice(F.array_sort(hashed), 1, math.ceil(share * n_epochs)), lambda d: d["epoch"])
+    kind = lambda e: F.pmod(F.xxhash64("rec", e, F.lit(seed + 1)), F.lit(len(kinds))).cast("double")
+    drawn = F.array(first.cast("array<double>"), F.transform(first, kind), F.transform(first, lambda e: popping("rec", e).cast("double")))
+    return rows.withColumns({"weights": F.transform("ch", weighed), "drawn": drawn})
+
+
+def shapes(spark: SparkSession, size: int, n: int) -> dict[str, np.ndarray]:
+    """What inject_drawn() adds where strength and weight are 1: samples of an epoch of n, for a tone those of the whole recording."""
+    upto = lambda m: F.sequence(F.lit(0).cast("long"), F.lit(max(m - 1, 0)).cast("long"))
+    blinks, pops = F.transform(upto(n), lambda k: blink_shape(k / max(n - 1, 1))), F.transform(upto(n), lambda k: pop_shape(k, n))
+    row = spark.range(1).select(blinks.alias("blink"), pops.alias("electrode_pop"), F.transform(upto(size), tone).alias("line_noise")).first()
+    return {c: np.array(row[c]) for c in row.asDict()}
+
+
+def drawn_stack(weights: np.ndarray, drawn: np.ndarray, size: int, n: int, of: dict[str, np.ndarray], kinds: dict[str, float] = DRAWN) -> np.ndarray:
+    """The artifacts of inject_drawn() for a stack of recordings: weights (recordings, channels, 3) and drawn (recordings, 3, epochs) of
+    with_drawn(), shapes() -> (recordings, channels, size). An epoch whose kind is -1 gets none."""
+    many, channels = weights.shape[:2]
+    count = -(-size // n)
+    out = np.zeros((many, channels, count, n))
+    for code, (kind, strength) in enumerate(kinds.items()):
+        r, j = np.nonzero(drawn[:, 1] == code)
+        epoch, shape, w = drawn[r, 0, j].astype(int), of[kind], weights[r]
+        if kind == "blink":
+            one = w[:, :, :1] * shape
+        elif kind == "electrode_pop":
+            one = np.where(w[:, :, 1:2] == drawn[r, 2, j][:, None, None], shape, 0.0)
+        else:
+            one = w[:, :, 2:] * np.resize(np.pad(shape, (0, max(count * n - len(shape), 0))), (count, n))[epoch][:, None]
+        out[r, :, epoch] = strength * one
+    return out.reshape(many, channels, -1)[..., :size]
+
+
 def injection_snr_db(injected: DataFrame, by: list[str]) -> DataFrame:
     clean = F.col("v") - F.col("artifact")
     s = F.var_pop(clean) / (F.var_pop("artifact") + 1e-12)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,39 @@ def safe_corr(a: str, b: str) -> Column:
     return F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
+def variance(x: np.ndarray, axis: int | tuple[int, ...] = -1) -> np.ndarray:
+    """var_pop() along axes of an array: exactly 0 for equal values, as there."""
+    return np.where(x.max(axis) == x.min(axis), 0.0, x.var(axis))
+
+
+def corr_stack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """safe_corr() along the last axis of arrays, NaN where either side is constant."""
+    p, q = variance(a), variance(b)
+    cov = ((a - a.mean(-1, keepdims=True)) * (b - b.mean(-1, keepdims=True))).mean(-1)
+    some = (p > 0) & (q > 0)
+    return np.divide(cov, np.sqrt(p) * np.sqrt(q), out=np.full(cov.shape, np.nan), where=some)
+
+
+def known_mean(x: np.ndarray) -> np.ndarray:
+    """Mean along the last axis of what isn't NaN; NaN where nothing is left."""
+    n = (~np.isnan(x)).sum(-1)
+    return np.divide(np.nansum(x, -1), n, out=np.full(n.shape, np.nan), where=n > 0)
+
+
+def removal_stack(ref: np.ndarray, cor: np.ndarray, cln: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """removal() of a stack (recordings, channels, samples); a null gain is NaN."""
+    s, a, r = (variance(x, (-2, -1)) for x in (ref, cor - ref, cln - ref))
+    some = (a >= 1e-6 * s) & (s > 0)
+    with np.errstate(divide="ignore"):
+        gain = 10 * (np.log10(s / (r + EPS)) - np.log10(s / (a + EPS)))
+    return np.where(some, gain, np.nan), np.sqrt(((cln - ref) ** 2).mean((-2, -1))), r / (a + EPS)
+
+
+def mean_correlation_stack(ref: np.ndarray, cln: np.ndarray) -> np.ndarray:
+    """mean_correlation() of a stack."""
+    return np.nan_to_num(known_mean(corr_stack(ref, cln)))
+
+
 def removal(triple: DataFrame) -> DataFrame:
     """Per recording: SNR gain in dB (null where next to nothing was injected), RMSE, residual power."""
     art, res, err = F.col("cor") - F.col("ref"), F.col("cln") - F.col("ref"), F.pow(F.col("cln") - F.col("ref"), 2)

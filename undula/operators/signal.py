@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.functions.scalars import cosine_weight
+from undula.operators.quality import variance
 
 CHANNEL = ["rec", "ch"]
 
@@ -149,6 +150,29 @@ def enova_per_band(bands: DataFrame, n: int) -> DataFrame:
     return per.groupBy("rec", "band").agg(F.coalesce(F.avg(F.when(F.col("b") > 0, F.try_divide("a", "b"))), F.lit(0.0)).alias("enova"))
 
 
+def _shares(noise: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    den = variance(whole)
+    return np.divide(variance(noise), den, out=np.zeros(den.shape), where=den > 0)
+
+
+def enova_stack(clean: np.ndarray, noise: np.ndarray, n: int) -> np.ndarray:
+    """enova_per_epoch() of a stack (recordings, channels, samples): (recordings, epochs)."""
+    many, channels, size = clean.shape
+    m = n if size >= n else size
+    cut = lambda x: x[..., : size // m * m].reshape(many, channels, -1, m).swapaxes(1, 2).reshape(many, -1, channels * m)
+    return _shares(cut(noise), cut(clean + noise))
+
+
+def enova_channels_stack(clean: np.ndarray, noise: np.ndarray, n: int) -> np.ndarray:
+    """enova_per_channel() of a stack: (recordings, channels). A tail is an epoch too."""
+    full, whole = clean.shape[-1] // n * n, clean + noise
+    cut = lambda x: x[..., :full].reshape(*x.shape[:2], -1, n)
+    each = _shares(cut(noise), cut(whole))
+    if full < clean.shape[-1]:
+        each = np.concatenate([each, _shares(noise[..., full:], whole[..., full:])[..., None]], axis=-1)
+    return each.mean(-1)
+
+
 def summary(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     """Ten numbers: mean, median, deviation, extremes and linear percentiles."""
     q = F.percentile(col, F.array(*[F.lit(p) for p in (0.1, 0.25, 0.75, 0.9, 0.95)]))

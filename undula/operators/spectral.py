@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.operators.quality import safe_corr
+from undula.operators.quality import corr_stack, known_mean, safe_corr
 
 SERIES = "rec string, ch string, i long, v double"
 
@@ -143,6 +143,15 @@ def psd_similarity(triple: DataFrame, fs: float, low: float = 1.0, high: float =
     return per.groupBy("rec").agg(F.avg("r").alias("psd_similarity"))
 
 
+def psd_similarity_stack(ref: np.ndarray, cln: np.ndarray, fs: float, low: float = 1.0, high: float = 40.0) -> np.ndarray:
+    """psd_similarity() of a stack (recordings, channels, samples); null is NaN."""
+    f, p = welch(ref, fs)
+    inside = (f >= low) & (f <= high)
+    if inside.sum() < 3:
+        return np.full(len(ref), np.nan)
+    return known_mean(corr_stack(*(np.log(x[..., inside] + 1e-12) for x in (p, welch(cln, fs)[1]))))
+
+
 def band_correlation(triple: DataFrame, fs: float, low: float, high: float) -> DataFrame:
     """Correlation in time of the band-passed ref and cln, averaged over channels."""
     one, two = (bandpass(x, fs, low, high) for x in _two(triple, "ref", "cln"))

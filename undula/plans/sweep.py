@@ -100,47 +100,75 @@ def run_subjects(rec: DataFrame, names: list[str], size: int, matrix: np.ndarray
     return rows.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in MEASURES.split(", ")])
 
 
-def trials_of(rec: DataFrame, value: str, n: int) -> DataFrame:
-    """rec(rec, ch, i, value) -> (rec, trial, x) for each epoch of n samples, x channel after channel in order of names."""
-    samples = signal.to_epochs(rec.select("rec", "ch", "i", F.col(value).alias("v")), n)
-    held = F.array_sort(F.collect_list(F.struct("ch", "k", "v")))
-    return samples.groupBy("rec", F.col("epoch").alias("trial")).agg(F.transform(held, lambda s: s["v"]).alias("x"))
-
-
-def four_conditions(rec: DataFrame, labels: DataFrame, methods: DataFrame, names: list[str], size: int, matrix: np.ndarray, fs: int, thresholds: list[float], keep: Callable[[DataFrame], DataFrame], share: float = 0.5, folds: int = 3) -> DataFrame:
-    """rec(rec, ch, i, v), labels(rec, trial, label 0/1) of full epochs, methods(rec, method) -> (rec, condition, enova_threshold,
-    n_train, n_test, balanced_accuracy, kappa, error), a row for each recording, condition and, where it rejects, threshold.
+def four_conditions(rows: DataFrame, names: list[str], size: int, matrix: np.ndarray, fs: int, thresholds: list[float], share: float = 0.5, folds: int = 3) -> DataFrame:
+    """ged.packed() rows(rec, ch, x, error) of `size` samples with labels, 0 or 1 for each full epoch, and method -> (rec, condition,
+    enova_threshold, n_train, n_test, balanced_accuracy, kappa, error), a row for each recording, condition and, where it rejects, threshold.
 
     Artifacts go into test epochs among the drawn ones; a fold's trials are the test. baseline and corrupted train on the input as it is, reconstruct
     and reject_keep on the cleaned input and test on the cleaned corrupted signal, of which reject_keep leaves out epochs with
-    a noise share above the threshold. Both signals go through the kernel in one job. What can't be cleaned has rows with the reason.
+    a noise share above the threshold. A recording is injected, cleaned and decoded where its row is, both its signals in one stack, with one
+    decoder for the input and one for the cleaned input. What can't be cleaned has rows with the reason.
     """
-    dealt = keep(decode.stratified_folds(labels.withColumnRenamed("rec", "unit"), folds, ["unit"]).select(F.col("unit").alias("rec"), "trial", "label", (F.col("fold") != 0).alias("train")))
-    drawn = inject.drawn_epochs(rec, max(size // fs, 1), share, fs, fs)
-    drawn = drawn.join(dealt.where("not train").select("rec", F.col("trial").alias("epoch")), ["rec", "epoch"], "left_semi")
-    at = (F.array_position(F.array(*[F.lit(c) for c in names]).cast("array<string>"), F.col("ch")) - 1).cast("int")
-    injected = keep(inject.inject_drawn(rec.withColumn("ch_idx", at), drawn, fs, fs))
-    raw = injected.select(F.concat(F.lit("raw/"), "rec").alias("rec"), "ch", "i", (F.col("v") - F.col("artifact")).alias("v"))
-    both = keep(raw.union(injected.select(F.concat(F.lit("cor/"), "rec").alias("rec"), "ch", "i", "v")))
-    parts = keep(ged.clean_or_reason(both, matrix, fs, size, names=names, why=keep(ged.reasons(both, size))))
-    split = [F.substring("rec", 1, 3).alias("version"), F.expr("substring(rec, 5)").alias("rec")]
-    versions = [trials_of(df, value, fs).select(*split, F.lit(fit).alias("fit"), "trial", "x") for df, value, fit in ((both, "v", "raw"), (parts, "clean", "cleaned"))]
-    trials = keep(versions[0].union(versions[1]).join(dealt, ["rec", "trial"]))
-    shares = signal.enova_per_epoch(parts.where("error is null"), fs, size).select(*split, F.col("epoch").alias("trial"), "enova").where("version = 'cor'").drop("version")
-
-    train = trials.where("train and version = 'raw'").join(methods, "rec").withColumnRenamed("rec", "unit")
-    test = trials.where("not train").join(shares, ["rec", "trial"], "left")
-    raws, cors = (F.col("fit") == "raw"), (F.col("version") == "cor")
-    # a trial is in as many conditions as take it: those that reject ask for its noise share; without one it stays and its condition says why
-    passed = [(F.lit(f"reject_keep/{t}"), ~raws & cors & (F.coalesce("enova", F.lit(0.0)) <= t)) for t in thresholds]
-    takes = [(F.lit("baseline"), raws & ~cors), (F.lit("corrupted"), raws & cors), (F.lit("reconstruct"), ~raws & cors), *passed]
-    test = test.select(F.col("rec").alias("unit"), "fit", "trial", "label", "x", F.explode(F.array_compact(F.array(*[F.when(when, name) for name, when in takes]))).alias("condition"))
-    fits = {"baseline": "raw", "corrupted": "raw", "reconstruct": "cleaned"} | {f"reject_keep/{t}": "cleaned" for t in thresholds}
-    rows = decode.decode_conditions(train, test, len(names), fits)
-    reasons = parts.where("error is not null").groupBy(F.expr("substring(rec, 5)").alias("unit")).agg(F.min("error").alias("uncleaned"))
-    said = F.when(F.col("error").isNotNull() & F.col("condition").isin([c for c, fit in fits.items() if fit == "cleaned"]), F.coalesce("uncleaned", "error")).otherwise(F.col("error"))
-    name = F.split("condition", "/")
-    return rows.join(reasons, "unit", "left").select(F.col("unit").alias("rec"), name[0].alias("condition"), F.get(name, F.lit(1)).cast("double").alias("enova_threshold"), "n_train", "n_test", "balanced_accuracy", "kappa", said.alias("error"))
+    of, cleaned = inject.shapes(rows.sparkSession, size, fs), ged.cleaner(fs, size)
+    rejecting = {f"reject_keep/{t}": t for t in thresholds}
+    conditions = ["baseline", "corrupted", "reconstruct", *rejecting]
+
+    def cut(x: np.ndarray, count: int) -> np.ndarray:
+        """Trials (recordings, count, channels, samples)."""
+        return x[..., : count * fs].reshape(*x.shape[:2], count, fs).swapaxes(1, 2)
+
+    def signals(x: np.ndarray, artifact: np.ndarray, r: np.ndarray, pcs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """The signals of the training and the test in turn, as they are and cleaned, the latter's noise, and why a recording can't be cleaned."""
+        both = np.stack([x + artifact - artifact, x + artifact])
+        why = [min((e for e in (ged.why_not(list(v), size) for v in both[:, k]) if e), default=None) for k in range(len(x))]
+        good = np.array([w is None for w in why])
+        clean, noise = np.full(both.shape, np.nan), np.full(both.shape, np.nan)
+        if good.any():
+            try:
+                done = cleaned(both[:, good].reshape(-1, *x.shape[1:]), r, pcs)
+                clean[:, good], noise[:, good] = (a.reshape(2, -1, *x.shape[1:]) for a in done)
+            except ged.UNSOLVED as e:
+                if len(x) > 1:
+                    raise
+                why = [ged.told(e, "broadband")]
+        return both, clean, noise, why
+
+    def work(x: np.ndarray, weights: np.ndarray, drawn: np.ndarray, labels: np.ndarray, method: np.ndarray, r: np.ndarray, pcs: np.ndarray) -> tuple:
+        label, count = labels[:, 0].astype(int), labels.shape[-1]
+        if not count:
+            return ([[]] * len(x),) * 2
+        if (method < 0).any():
+            raise ValueError(f"unknown method, known: {', '.join(decode.METHODS)}")
+        test = np.array([decode.dealt_folds(np.arange(count), y, folds) for y in label]) == 0
+        kinds = np.where(np.take_along_axis(test, drawn[:, 0].astype(int), 1), drawn[:, 1], -1)
+        artifact = inject.drawn_stack(weights, np.stack([drawn[:, 0], kinds, drawn[:, 2]], 1), x.shape[-1], fs, of)
+        both, clean, noise, why = signals(x, artifact, r, pcs)
+        # without a noise share a trial stays, and its condition says why
+        enova = np.nan_to_num(signal.enova_stack(clean[1], noise[1], fs))
+        fits = []
+        for version in (both, clean):
+            trials = np.concatenate([cut(v, count) for v in version], axis=1)
+            fits.append((decode.prepared(trials), np.isfinite(trials).all((-1, -2))))
+        none, numbers, errors = np.zeros(count, bool), [], []
+        for k in range(len(x)):
+            after = {"reconstruct": test[k]} | {c: test[k] & (enova[k] <= t) for c, t in rejecting.items()}
+            tests = ({"baseline": np.append(test[k], none), "corrupted": np.append(none, test[k])}, {c: np.append(none, t) for c, t in after.items()})
+            scores = {}
+            for (made, finite), some in zip(fits, tests, strict=True):
+                scores |= decode.condition_scores(tuple(m[k] for m in made), finite[k], np.tile(label[k], 2), np.append(~test[k], none), some, decode.METHODS[int(method[k, 0, 0])])
+            numbers.append([v for c in conditions for v in scores[c][:4]])
+            errors.append([scores[c][4] and why[k] or scores[c][4] if c in after else scores[c][4] for c in conditions])
+        return numbers, errors
+
+    held = {"labels": F.array(F.col("labels").cast("array<double>")), "method": F.array(F.array((F.array_position(F.array(*[F.lit(m) for m in decode.METHODS]), F.col("method")) - 1).cast("double")))}
+    rows = inject.with_drawn(rows, names, max(size // fs, 1), share).withColumns(held)
+    done = ged.by_recording(rows, work, "numbers array<double>, errors array<string>", matrix, names, "broadband", None, ("x", "weights", "drawn", "labels", "method"))
+    told = []
+    for k, c in enumerate(conditions):
+        n, error = [F.get("numbers", F.lit(4 * k + j)) for j in range(4)], F.coalesce("error", F.get("errors", F.lit(k)))
+        accuracies = [F.when(error.isNull(), v).alias(a) for v, a in zip(n[2:], ("balanced_accuracy", "kappa"), strict=True)]
+        told.append(F.struct(F.lit(c.split("/")[0]).alias("condition"), F.lit(rejecting.get(c)).cast("double").alias("enova_threshold"), n[0].cast("int").alias("n_train"), n[1].cast("int").alias("n_test"), *accuracies, error.alias("error")))
+    return done.where("error is not null or size(numbers) > 0").select("rec", F.inline(F.array(*told)))
 
 
 def resumed(spark: SparkSession, path: str, requested: DataFrame, recordings: DataFrame, run: Callable[[DataFrame], DataFrame], batches: int = 1, most_batches: int | None = None) -> DataFrame:

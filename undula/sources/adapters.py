@@ -129,6 +129,17 @@ def mixed_samples(spark: SparkSession, sf_dir: str, mixing: list[list[float]], h
     return sources.select("rec", "i", F.array(*sensors).alias("v")), size
 
 
+def mixed_rows(samples: DataFrame) -> DataFrame:
+    """mixed_samples() with a row for each user: (rec, ch, x, error), as of subject_rows(); channels are in order of their names."""
+    held = samples.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
+    order = sorted(range(len(ELECTRODES)), key=lambda k: ELECTRODES[k][0])
+
+    def channel(k: int) -> Column:
+        return F.transform("s", lambda s: s["v"][k])
+
+    return held.select("rec", F.array(*[F.lit(ELECTRODES[k][0]) for k in order]).alias("ch"), F.array(*[channel(k) for k in order]).alias("x"), F.lit(None).cast("string").alias("error"))
+
+
 def mixed_recordings(spark: SparkSession, sf_dir: str, mixing: list[list[float]], hours: int = 3, sensor_noise: float = 0.02) -> tuple[DataFrame, int]:
     """A recording for each user of sources mixed into ELECTRODES, and its length.
 
