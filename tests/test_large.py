@@ -103,7 +103,7 @@ def test_splines_need_no_join_of_samples(spark):
     assert "Join" not in plan(numeric.spline_interpolation(spark, SF))
 
 
-@pytest.mark.parametrize("name", ["four_conditions"])
+@pytest.mark.parametrize("name", ["subject_sweep", "four_conditions"])
 def test_sweeps_join_and_write_no_samples(spark, monkeypatch, name):
     # samples were joined with their artifacts, means, cleaned values and spectra, and written between
     kept = []

@@ -16,20 +16,22 @@ def threshold_rows(df: DataFrame, thresholds: list[float]) -> DataFrame:
     return df.withColumn("enova_threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
 
 
-def apply_thresholds(enova: DataFrame, thresholds: list[float], truth: DataFrame | None = None) -> DataFrame:
+def apply_thresholds(enova: DataFrame, thresholds: list[float], truth: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """enova(rec, epoch, enova), truth(epoch), or (rec, epoch), of corrupted windows -> a row per recording and threshold: windows, rejected,
-    retained, mean score, and hits, false alarms and misses against the truth. Epoch scores are read once for all."""
+    retained, mean score, and hits, false alarms and misses against the truth. Epoch scores are read once for all. enova may say itself
+    which windows are corrupted, in a column of that name, and have `also` columns that a recording has one value of."""
     e = enova
     if truth is not None:
         by = [c for c in ("rec", "epoch") if c in truth.columns]
         e = e.join(truth.select(*by, F.lit(True).alias("corrupted")), by, "left")
-    else:
+    elif "corrupted" not in e.columns:
         e = e.withColumn("corrupted", F.lit(None).cast("boolean"))
     bad, hit = F.col("enova") > F.col("enova_threshold"), F.coalesce(F.col("corrupted"), F.lit(False))
     n = F.count("*")
     rows = threshold_rows(e, thresholds).groupBy("rec", "enova_threshold").agg(
         n.alias("n_1s_windows_total"), F.count_if(bad).alias("n_1s_windows_rejected"), (100 * (1 - F.count_if(bad) / n)).alias("pct_retained"), F.avg("enova").alias("mean_enova"),
         F.count_if(bad & hit).alias("n_true_positives"), F.count_if(bad & ~hit).alias("n_false_positives"), F.count_if(~bad & hit).alias("n_missed"), F.count_if(~hit).alias("n_clean_windows"),
+        *[F.first(c).alias(c) for c in also],
     )
     tp, fp, fn, one = F.col("n_true_positives"), F.col("n_false_positives"), F.col("n_missed"), F.lit(1)
     return rows.select("*", (tp / F.greatest(tp + fp, one)).alias("rejection_precision"), (tp / F.greatest(tp + fn, one)).alias("rejection_recall"), (fp / F.greatest(F.col("n_clean_windows"), one)).alias("false_rejection_rate"))
@@ -70,33 +72,40 @@ def deterministic_injectors(fs: float, epochs: list[int], n: int) -> dict[str, C
 MEASURES = "rec string, enova_threshold double, n_1s_windows_total long, n_1s_windows_rejected long, pct_retained double, mean_enova double, n_true_positives long, n_false_positives long, n_missed long, n_clean_windows long, rejection_precision double, rejection_recall double, false_rejection_rate double, snr_improvement_db double, rmse double, residual_power_ratio double, correlation double, psd_similarity double, sensai_score double, n_corrupted_windows long, n_bad_channels long, n_flat_channels long, error string"
 
 
+#: Of MEASURES, those that the kernel's task gives.
+MEASURED = ("snr_improvement_db", "rmse", "residual_power_ratio", "correlation", "psd_similarity", "sensai_score", "n_corrupted_windows", "n_bad_channels", "n_flat_channels")
+
+
 def run_subjects(rec: DataFrame, names: list[str], size: int, matrix: np.ndarray, fs: int, thresholds: list[float], keep: Callable[[DataFrame], DataFrame], share: float = 0.3, bad_channel: float = 0.9) -> DataFrame:
-    """rec(rec, ch, i, v), a recording for each subject -> a row per subject and threshold (MEASURES): window counts and
-    hits against the drawn corrupted epochs, share retained, scores, quality against the input before injection, channels.
+    """rec(rec, ch, i, v), a recording of `size` samples for each subject, or ged.packed() rows of it -> a row per subject and threshold
+    (MEASURES): window counts and hits against the drawn corrupted epochs, share retained, scores, quality against the input before
+    injection, channels.
 
-    Artifacts go into `share` of each subject's epochs. Every subject is injected and cleaned once; keep writes what is read
-    again. A subject that can't be cleaned, at whatever stage, has one row: error says why and the measures are null; the
-    others' rows are as without it.
+    Artifacts go into `share` of each subject's epochs. Every subject is injected, cleaned and measured once, where its row is; keep
+    writes what is read again, its measures. A subject that can't be cleaned, at whatever stage, has one row: error says why and the
+    measures are null; the others' rows are as without it.
     """
-    rec = keep(rec)
-    at = (F.array_position(F.array(*[F.lit(c) for c in names]).cast("array<string>"), F.col("ch")) - 1).cast("int")
-    drawn = keep(inject.drawn_epochs(rec, max(size // fs, 1), share, fs, fs))
-    ref = rec.withColumn("ch_idx", at)
-    cor = keep(inject.inject_drawn(ref, drawn, fs, fs))
-    parts = ged.clean_or_reason(cor.select("rec", "ch", "i", "v"), matrix, fs, size, names=names, why=keep(ged.reasons(rec, size)))
-    # before and after injection in the average reference that the cleaned signal has; a sample's versions stand side by side
-    versions = signal.average_reference(cor.select("rec", "ch", "i", (F.col("v") - F.col("artifact")).alias("v"))).withColumnRenamed("v", "ref")
-    triple = keep(parts.join(versions, ["rec", "ch", "i"]).select("rec", "ch", "i", "ref", (F.col("clean") + F.col("noise")).alias("cor"), F.col("clean").alias("cln"), "noise", "error"))
-    failed = triple.where("error is not null").groupBy("rec").agg(F.min("error").alias("error"))
-    triple = triple.where("error is null").drop("error")
-    scored = triple.withColumnRenamed("cln", "clean")
-    scores = signal.enova_per_epoch(scored, fs, size)
-    channels = signal.enova_per_channel(scored, fs).groupBy("rec").agg(F.count_if(F.col("enova") > bad_channel).alias("n_bad_channels"))
-    flat = rec.groupBy("rec", "ch").agg(F.var_pop("v").alias("p")).groupBy("rec").agg(F.count_if(F.col("p") < 1e-12).alias("n_flat_channels"))
-    measured = quality.removal(triple).join(quality.mean_correlation(triple), "rec").join(spectral.psd_similarity(triple, fs, 0.5, fs / 2), "rec").join(ged.final_sensai(scored, matrix, fs, names).withColumnRenamed("sensai", "sensai_score"), "rec")
-    measured = measured.join(drawn.groupBy("rec").agg(F.count("*").alias("n_corrupted_windows")), "rec").join(channels, "rec").join(flat, "rec")
-    rows = apply_thresholds(scores, thresholds, drawn).join(measured, "rec").withColumn("error", F.lit(None).cast("string"))
-    rows = rows.unionByName(failed, allowMissingColumns=True)
+    rows = inject.with_drawn(ged.packed(rec) if "i" in rec.columns else rec, names, max(size // fs, 1), share).drop("at")
+    of, cleaned = inject.shapes(rec.sparkSession, size, fs), ged.cleaner(fs, size)
+
+    def work(x: np.ndarray, weights: np.ndarray, drawn: np.ndarray, r: np.ndarray, pcs: np.ndarray) -> tuple:
+        artifact = inject.drawn_stack(weights, drawn, x.shape[-1], fs, of)
+        clean, noise = cleaned(x + artifact, r, pcs)
+        # before and after injection in the average reference that the cleaned signal has
+        ref, cor = ged.referenced_stack(x + artifact - artifact), clean + noise
+        scores = signal.enova_stack(clean, noise, fs)
+        corrupted = np.zeros(scores.shape)
+        np.put_along_axis(corrupted, drawn[:, 0].astype(int), 1.0, 1)
+        counts = (np.full(len(x), drawn.shape[-1]), (signal.enova_channels_stack(clean, noise, fs) > bad_channel).sum(-1), (quality.variance(x) < 1e-12).sum(-1))
+        measured = (*quality.removal_stack(ref, cor, clean), quality.mean_correlation_stack(ref, clean), spectral.psd_similarity_stack(ref, clean, fs, 0.5, fs / 2), ged.final_sensai_stack(clean, noise, pcs, fs), *counts)
+        return scores, corrupted, np.stack(measured, axis=-1)
+
+    done = keep(ged.by_recording(rows, work, "enova array<double>, corrupted array<double>, measured array<double>", matrix, names, "broadband", size, ("x", "weights", "drawn")))
+    measured = [F.nanvl(F.col("measured")[k], F.lit(None).cast("double")).alias(c) for k, c in enumerate(MEASURED)]
+    each = done.where("error is null").select("rec", *measured, F.posexplode(F.arrays_zip("enova", "corrupted")).alias("epoch", "e"))
+    scores = each.select("rec", *MEASURED, "epoch", "e.enova", (F.col("e.corrupted") > 0).alias("corrupted"))
+    rows = apply_thresholds(scores, thresholds, also=MEASURED).withColumn("error", F.lit(None).cast("string"))
+    rows = rows.unionByName(done.where("error is not null").select("rec", "error"), allowMissingColumns=True)
     return rows.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in MEASURES.split(", ")])
 
 
