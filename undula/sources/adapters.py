@@ -120,10 +120,12 @@ def mixed_samples(spark: SparkSession, sf_dir: str, mixing: list[list[float]], h
     tap = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("int").alias("j"))
     felt_in = F.transform(F.sequence(F.lit(0), F.lit(TAPS - 1)), lambda j: tap(F.col("at") + j, j))
     grid = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max(size - 1, 0)).cast("long")), lambda i: tap(i, F.lit(None)))
-    taps = own.withColumn("first", first).select("rec", "event_id", "x", F.explode(F.when(F.col("first"), F.concat(grid, felt_in)).otherwise(felt_in)).alias("t"))
-    taps = taps.select("rec", "event_id", "x", "t.i", "t.j").where(F.col("i") < size)
-    felt = lambda k: F.sqrt(F.abs("x")) * (2 * drawn(k, 1) - 1) * F.exp(-F.col("j") / 8) * F.sin(2 * math.pi * ((0.05 + 0.4 * drawn(k, 2)) * F.col("j") + drawn(k, 3)))
+    # strength, pitch and phase in each source are drawn once an event, not once a sample
     n = len(mixing[0])
+    traits = {f"{c}{k}": v for k in range(n) for c, v in (("strength", F.sqrt(F.abs("x")) * (2 * drawn(k, 1) - 1)), ("pitch", 0.05 + 0.4 * drawn(k, 2)), ("phase", drawn(k, 3)))}
+    taps = own.withColumn("first", first).withColumns(traits).select("rec", *traits, F.explode(F.when(F.col("first"), F.concat(grid, felt_in)).otherwise(felt_in)).alias("t"))
+    taps = taps.select("rec", *traits, "t.i", "t.j").where(F.col("i") < size).withColumn("decay", F.exp(-F.col("j") / 8))
+    felt = lambda k: F.col(f"strength{k}") * F.col("decay") * F.sin(2 * math.pi * (F.col(f"pitch{k}") * F.col("j") + F.col(f"phase{k}")))
     sources = taps.groupBy("rec", "i").agg(*[F.sum(F.when(F.col("j").isNotNull(), felt(k))).alias(f"s{k}") for k in range(n)])
     sensors = [sum((F.coalesce(f"s{k}", F.lit(0.0)) * w for k, w in enumerate(row)), F.lit(0.0)) + sensor_noise * normal(7, F.col("rec"), F.lit(c[0]), F.col("i")) for c, row in zip(ELECTRODES, mixing, strict=True)]
     return sources.select("rec", "i", F.array(*sensors).alias("v")), size
