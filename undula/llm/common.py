@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +52,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 #: Bytes of a batch of whole texts on their way to Python; Spark's own default lets a task hold several of 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
@@ -60,6 +63,28 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system. Workers stay for later tasks, and their allocators keep the
+    pages of the largest task so far, which count against the executor while the JVM sorts and joins."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function for mapInArrow, with give_back() at the end of each task."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 #: Rows up to this number may be sent to all executors.
 SENT_ROWS = 1_000_000
 

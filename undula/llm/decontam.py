@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm import textscan
-from undula.llm.common import byte_rows, in_small_batches, slices
+from undula.llm.common import byte_rows, give_back, giving_back, in_small_batches, slices
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Chance that a pair at the threshold collides nowhere, at the least similarity of its class.
@@ -146,7 +146,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "item_id", "item_shingles", "shared", "containment"])
 
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
-        hits = rows.mapInArrow(run, "doc_id long, item_id long, item_shingles int, shared int, containment double")
+        hits = rows.mapInArrow(giving_back(run), "doc_id long, item_id long, item_shingles int, shared int, containment double")
         out = hits if out is None else out.union(hits)
     return out
 
@@ -156,10 +156,12 @@ def without_contaminated(docs: DataFrame, items: DataFrame, *, doc_text: str = "
 
     def judge(sent):
         @F.pandas_udf("boolean")
-        def contaminated(texts: pd.Series) -> pd.Series:
-            hit = np.zeros(len(texts), bool)
-            hit[[i for i, *_ in sent.value.search([b"" if t is None else t.encode() for t in texts])]] = True
-            return pd.Series(hit)
+        def contaminated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                hit = np.zeros(len(texts), bool)
+                hit[[i for i, *_ in sent.value.search([b"" if t is None else t.encode() for t in texts])]] = True
+                yield pd.Series(hit)
+            give_back()
 
         return contaminated
 

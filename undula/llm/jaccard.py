@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.llm import textscan
-from undula.llm.common import byte_rows, in_small_batches, materialize, sent_if_small, slices
+from undula.llm.common import byte_rows, giving_back, in_small_batches, materialize, sent_if_small, slices
 from undula.llm.components import connected_components
 
 WIDTH = 5
@@ -100,7 +100,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 ]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), *cols], [x.split()[0] for x in INFO.split(", ")])
 
-    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, INFO)
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), INFO)
 
 
 def _candidates(groups: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _candidates(groups: DataFrame) -> DataFrame:
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return groups.select("members").mapInArrow(run, "a long, b long")
+    return groups.select("members").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _sets(sigs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
@@ -139,7 +139,7 @@ def _sets(sigs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) ->
 
     used = materialize(nodes.join(sigs, "sig").select("sig", "fp", "text_hash"), "jaccard-used")
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(sent_if_small(used.select("text_hash").distinct()), "text_hash", "left_semi")
-    sets = texts.mapInArrow(run, "text_hash long, grams array<long>").dropDuplicates(["text_hash"])
+    sets = texts.mapInArrow(giving_back(run), "text_hash long, grams array<long>").dropDuplicates(["text_hash"])
     return materialize(used.join(sets, "text_hash").drop("text_hash"), "jaccard-sets")
 
 

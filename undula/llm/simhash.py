@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.llm import jaccard
-from undula.llm.common import byte_rows, materialize, sent_if_small
+from undula.llm.common import byte_rows, giving_back, materialize, sent_if_small
 from undula.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t) for t in byte_rows(b.column(2))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text_hash long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), "id long, text_hash long, fp long")
 
 
 def _forest(batches: Iterator) -> Iterator:
@@ -124,7 +124,7 @@ def _ball_links(fps: DataFrame, radius: int) -> DataFrame:
                 at = (own.view(np.uint64)[:, None] ^ flip[None, :]).ravel().view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(own, len(flip))), pa.array(np.tile(far <= inner, len(own)))], ["at", "fp", "inner"])
 
-    balls = fps.select("fp").mapInArrow(run, "at long, fp long, inner boolean")
+    balls = fps.select("fp").mapInArrow(giving_back(run), "at long, fp long, inner boolean")
     centre = balls.groupBy("at").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("a"), F.count("*").alias("n")).where("a is not null and n > 1").select("at", "a")
     return balls.join(centre, "at").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
@@ -136,7 +136,7 @@ def links(distinct_fps: DataFrame, radius: int = 3, bucket_limit: int = BUCKET_L
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes, "simhash-sizes")
     buckets = keyed.join(sizes.where(F.col("n") <= bucket_limit), ["t", "key"]).groupBy("t", "key").agg(F.collect_list("fp").alias("members"))
-    edges = buckets.select("members", F.lit(radius).alias("radius")).mapInArrow(_forest, "a long, b long")
+    edges = buckets.select("members", F.lit(radius).alias("radius")).mapInArrow(giving_back(_forest), "a long, b long")
     over = sizes.where(F.col("n") > bucket_limit)
     if not over.isEmpty():
         edges = edges.union(_ball_links(keyed.join(over, ["t", "key"]).select("fp").distinct(), radius))

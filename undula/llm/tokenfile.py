@@ -16,8 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undula.llm.common import byte_rows, materialize, remove_path, scratch_path, slices
-from undula.llm.tokens import word_vocabulary
+from undula.llm.common import byte_rows, giving_back, materialize, remove_path, scratch_path, slices
+from undula.llm.tokens import drop_vocabularies, word_vocabulary
 
 END_ID = 2
 IDS_PER_BLOCK, IDS_PER_SHARD = 1 << 17, 1 << 23
@@ -70,7 +70,7 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str, text:
                 planes = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(-1, 4)[:, :width].T).tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(planes, pa.binary())], ["doc_id", "n", "planes"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, planes binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(giving_back(run), "doc_id long, n long, planes binary")
 
 
 def _joined_planes(planes: list[bytes], counts: list[int]) -> np.ndarray:
@@ -88,6 +88,7 @@ def _frequencies(tokens: DataFrame) -> list[tuple[int, int]]:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        drop_vocabularies()
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
             planes, counts = b.column(1).to_pylist(), b.column(0).to_pylist()
@@ -98,7 +99,7 @@ def _frequencies(tokens: DataFrame) -> list[tuple[int, int]]:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    found = tokens.select("n", "planes").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = tokens.select("n", "planes").mapInArrow(giving_back(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return sorted(((r["id"], r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
 
 
@@ -142,7 +143,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, doc
             yield block()
 
     ordered = tokens.repartitionByRange(max(8, -(-total // ids_per_shard)), "doc_id").sortWithinPartitions("doc_id", "n", "planes")
-    ordered.mapInArrow(blocks, "shard int, block int, doc_ids array<long>, lengths array<long>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ordered.mapInArrow(giving_back(blocks), "shard int, block int, doc_ids array<long>, lengths array<long>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
     remove_path(spark, kept)
     return TokenFile(f"{path}/blocks", f"{path}/ranks")
 
@@ -171,4 +172,4 @@ def read(spark: SparkSession, file: TokenFile) -> DataFrame:
     inside = F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")
     before = sums.withColumn("inside", inside).join(first, "shard").select("shard", "block", (F.col("first") + F.col("inside")).alias("before"))
     rows = stored.join(F.broadcast(before), ["shard", "block"]) if before.count() <= 100_000 else stored.join(before, ["shard", "block"])
-    return rows.select("before", "doc_ids", "lengths", "control", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return rows.select("before", "doc_ids", "lengths", "control", "data").mapInArrow(giving_back(run), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")

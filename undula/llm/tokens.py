@@ -89,6 +89,11 @@ def word_vocabulary(path: str) -> WordVocabulary:
     return _loaded[path]
 
 
+def drop_vocabularies() -> None:
+    """For tasks that come after the encoding: their workers need no words any more."""
+    _loaded.clear()
+
+
 class PieceVocabulary:
     """A sentencepiece model."""
 

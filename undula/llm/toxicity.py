@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm import textscan
-from undula.llm.common import byte_rows, in_small_batches, slices
+from undula.llm.common import byte_rows, give_back, giving_back, in_small_batches, slices
 
 
 @dataclass(frozen=True)
@@ -294,7 +294,7 @@ def _learnt_apart(spark, texts: list[bytes], labels: np.ndarray, parts: list[np.
                 ((by_bucket, worst),) = _learnt_apart(None, texts, labels, [parts[k]], s)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([by_bucket.tobytes()], pa.binary()), pa.array([worst.tobytes()], pa.binary())], ["k", "by_bucket", "worst"])
 
-    rows = spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, "k long, by_bucket binary, worst binary").collect()
+    rows = spark.range(0, len(parts), 1, len(parts)).mapInArrow(giving_back(run), "k long, by_bucket binary, worst binary").collect()
     sent.unpersist()
     return [(np.frombuffer(bytes(r["by_bucket"]), np.float32), np.frombuffer(bytes(r["worst"]), np.float64)) for r in sorted(rows, key=lambda r: r["k"])]
 
@@ -367,7 +367,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             parts = [sent.value.scores(texts[a:z]) for a, z in slices(texts, 256 << 10)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["id", "score"])
 
-    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), "id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -376,8 +376,10 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_co
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def toxic(texts: pd.Series) -> pd.Series:
-        rows = [b"" if t is None else t.encode() for t in texts]
-        return pd.Series(np.concatenate([sent.value.scores(rows[a:z]) for a, z in slices(rows, 256 << 10)] or [np.zeros(0)]))
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            rows = [b"" if t is None else t.encode() for t in texts]
+            yield pd.Series(np.concatenate([sent.value.scores(rows[a:z]) for a, z in slices(rows, 256 << 10)] or [np.zeros(0)]))
+        give_back()
 
     return in_small_batches(docs).where(toxic(F.col(text_col)) < threshold)
