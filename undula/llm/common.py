@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,7 +67,6 @@ def give_back() -> None:
     pages of the largest task so far, which count against the executor while the JVM sorts and joins."""
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
