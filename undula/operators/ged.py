@@ -20,7 +20,7 @@ from undula.functions.scalars import even_samples, noise_multiplier, wavelet_lev
 from undula.operators import linalg, signal
 from undula.sources import adapters
 
-COMPONENTS, PERCENTILE, MOST_EPOCHS = 3, 98, 500
+COMPONENTS, PERCENTILE = 3, 98
 
 
 @dataclass(frozen=True)
@@ -68,11 +68,8 @@ def sensai(s: Spectrum, ref: np.ndarray, ref_components: np.ndarray, theta: floa
     return float(total)
 
 
-def search(s: Spectrum, ref: np.ndarray, ref_components: np.ndarray, multiplier: float, lo: float, hi: float, most: int | None = MOST_EPOCHS) -> tuple[float, float]:
-    """(threshold on the scale, eigenvalue) with the best score, over at most `most` epochs, drawn with a fixed seed; None for all."""
-    if most is not None and len(s.values) > most:
-        pick = np.random.default_rng(2).choice(len(s.values), most, replace=False)
-        s = Spectrum(s.values[pick], s.vectors[pick])
+def search(s: Spectrum, ref: np.ndarray, ref_components: np.ndarray, multiplier: float, lo: float, hi: float) -> tuple[float, float]:
+    """(threshold on the scale, eigenvalue) with the best score over all epochs."""
     t = linalg.bounded_minimum(lambda x: -sensai(s, ref, ref_components, eigenvalue_threshold(x, s.values), multiplier), lo, hi)
     return t, eigenvalue_threshold(t, s.values)
 
@@ -137,11 +134,8 @@ def epoch_scores(s: Spectrum, ref: np.ndarray, pcs: np.ndarray, multiplier: floa
     return out
 
 
-def searched(values: np.ndarray, scores: np.ndarray, lo: float, hi: float, most: int | None = MOST_EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+def searched(values: np.ndarray, scores: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
     """search() for a stack at once: values (stack, epochs, c) and their epoch_scores() -> thresholds, eigenvalues."""
-    if most is not None and values.shape[1] > most:
-        pick = np.random.default_rng(2).choice(values.shape[1], most, replace=False)
-        values, scores = values[:, pick], scores[:, pick]
     size = np.abs(values)
     if (size > 0).all():
         level = np.percentile(np.log(size.reshape(len(size), -1)) + 100, PERCENTILE, axis=-1)
