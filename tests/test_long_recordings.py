@@ -58,3 +58,15 @@ def test_ged_clean(spark, recordings):
             _, _, score, t, _ = ged.clean_stack(v, ref, pcs, p["n"], noise_multiplier("auto"), p["t_min"], 12.0)
             want |= {(r, p["band"]): (score[k], t[k]) for k, r in enumerate(RECS)}
     assert same(by(numeric.ged_clean(spark, "").where("score is not null").drop("enova").collect(), "rec", "band"), want)
+
+
+def cleaned(recordings, window_seconds=None) -> tuple:
+    x, (ref, pcs) = recordings[0], ged.prepared_reference(recordings[1])
+    assert SIZE // 16 > 600
+    return *ged.cleaner(FS, SIZE, window_seconds=window_seconds)(x, ref, pcs), pcs
+
+
+def test_ged_full(spark, recordings):
+    shares = signal.enova_stack(*cleaned(recordings)[:2], FS)
+    want = {(r, k): (v,) for r, own in zip(RECS, shares, strict=True) for k, v in enumerate(own)}
+    assert same(by(numeric.ged_full(spark, "").collect(), "rec", "epoch"), want)
