@@ -70,3 +70,9 @@ def test_ged_full(spark, recordings):
     shares = signal.enova_stack(*cleaned(recordings)[:2], FS)
     want = {(r, k): (v,) for r, own in zip(RECS, shares, strict=True) for k, v in enumerate(own)}
     assert same(by(numeric.ged_full(spark, "").collect(), "rec", "epoch"), want)
+
+
+def test_sensai_final(spark, recordings):
+    clean, noise, pcs = cleaned(recordings)
+    want = {(r,): (v,) for r, v in zip(RECS, ged.final_sensai_stack(clean, noise, pcs, FS), strict=True)}
+    assert same(by(numeric.sensai_final(spark, "").collect(), "rec"), want)
