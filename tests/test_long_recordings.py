@@ -76,3 +76,20 @@ def test_sensai_final(spark, recordings):
     clean, noise, pcs = cleaned(recordings)
     want = {(r,): (v,) for r, v in zip(RECS, ged.final_sensai_stack(clean, noise, pcs, FS), strict=True)}
     assert same(by(numeric.sensai_final(spark, "").collect(), "rec"), want)
+
+
+def test_sliding_vs_global(spark, recordings):
+    want = {}
+    for key, seconds in (("global", None), ("win8s", 8.0)):
+        shares = signal.enova_stack(*cleaned(recordings, seconds)[:2], FS)
+        want |= {(key, r): (v,) for r, v in zip(RECS, shares.mean(-1), strict=True)}
+    assert same(by(numeric.sliding_vs_global(spark, "").collect(), "window_key", "rec"), want)
+
+
+def test_windows_of_many_epochs(monkeypatch):
+    monkeypatch.undo()
+    s = ged.Spectrum(np.random.default_rng(13).lognormal(size=(1, 1300, 5)), np.zeros((1, 1300, 5, 5)))
+    scores = np.random.default_rng(14).normal(size=(1, 1300, 6))
+    own = [over_all(s.values[:, a : a + 600], scores[:, a : a + 600], -6.0, 12.0)[1][0] for a in (0, 300, 600)]
+    got = ged.moving_thresholds(s.values, scores, -6.0, 12.0, 600)[0]
+    assert got[[300, 600, 900]] == pytest.approx([sum(own[:2]) / 3, sum(own) / 3, sum(own[1:]) / 3])
